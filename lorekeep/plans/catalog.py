@@ -2,3 +2,4 @@
 
 from . import search  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
+from . import graphs  # noqa: F401
