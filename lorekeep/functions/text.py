@@ -84,14 +84,25 @@ def _accent_table():
     return "".join(source + dropped), "".join(target), longer
 
 
+def _ranges(characters) -> str:
+    """A character class of code-point ranges, which a regex engine checks faster than single characters."""
+    points, spans = sorted(ord(c) for c in characters), []
+    for p in points:
+        if spans and spans[-1][1] == p - 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def _replace_all(text: Column, pairs) -> Column:
     """Multi-character folds, applied only to the rare texts that hold such a character."""
-    if not pairs:
-        return text
-    present = "[" + "".join(c for c, _ in pairs) + "]"
-    table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c, r in pairs])
-    fixed = F.aggregate(table, text, lambda acc, p: F.replace(acc, p["c"], p["r"]))
-    return F.when(text.rlike(present), fixed).otherwise(text)
+    beyond = "[^\\x00-\\x7fÀ-ÖØ-Þà-öø-ÿ]"
+    # One literal keeps the plan small: each entry is a character followed by its fold.
+    table = F.split(F.lit("\x01".join(c + r for c, r in pairs)), "\x01")
+    fixed = F.aggregate(table, text, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, 2, 100)))
+    special = (text.rlike(beyond) | text.contains("ß")) & text.rlike(_ranges(c for c, _ in pairs))
+    return F.when(special, fixed).otherwise(text)
 
 
 def casefold(text: Column) -> Column:
@@ -153,17 +164,18 @@ def norm(text: Column) -> Column:
 
 def ngrams(tokens: Column, longest: int = 6, stop=()) -> Column:
     """All 1..longest-word n-grams of a token array as strings, n-grams made only of stop words left out."""
-    stop_array = literals(stop) if stop else None
-
-    def of_length(n):
-        grams = F.when(F.size(tokens) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n))
-        ).otherwise(F.array().cast("array<array<string>>"))
-        if stop_array is not None:
-            grams = F.filter(grams, lambda g: F.exists(g, lambda w: ~F.array_contains(stop_array, w)))
-        return F.transform(grams, lambda g: F.array_join(g, " "))
-
-    return F.array_distinct(F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)])))
+    stop_words = list(stop)
+
+    def of_length(words, n):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        runs = F.transform(starts, lambda i: F.slice(words, i, n))
+        if stop_words:
+            runs = F.filter(runs, lambda g: F.exists(g, lambda w: ~w.isin(stop_words)))
+        return F.when(F.size(words) >= n, F.transform(runs, lambda g: F.array_join(g, " "))).otherwise(
+            F.array().cast("array<string>"))
+
+    # The token array is bound once: an expensive expression must not be evaluated again for every position.
+    return let(tokens, lambda words: F.array_distinct(F.flatten(F.array(*[of_length(words, n) for n in range(1, longest + 1)]))))
 
 
 def numbers(text: Column) -> Column:

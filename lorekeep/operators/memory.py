@@ -64,6 +64,10 @@ def event_sequence(events: DataFrame, query_col: str, at: str, event_id: str, bl
     return blocked_running_sum(events, [query_col], block, [F.col(at), F.col(event_id)], F.lit(1), "sequence")
 
 
+def _seconds(n: float) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(n))
+
+
 def sessionize(events: DataFrame, key: list[str], at: str, event_id: str, gap_seconds: int, block: str = "day") -> DataFrame:
     """Adds `run`: a number that grows when more than the gap passed since the key's previous event.
 
@@ -74,9 +78,8 @@ def sessionize(events: DataFrame, key: list[str], at: str, event_id: str, gap_se
     ends = rows.groupBy(*key, "__block").agg(F.max(at).alias("__end"))
     previous = ends.select(*key, "__block", F.lag("__end").over(Window.partitionBy(*key).orderBy("__block")).alias("__last"))
     before = F.coalesce(F.lag(at).over(inside), F.col("__last"))
-    seconds = F.timestamp_diff("SECOND", F.col("__before"), F.col(at))
     opened = (rows.join(previous, [*key, "__block"]).withColumn("__before", before)
-              .withColumn("__opens", F.when(F.col("__before").isNull() | (seconds > gap_seconds), 1).otherwise(0)).drop("__last", "__before"))
+              .withColumn("__opens", F.when(F.col("__before").isNull() | (F.col(at) - F.col("__before") > _seconds(gap_seconds)), 1).otherwise(0)).drop("__last", "__before"))
     from .skew import blocked_running_sum
     return blocked_running_sum(opened, key, F.date_trunc(block, F.col(at)), [F.col(at), F.col(event_id)], F.col("__opens"), "run").drop("__opens", "__block")
 
@@ -155,7 +158,7 @@ def as_of_reuse(asked: DataFrame, key: list[str], at: str, event_id: str, window
     earlier = ends.select(*key, "__block", F.lag("__end").over(Window.partitionBy(*key).orderBy("__block")).alias("__last"))
     found = (rows.withColumn("__inside", F.lag(stamp).over(inside)).join(earlier, [*key, "__block"])
              .withColumn("__p", F.coalesce("__inside", "__last")))
-    close = F.timestamp_diff("SECOND", F.col("__p.at"), F.col(at)) <= window_seconds
+    close = F.col(at) - F.col("__p.at") <= _seconds(window_seconds)
     return found.select(*asked.columns, F.when(close, F.col("__p.id")).alias("reused_id"), F.when(close, F.col("__p.at")).alias("reused_at"))
 
 

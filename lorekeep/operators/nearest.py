@@ -113,16 +113,17 @@ def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, score: Callable, r
             for r, q in zip(pdf["rows"], pdf["queries"]):
                 # Rounded, so copies of one row tie whatever their place in a block.
                 values = np.round(np.asarray(score(q, r), dtype=np.float64), 9)
-                ids = np.array([x[row_key] for x in r])
+                ids = np.array([x[row_key] for x in r], dtype=object)
                 if exclude_same:
-                    asked = np.array([x[query_key] for x in q])
+                    asked = np.array([x[query_key] for x in q], dtype=object)
                     values = np.where(asked[:, None] == ids[None, :], -np.inf, values)
                 if threshold is not None:
                     values = np.where(values >= threshold, values, -np.inf)
                 for i, at in enumerate(_best(values, ids, k)):
                     at = at[np.isfinite(values[i][at])]
                     if len(at):
-                        yield pd.DataFrame({query_key: q[i][query_key], row_key: ids[at], "score": values[i][at]})
+                        yield pd.DataFrame({query_key: pd.Series([q[i][query_key]] * len(at), dtype=object),
+                                            row_key: pd.Series(ids[at], dtype=object), "score": values[i][at]})
 
     found = pairs.select("rows", "queries").mapInPandas(
         run, f"{query_key} {query_type}, {row_key} {row_type}, score double")

@@ -70,7 +70,8 @@ def similar_links(items: DataFrame, group: list[str], same: float = 0.85, same_t
         i, j = np.nonzero(repeat | change)
         links = _forest(len(pdf), ((low[x], high[y]) for x, y in zip(i, j) if low[x] != high[y]))
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]})
+        return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in links], dtype=object),
+                             "b": pd.Series([ids[y] for _, y in links], dtype=object)})
 
     near = (spread.select(*keys, "__lo", "__hi", "__block", "id", "vec", "figures", F.col("date").cast("string").alias("date"))
             .groupBy(*keys, "__lo", "__hi").applyInPandas(compare, f"a {id_type}, b {id_type}"))

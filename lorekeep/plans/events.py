@@ -17,7 +17,7 @@ def _sequence(t):
         "event_id", "user_id", F.col("sequence").cast("long").alias("sequence"))
 
 
-GAP_SQL = """g AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= 10800 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+GAP_SQL = """g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)"""
 
 
@@ -137,7 +137,7 @@ def _episodes(t):
 
 
 @query("as_of_reuse", """WITH p AS (SELECT *, lag(event_id) OVER w AS pid, lag(ts) OVER w AS pts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
-SELECT event_id, user_id, CASE WHEN date_diff('second', pts, ts) <= 86400 THEN pid END AS reused_id FROM p""")
+SELECT event_id, user_id, CASE WHEN ts - pts <= INTERVAL 24 HOUR THEN pid END AS reused_id FROM p""")
 def _reuse(t):
     rows = memory.as_of_reuse(t.events.select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 86400)
     return rows.select("event_id", "user_id", "reused_id")

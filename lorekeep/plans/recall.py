@@ -62,8 +62,8 @@ h1 AS (SELECT query_id, seed, l.nb AS node, 1.0 * 0.6 * spec * w AS gain, row_nu
 
 
 @query("spread_distinct", f"""WITH {SPREAD_SQL},
-h2 AS (SELECT h.query_id, h.seed, l.nb AS node, h.gain * 0.6 * spec * w AS gain, row_number() OVER (PARTITION BY h.query_id, h.seed, h.node ORDER BY w DESC, nb DESC) AS r
-  FROM h1 h JOIN l ON l.node = h.node JOIN spec ON spec.node = h.node WHERE h.gain >= 0.05 AND l.nb <> h.seed QUALIFY r <= 8),
+h2 AS (SELECT h.query_id, h.seed, l.nb AS node, h.gain * 0.6 * spec * w AS gain, row_number() OVER (PARTITION BY h.query_id, h.seed, h.node ORDER BY w DESC, nb DESC) AS rk
+  FROM h1 h JOIN l ON l.node = h.node JOIN spec ON spec.node = h.node WHERE h.gain >= 0.05 AND l.nb <> h.seed QUALIFY rk <= 8),
 reach AS (SELECT query_id, seed, node, max(a) AS a FROM (SELECT query_id, seed, seed AS node, 1.0 AS a FROM seeds UNION ALL SELECT query_id, seed, node, gain FROM h1
   UNION ALL SELECT query_id, seed, node, gain FROM h2) GROUP BY ALL),
 total AS (SELECT query_id, node, sum(a) AS activation FROM reach GROUP BY ALL),

@@ -77,8 +77,8 @@ def _hosts(t):
 
 
 @query("passages_100w", """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 100)) AS at FROM w)
-SELECT doc_id, at // 100 AS passage, md5(array_to_string(w[at + 1:at + 100], ' ')) AS digest FROM s""")
+s AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 100)) AS pos FROM w)
+SELECT doc_id, pos // 100 AS passage, md5(array_to_string(w[pos + 1:pos + 100], ' ')) AS digest FROM s""")
 def _passages(t):
     cut = passages.word_passages(t.documents.select("doc_id", "text"))
     return cut.select("doc_id", "passage", F.md5("text").alias("digest"))
@@ -95,7 +95,7 @@ def _dedupe(t):
   CASE WHEN doc_id % 2 = 0 THEN ' also [zz, a].' ELSE ' [c].' END AS answer FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b|c' ELSE 'a|b|c' END AS cited,
   md5(replace(replace(replace(replace(answer, '[b, c]', '[id2][id3]'), '[a]', '[id1]'), ' [c].', ' [id3].'), 'zzz', 'zzz')) AS rewritten,
-  md5(replace(replace(replace(answer, ' [b, c]', ''), ' [a]', ''), ' [c]', '')) AS bare FROM d""")
+  md5(regexp_replace(answer, '\\s*\\[(a|b, c|c)\\]', '', 'g')) AS bare FROM d""")
 def _citations(t):
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit(" also [zz, a].")).otherwise(F.lit(" [c]."))
     rows = t.documents.select("doc_id", F.concat(F.lit("It holds [a] that "), F.substring(F.replace(F.col("text"), F.lit("["), F.lit("(")), 1, 40),
