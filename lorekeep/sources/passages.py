@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def word_passages(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,10 +43,8 @@ def registered_copies(rows: DataFrame, digest: str = "digest", id_col: str = "do
 
 def new_documents(staged: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new, duplicates) of staged sources by document id: one staged source per id creates the document."""
-    first = Window.partitionBy("document_id").orderBy("source_id")
     known = stored.select("document_id").withColumn("__known", F.lit(True))
     one = staged.groupBy("document_id").agg(F.min("source_id").alias("__first"))
     marked = staged.join(one, "document_id").join(known, "document_id", "left")
     fresh = F.col("__known").isNull() & (F.col("source_id") == F.col("__first"))
-    del first
     return (marked.where(fresh).select(staged.columns), marked.where(~fresh).select(staged.columns))
