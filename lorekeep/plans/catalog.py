@@ -5,3 +5,4 @@ from .registry import ORACLES, QUERIES  # noqa: F401
 from . import graphs  # noqa: F401
 from . import events, texts  # noqa: F401
 from . import recall  # noqa: F401
+from . import answering  # noqa: F401
