@@ -7,3 +7,4 @@ from . import events, texts  # noqa: F401
 from . import recall  # noqa: F401
 from . import answering  # noqa: F401
 from . import ingest, terminologies  # noqa: F401
+from . import traces  # noqa: F401
