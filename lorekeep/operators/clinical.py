@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import norm, norm_words
 from ..sources.taxonomies import IS_A
+from ..session import cut_lineage
 from .graph import closure
-from .skew import top_per_group
 
 # Semantic tags that stand for one another.
 TAG_GROUPS = [
@@ -33,30 +33,40 @@ def resolve_terms(mentions: DataFrame, terms: DataFrame, concepts: DataFrame, ov
 
     Exact normalised synonyms first, tag-compatible ones preferred, the full name and then the deeper concept winning;
     else the terms sharing at least `overlap` of the words, tag-compatible only, the closest and then the shallower
-    winning. Fuzzy matches meet on a mention's rarest words: two word sets with that overlap share one of the rarest
-    (1 - overlap) + 1 words of the mention, so common words never become join keys.
+    winning. Equal wordings are compared once, on both sides. Fuzzy matches meet on a wording's rarest words: two word
+    sets with that overlap share one of the rarest (1 - overlap) + 1 words of either, so common words rarely join.
     """
-    known = concepts.select(F.col("id").alias("concept"), "tag", "depth")
+    known = concepts.select(F.col("id").alias("concept"), tag_group(F.coalesce("tag", F.lit(""))).alias("group"), "depth")
     asked = mentions.select("mention_id", norm(F.col("term")).alias("norm"), tag_group(F.coalesce("tag", F.lit(""))).alias("wanted")).where("norm <> ''")
-    exact = asked.join(terms.select("norm", "concept", "fsn"), "norm").join(known, "concept")
-    fits = (F.col("wanted") == "") | (tag_group(F.col("tag")) == F.col("wanted"))
-    best = exact.groupBy("mention_id").agg(F.max_by("concept", F.struct(fits, "fsn", "depth", "concept")).alias("code"))
-
-    rest = asked.join(best.select("mention_id"), "mention_id", "left_anti")
-    word_sets = terms.select("concept", "norm").distinct().withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("size", F.size("words"))
-    frequency = word_sets.select("norm", "words").distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    open_words = rest.withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("size", F.size("words"))
-    probes = open_words.select("mention_id", "size", F.explode("words").alias("word")).join(frequency, "word")
-    # |A∩B| ≥ t·|A∪B| ≥ t·|A|, so leaving out ⌈t·|A|⌉ - 1 words still hits one shared word.
-    most = F.col("size") - F.ceil(F.lit(overlap) * F.col("size")) + 1
-    few = top_per_group(probes, ["mention_id"], [F.col("df"), F.col("word")], 1_000, "place").where(F.col("place") <= most)
-    posting = word_sets.select("concept", "norm", "words", "size", F.explode("words").alias("word"))
-    near = (few.select("mention_id", "word").join(posting, "word").dropDuplicates(["mention_id", "concept", "norm"])
-            .join(open_words.select("mention_id", "wanted", F.col("words").alias("mine"), F.col("size").alias("my_size")), "mention_id"))
-    shared = F.size(F.array_intersect("words", "mine"))
-    scored = near.withColumn("overlap", shared / (F.col("size") + F.col("my_size") - shared)).where(F.col("overlap") >= overlap).join(known, "concept").where(fits)
-    fuzzy = scored.groupBy("mention_id").agg(F.max_by("concept", F.struct("overlap", -F.col("depth"), "concept")).alias("code"))
-    return best.unionByName(fuzzy)
+    # One row per wording and tag group: its best concept for an exact and for a fuzzy match.
+    wordings = (terms.select("norm", "concept", "fsn").join(known, "concept").groupBy("norm", "group").agg(
+        F.max(F.struct("fsn", "depth", "concept")).alias("exact"), F.max(F.struct((-F.col("depth")).alias("near"), "concept")).alias("fuzzy")))
+    wordings = cut_lineage(wordings)
+    wanted = cut_lineage(asked.select("norm", "wanted").distinct())
+    fits = (F.col("wanted") == "") | (F.col("group") == F.col("wanted"))
+    best = wanted.join(wordings, "norm").groupBy("norm", "wanted").agg(F.max_by("exact.concept", F.struct(fits, "exact")).alias("code"))
+
+    rest = wanted.join(best.select("norm", "wanted"), ["norm", "wanted"], "left_anti")
+    words = F.array_distinct(F.split("norm", " "))
+    known_words = wordings.select("norm").distinct().withColumn("words", words)
+    frequency = known_words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(rows, key):
+        """|A∩B| ≥ t·|A|, so leaving out the ⌈t·|A|⌉ - 1 most common words of A still hits a shared one."""
+        listed = rows.select(key, F.size("words").alias("size"), F.explode("words").alias("word")).join(frequency, "word", "left").fillna(0, ["df"])
+        order = Window.partitionBy(key).orderBy("df", "word")
+        kept = listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("size") - F.ceil(F.lit(overlap) * F.col("size")) + 1)
+        return kept.select(key, "word", "size")
+
+    open_words = rest.select("norm").distinct().withColumn("words", words).withColumnRenamed("norm", "mine")
+    left, right = rarest(open_words, "mine"), rarest(known_words, "norm")
+    pairs = (left.withColumnRenamed("size", "my_size").join(right, "word")
+             .where((F.least("size", "my_size") >= F.lit(overlap) * F.greatest("size", "my_size"))).select("mine", "norm").distinct())
+    mine, theirs = F.array_distinct(F.split("mine", " ")), F.array_distinct(F.split("norm", " "))
+    near = pairs.withColumn("overlap", F.size(F.array_intersect(mine, theirs)) / F.size(F.array_union(mine, theirs))).where(F.col("overlap") >= overlap)
+    scored = near.join(wordings, "norm").join(rest.select(F.col("norm").alias("mine"), "wanted"), "mine").where(fits)
+    fuzzy = scored.groupBy(F.col("mine").alias("norm"), "wanted").agg(F.max_by("fuzzy.concept", F.struct("overlap", "fuzzy")).alias("code"))
+    return asked.join(best.unionByName(fuzzy), ["norm", "wanted"]).select("mention_id", "code")
 
 
 def coded_mentions(mentions: DataFrame, resolved: DataFrame, concepts: DataFrame) -> DataFrame:

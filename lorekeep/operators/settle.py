@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import numbers
+from ..session import cut_lineage
 from .components import connected_components
 from .skew import salted_join, top_per_group
 
@@ -84,7 +85,7 @@ def settle(items: DataFrame, group: list[str], same: float = 0.85, same_text: fl
     Of each linked set the newest survives; `seen` counts statements with its figures, `before` keeps the latest words
     of up to two replaced values. members: (survivor_id, id) of everything merged, as rows.
     """
-    marked = items.withColumn("figures", F.array_join(numbers(F.col("text")), "|"))
+    marked = cut_lineage(items.withColumn("figures", F.array_join(numbers(F.col("text")), "|")))
     sets = connected_components(marked.select("id"), similar_links(marked, group, same, same_text))
     rows = marked.drop("vec").join(sets, "id")
     newest = rows.groupBy("component").agg(

@@ -8,6 +8,7 @@ from ..functions.text import norm, terms
 from ..functions.vectors import hash_embedding
 from ..operators import fusion, memory, settle, spreading
 from ..operators.skew import top_per_group
+from ..session import cut_lineage
 from .graphs import key
 from .registry import query
 
@@ -22,7 +23,8 @@ def recall(inputs: DataFrame, nodes: DataFrame, links: DataFrame, names: DataFra
     params = params or spreading.SpreadParams(hops=1)
     seeds = spreading.seed_nodes(inputs, nodes, names, params, carried=carried)
     active = spreading.spread(seeds, links, params, (inputs.select("query_id", "vec"), nodes.select("node", "vec")))
-    ranked = spreading.score_memories(active, inputs, nodes, params)
+    # Everything below reads the ranking several times.
+    ranked = cut_lineage(spreading.score_memories(active, inputs, nodes, params))
     cues = top_per_group(ranked.where("kind = 'entity'"), ["query_id"], [F.round("score", 12).desc(), F.col("node")], 20)
 
     named = spreading.named_entities(inputs, names)
