@@ -193,7 +193,7 @@ def closure(starts: DataFrame, edges: DataFrame, key: str = "start", max_depth:
     Breadth-first, all starts together: a round joins only the newest pairs with the edges, combines duplicates before
     the shuffle and drops pairs seen earlier. Each round is cut, so its inputs are the previous round's files.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut_lineage(edges.select("src", "dst").distinct())  # read again in every round
     frontier = cut_lineage(starts.select(F.col(key), F.col("node")).distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     depth = 0

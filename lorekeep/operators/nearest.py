@@ -20,23 +20,32 @@ BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
 
 
 def _packed(df: DataFrame, key: str, rows: int, fields: list[str], name: str, group: list[str]) -> DataFrame:
-    """Blocks of about `rows` rows: (group, block number, array of structs)."""
+    """Blocks of about `rows` rows: (group, block number, one array per field, vectors end to end with their sizes)."""
     block = F.pmod(F.xxhash64(key), F.greatest(F.ceil(F.col("__n") / rows), F.lit(1)))
     if group:
         sized = df.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
     else:
         sized = df.withColumn("__n", df.agg(F.count(F.lit(1)).alias("n")).scalar())
-    return (sized.withColumn(f"__{name}", block).groupBy(*group, f"__{name}")
-            .agg(F.collect_list(F.struct(*fields)).alias(name)))
-
-
-def _matrix(rows, field: str, width: int | None = None) -> np.ndarray:
-    vectors = [r[field] for r in rows]
-    width = width or max((len(v) for v in vectors if v is not None), default=0)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == width:
-            out[i] = v
+    packed = sized.withColumn(f"__{name}", block).groupBy(*group, f"__{name}").agg(F.collect_list(F.struct(key, *fields)).alias("__packed"))
+    none = F.array().cast("array<double>")
+
+    def column(field):
+        if field == "vec":
+            return F.flatten(F.transform("__packed", lambda r: F.coalesce(r["vec"].cast("array<double>"), none)))
+        return F.transform("__packed", lambda r: r[field])
+
+    sizes = [F.transform("__packed", lambda r: F.size(F.coalesce(r["vec"].cast("array<double>"), none))).alias(f"{name}_sizes")] if "vec" in fields else []
+    return packed.select(*group, f"__{name}", *[column(f).alias(f"{name}_{f}") for f in [key, *fields]], *sizes)
+
+
+def _matrix(block: dict, width: int) -> np.ndarray:
+    """The block's vectors as rows; missing vectors and those of another width become zero."""
+    sizes, flat = np.asarray(block["sizes"]), np.asarray(block["vec"], dtype=np.float64)
+    if len(sizes) and (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out, ends = np.zeros((len(sizes), width)), np.cumsum(sizes)
+    for i in np.flatnonzero(sizes == width):
+        out[i] = flat[ends[i] - width:ends[i]]
     return out
 
 
@@ -45,32 +54,32 @@ def _normalised(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def cosine_scores(queries, rows) -> np.ndarray:
+def cosine_scores(queries: dict, rows: dict) -> np.ndarray:
     """Cosine of every query with every row of two blocks; 0 for a missing or zero vector."""
-    width = max(max((len(q["vec"]) for q in queries if q["vec"] is not None), default=0), 1)
-    return _normalised(_matrix(queries, "vec", width)) @ _normalised(_matrix(rows, "vec", width)).T
+    width = max(int(np.max(queries["sizes"], initial=0)), 1)
+    return _normalised(_matrix(queries, width)) @ _normalised(_matrix(rows, width)).T
 
 
 def hybrid_scores(lexical: float = 0.5, semantic: float = 0.35, label: float = 0.1, hit: float = 0.0025, hit_cap: int = 20):
     """The hybrid ranking: share of the query's terms found, cosine, share found in the label, past hits."""
 
-    def score(queries, rows) -> np.ndarray:
-        vocabulary = {t: i for i, t in enumerate(sorted({t for q in queries for t in q["terms"]}))}
-        asked = np.zeros((len(queries), max(len(vocabulary), 1)), dtype=np.float32)
-        for i, q in enumerate(queries):
-            asked[i, [vocabulary[t] for t in q["terms"]]] = 1
+    def score(queries: dict, rows: dict) -> np.ndarray:
+        vocabulary = {t: i for i, t in enumerate(sorted({t for q in queries["terms"] for t in q}))}
+        asked = np.zeros((len(queries["terms"]), max(len(vocabulary), 1)), dtype=np.float32)
+        for i, q in enumerate(queries["terms"]):
+            asked[i, [vocabulary[t] for t in q]] = 1
         share = np.maximum(asked.sum(axis=1, keepdims=True), 1).astype(np.float64)
 
         def found(field):
-            held = np.zeros((len(rows), asked.shape[1]), dtype=np.float32)
-            for i, r in enumerate(rows):
-                held[i, [vocabulary[t] for t in r[field] if t in vocabulary]] = 1
+            held = np.zeros((len(rows[field]), asked.shape[1]), dtype=np.float32)
+            for i, r in enumerate(rows[field]):
+                held[i, [vocabulary[t] for t in r if t in vocabulary]] = 1
             return held
 
         in_label, in_text = found("label_words"), found("content_words")
         overlap = (asked @ np.maximum(in_label, in_text).T).astype(np.float64) / share
         labelled = (asked @ in_label.T).astype(np.float64) / share
-        hits = np.minimum(np.array([r["hits"] or 0 for r in rows], dtype=np.float64), hit_cap)
+        hits = np.minimum(np.array([h or 0 for h in rows["hits"]], dtype=np.float64), hit_cap)
         return (lexical * overlap + semantic * np.maximum(cosine_scores(queries, rows), 0)
                 + label * labelled + hit * hits[None, :])
 
@@ -96,8 +105,8 @@ def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, score: Callable, r
                  group: list[str] | None = None, threshold: float | None = None, exclude_same: bool = False) -> DataFrame:
     """The k best rows per query (query key, row key, score, rank), exactly, inside each group when groups are named."""
     group = group or []
-    row_blocks = _packed(rows, row_key, BLOCK_ROWS, [row_key, *row_fields], "rows", group)
-    query_blocks = _packed(queries, query_key, BLOCK_QUERIES, [query_key, *query_fields], "queries", group)
+    row_blocks = _packed(rows, row_key, BLOCK_ROWS, row_fields, "rows", group)
+    query_blocks = _packed(queries, query_key, BLOCK_QUERIES, query_fields, "queries", group)
     if group:
         pairs = row_blocks.join(query_blocks, group)
     else:
@@ -108,25 +117,28 @@ def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, score: Callable, r
                  .join(query_blocks, "__queries"))
     row_type, query_type = rows.schema[row_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
 
+    names = [c for c in pairs.columns if c.startswith(("rows_", "queries_"))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r, q in zip(pdf["rows"], pdf["queries"]):
+            for record in pdf.to_dict("records"):
+                r = {c[5:]: v for c, v in record.items() if c.startswith("rows_")}
+                q = {c[8:]: v for c, v in record.items() if c.startswith("queries_")}
                 # Rounded, so copies of one row tie whatever their place in a block.
                 values = np.round(np.asarray(score(q, r), dtype=np.float64), 9)
-                ids = np.array([x[row_key] for x in r], dtype=object)
+                ids, asked = np.array(list(r[row_key]), dtype=object), np.array(list(q[query_key]), dtype=object)
                 if exclude_same:
-                    asked = np.array([x[query_key] for x in q], dtype=object)
                     values = np.where(asked[:, None] == ids[None, :], -np.inf, values)
                 if threshold is not None:
                     values = np.where(values >= threshold, values, -np.inf)
-                for i, at in enumerate(_best(values, ids, k)):
-                    at = at[np.isfinite(values[i][at])]
-                    if len(at):
-                        yield pd.DataFrame({query_key: pd.Series([q[i][query_key]] * len(at), dtype=object),
-                                            row_key: pd.Series(ids[at], dtype=object), "score": values[i][at]})
-
-    found = pairs.select("rows", "queries").mapInPandas(
-        run, f"{query_key} {query_type}, {row_key} {row_type}, score double")
+                kept = [at[np.isfinite(values[i][at])] for i, at in enumerate(_best(values, ids, k))]
+                places = np.repeat(np.arange(len(asked)), [len(at) for at in kept])
+                chosen = np.concatenate(kept) if kept else np.array([], dtype=int)
+                if len(chosen):
+                    yield pd.DataFrame({query_key: pd.Series(asked[places], dtype=object), row_key: pd.Series(ids[chosen], dtype=object),
+                                        "score": values[places, chosen]})
+
+    found = pairs.select(*names).mapInPandas(run, f"{query_key} {query_type}, {row_key} {row_type}, score double")
     return top_per_group(found, [query_key], [F.col("score").desc(), F.col(row_key)], k)
 
 

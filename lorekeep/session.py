@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small inputs with much work per row would otherwise end up in one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128kb")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LOREKEEP_DRIVER_MEMORY", "12g"))
@@ -45,9 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises an iteration's result in the checkpoint folder, so a lost executor replays one round, not all."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes an iteration's result as a table in the checkpoint folder and reads it back.
+
+    A lost executor then replays one round, not all; the next round gets a columnar input of known size. The tables of
+    an application lie in one folder of their own (see `cut_folder`).
+    """
+    path = f"{cut_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; it may be removed once the application has ended."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}"
 
 
 def is_empty(df: DataFrame) -> bool:
