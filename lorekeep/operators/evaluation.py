@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .skew import top_per_group
 
 
 def _gain(rank: Column) -> Column:
@@ -34,7 +36,7 @@ def session_scores(rankings: DataFrame, gold: DataFrame, session: str, query_col
                    cutoffs=(3, 5)) -> DataFrame:
     """Whether all gold sessions are among the first sessions of a ranking."""
     first = rankings.groupBy(query_col, session).agg(F.min("rank").alias("first_rank"))
-    order = first.withColumn("place", F.row_number().over(Window.partitionBy(query_col).orderBy("first_rank", session)))
+    order = top_per_group(first, [query_col], [F.col("first_rank"), F.col(session)], max(cutoffs), "place")
     wanted = gold.select(query_col, session).distinct()
     placed = wanted.join(order, [query_col, session], "left")
     return placed.groupBy(query_col).agg(*[

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
-from ..functions.text import terms
+from ..functions.text import terms, words
 from ..session import cut_lineage
 from . import fusion, graph, inference
 from .nearest import hybrid_topk, rank_inputs
@@ -81,12 +81,15 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     needs: query_id, need_id, need_no, description, vec; questions: query_id, text, vec; nodes: visible content nodes
     (id, kind, label, aliases, text, summary, routing_summary, embedding, hits, retrieval_leaf); provenance: node_id,
     document_id (first source document) for nodes that have an original source. `relevance` adds `relevant` and
-    `relevance` to (need_key, node_id, description, text) rows. `starts`: (need_key, node_id, action) skips the root.
+    `relevance` to (need_key, node_id, description, text, text_words) rows. `starts`: (need_key, node_id, action) skips the root.
     """
     p = params or ExploreParams()
     relevance = relevance or lexical_check
     needs = cut_lineage(needs.withColumn("need_key", F.concat_ws("|", "query_id", "need_id")).withColumn("terms", terms(F.col("description"))))
     inputs = cut_lineage(rank_inputs(nodes.withColumnRenamed("id", "node_id")))
+    # Every leaf's words are cut once; the checks only intersect them.
+    leaves = cut_lineage(nodes.where(F.col("kind").isin("Chunk", "Assertion", "Document") & (F.length("text") > 0)).select(
+        F.col("id").alias("node_id"), "kind", "text", words(F.col("text")).alias("text_words")))
     kinds = nodes.select(F.col("id").alias("node_id"), graph.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_leaf")).alias("retrievable"))
     owner = needs.select("need_key", "query_id")
 
@@ -100,7 +103,7 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     root = cut_lineage(root.select("query_id", "need_key", "node_id", "score", "rank", "retrievable", "action", "reason"))
 
     selected = within_budget(root.where("action = 'SELECT'"), p.nodes)
-    first = cut_lineage(check(selected, needs, nodes, provenance, relevance))
+    first = cut_lineage(check(selected, needs, leaves, provenance, relevance))
 
     # One hop of expansion, only for needs the leaves left without evidence (every need in a dossier).
     waiting = root.where("action = 'EXPAND'")
@@ -119,7 +122,7 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     spent = (selected.select("query_id").unionByName(expanded.select("query_id")).groupBy("query_id")
              .agg((F.lit(p.nodes) - F.count(F.lit(1))).cast("int").alias("left")))
     chosen = within_budget(children.where("action = 'SELECT'"), spent)
-    second = check(chosen, needs, nodes, provenance, relevance)
+    second = check(chosen, needs, leaves, provenance, relevance)
 
     hits = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
     evidence = merge_evidence(hits, needs)
@@ -136,14 +139,16 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
 
 def lexical_check(pairs: DataFrame) -> DataFrame:
     """Offline relevance: the need's words occur; 0.8 when relevant, 0.1 otherwise."""
-    relevant = inference.lexical_relevance(F.col("description"), F.col("text"))
+    relevant = inference.lexical_relevance(F.col("description"), F.col("text_words"))
     return pairs.withColumn("relevant", relevant).withColumn("relevance", F.when(F.col("relevant"), 0.8).otherwise(0.1))
 
 
-def check(branches: DataFrame, needs: DataFrame, nodes: DataFrame, provenance: DataFrame, relevance) -> DataFrame:
-    """Selected leaves that answer their need and have a source: evidence per (need, node)."""
+def check(branches: DataFrame, needs: DataFrame, leaves: DataFrame, provenance: DataFrame, relevance) -> DataFrame:
+    """Selected leaves that answer their need and have a source: evidence per (need, node).
+
+    leaves: node_id, kind, text, text_words."""
     pairs = (branches.join(needs.select("need_key", "need_id", "need_no", "description"), "need_key")
-             .join(nodes.where(F.col("kind").isin("Chunk", "Assertion", "Document")).select(F.col("id").alias("node_id"), "kind", "text"), "node_id")
+             .join(leaves, "node_id")
              .join(provenance.select("node_id", "document_id"), "node_id"))
     return relevance(pairs).where("relevant").select("query_id", "need_key", "need_id", "need_no", "node_id", "kind", "text", "document_id", "relevance", "score")
 

@@ -77,10 +77,10 @@ def changed_embeddings(concepts: DataFrame, stored: DataFrame, stamp: str, text:
 
 
 # --- Offline defaults ---
-def lexical_relevance(need: Column, text: Column) -> Column:
-    """At least two content words of the need occur (one when it has only one)."""
+def lexical_relevance(need: Column, text_words: Column) -> Column:
+    """At least two content words of the need are among a text's words (one when it has only one)."""
     wanted = F.array_except(words(need), literals(_stop()))
-    return let(wanted, lambda w: (F.size(w) > 0) & (F.size(F.array_intersect(w, words(text))) >= F.least(F.lit(2), F.size(w))))
+    return let(wanted, lambda w: (F.size(w) > 0) & (F.size(F.array_intersect(w, text_words)) >= F.least(F.lit(2), F.size(w))))
 
 
 def _stop():
