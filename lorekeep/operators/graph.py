@@ -331,7 +331,3 @@ def previews(nodes: DataFrame, excerpt_tokens: int = 80, compact: bool = False)
         (F.slice("aliases", 1, 5) if compact else F.col("aliases")).alias("aliases"),
         retrievable(F.col("kind"), F.col("text"), F.col("retrieval_leaf")).alias("retrievable"),
         (F.substring(excerpt, 1, 300) if compact else excerpt).alias("excerpt"))
-
-
-def running_position(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -8,3 +8,4 @@ from . import recall  # noqa: F401
 from . import answering  # noqa: F401
 from . import ingest, terminologies  # noqa: F401
 from . import traces  # noqa: F401
+from . import streams  # noqa: F401

@@ -65,7 +65,7 @@ def working_memory_stream(updates: DataFrame, hours: float = 3, decay: float = 0
             last = now
         state.update((last, json.dumps(held)))
         state.setTimeoutTimestamp(max(int((last + hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "cue": pd.Series(list(held), dtype=object), "activation": list(held.values()), "updated_at": pd.Timestamp(last, unit="s")})
+        yield pd.DataFrame({"key": key[0], "cue": pd.Series(list(held), dtype=object), "activation": list(held.values()), "updated_at": pd.Timestamp(last, unit="s").round("us")})
 
     return (updates.withWatermark("at", delay).groupBy("key")
             .applyInPandasWithState(step, output, "last double, held string", "update", GroupStateTimeout.EventTimeTimeout))
