@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import BM25_STOP_WORDS, STOP_WORDS, terms, words
+from ..functions.text import BM25_STOP_WORDS, STOP_WORDS, words
 from ..functions.vectors import hash_embedding
 from ..operators import evaluation, fusion, lexical, nearest
 from .registry import query, sql_list
