@@ -57,14 +57,15 @@ FOLD_CASE[65:91] += 32
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
-_powers = np.ones(1, np.uint64)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers: dict[np.uint64, np.ndarray] = {}
 
 
-def powers(count: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < count:
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count + (count >> 2), BASE, np.uint64)]))
-    return _powers
+def powers(base: np.uint64, count: int) -> np.ndarray:
+    """base ** 0, 1, 2, ... modulo 2 ** 64, at least `count` of them."""
+    if len(_powers.get(base, ())) < count:
+        _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count + (count >> 2), base, np.uint64)]))
+    return _powers[base]
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +81,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = IN_
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    scale = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_KEYS[data] * scale[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * scale[len(data) - starts])
+    np.cumsum(BYTE_KEYS[data] * powers(BASE, len(data))[:len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(UNBASE, len(data))[starts])
