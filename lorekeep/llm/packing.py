@@ -20,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .arrays import strings
+from .arrays import pieces, strings
 
 WINDOW = 2048
 ROUND_PIECES = 1 << 16
 ROUND_BYTES = 64 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 
 
 class Vacancies:
@@ -90,6 +90,36 @@ def _letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
+class Remembered:
+    """A bounded table of two generations: what was asked for lately survives when the older half is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The unknown keys; known ones are moved to the younger generation. Keys of one call always fit together."""
+        if len(self.young) + len(keys) > self.limit and self.young:
+            self.old, self.young = self.young, {}
+        absent, old, young = [], self.old, self.young
+        for key in keys - young.keys():
+            found = old.get(key)
+            if found is None:
+                absent.append(key)
+            else:
+                young[key] = found
+        return absent
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte that byte-level vocabularies use: printable Latin-1 bytes stand for themselves,
+    the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Token ids of whole texts by a vocabulary that lower-cases and splits texts into words; words are encoded once.
 
@@ -100,53 +130,48 @@ class WordTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_letters = _byte_letters()
         size = self.library.get_vocab_size()
         self.closes = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         letter, number, blank = _letters("L"), _letters("N"), "\t\n\x0b\x0c\r \x85\xa0"
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{blank}{letter}{number}]+").findall
         self.other = re.compile("[^\x00-\x1b\x20-\u012f\u0132-\u017f]|<\\|").search
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]):
-        """Learns the ids of single words, encoded as one text: every word ends in exactly one closing token."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
+        self.chunks = Remembered(CACHED_WORDS)
+        self.words = Remembered(CACHED_WORDS)
+
+    def _learn_words(self, words: list[str]):
+        """Encodes single words as one text; every word ends in exactly one closing token."""
+        spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_letters) for w in words]
+        ids = np.array(self.bare.encode(" ".join(spelled), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
         data, start = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.words[word] = data[start:end]
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.words.young[word] = data[start:end]
             start = end
 
-    def _learn(self, chunks: list[str]):
-        if len(self.chunks) + len(chunks) > CACHED_WORDS:
-            self.chunks.clear()
+    def _learn_chunks(self, chunks: list[str]):
         cut = [self.find(c) for c in chunks]
-        fresh = list({w for ws in cut for w in ws if w not in self.words})
-        if len(self.words) + len(fresh) > CACHED_WORDS:
-            self.words.clear()
-            fresh = list({w for ws in cut for w in ws})
-        if fresh:
-            self._encode(fresh)
-        words = self.words
+        if fresh := self.words.missing({w for ws in cut for w in ws}):
+            self._learn_words(fresh)
+        of, known = self.words.young, self.chunks.young
         for chunk, ws in zip(chunks, cut):
-            self.chunks[chunk] = b"".join([words[w] for w in ws])
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if self.other(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, chunks = text.lower().split(), self.chunks
-        try:
-            return b"".join([chunks[c] for c in parts])
-        except KeyError:
-            missing = list({c for c in parts if c not in chunks})
-        if len(chunks) + len(missing) > CACHED_WORDS:
-            chunks.clear()
-            missing = list(set(parts))
-        self._learn(missing)
-        return b"".join([chunks[c] for c in parts])
+            known[chunk] = of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [None if self.other(t) else t.lower().split() for t in texts]
+        seen = set()
+        for parts in split:
+            seen.update(parts or ())
+        if absent := self.chunks.missing(seen):
+            self._learn_chunks(absent)
+        of = self.chunks.young.__getitem__
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if parts is None
+                else b"".join(map(of, parts)) for t, parts in zip(texts, split)]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -196,19 +221,22 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
 
         for batch in batches:
             kind = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)).to_pylist()):
-                ids = tokens.ids(text) + end
-                count = len(ids) // 4
-                for start in range(0, count - window + 1, window):
-                    ready.append((key, start, window, ids[4 * start:4 * (start + window)], count, first + used, 0))
-                    used += 1
-                    held += 4 * window
-                if rest := count % window:
-                    tails.append((key, count - rest, rest, ids[4 * (count - rest):], count))
-                    held += 4 * rest
-                if len(tails) >= ROUND_PIECES or held >= ROUND_BYTES:
-                    yield rows(ready + close(), kind)
-                    ready, held = [], 0
+            texts = strings(batch.column(1))
+            for low, high in pieces(texts):
+                encoded = tokens.ids(texts.slice(low, high - low).to_pylist())
+                for key, ids in zip(batch.column(0).slice(low, high - low).to_pylist(), encoded):
+                    ids += end
+                    count = len(ids) // 4
+                    for start in range(0, count - window + 1, window):
+                        ready.append((key, start, window, ids[4 * start:4 * (start + window)], count, first + used, 0))
+                        used += 1
+                        held += 4 * window
+                    if rest := count % window:
+                        tails.append((key, count - rest, rest, ids[4 * (count - rest):], count))
+                        held += 4 * rest
+                    if len(tails) >= ROUND_PIECES or held >= ROUND_BYTES:
+                        yield rows(ready + close(), kind)
+                        ready, held = [], 0
         if ready or tails:
             yield rows(ready + close(), kind)
 
