@@ -42,8 +42,8 @@ SIMILAR = 80
 #: A signature held by more sets than this is frequent.
 CROWD = 12
 #: Signatures of one bucket, about, and signatures a task holds before it hands them on.
-BUCKET_SIGNATURES = 1_500_000
-HELD_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 500_000
+HELD_SIGNATURES = 600_000
 ORDER_KEYS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
