@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path as vocabulary
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ngram_join, packing
+from . import language, ngram_join, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,22 @@ def piece_digests(packed: DataFrame) -> DataFrame:
 @query("op1_near_duplicates")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+def id_crc(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query("op2_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_crc(3) == 1
+    found = language.identify(table(spark, folder, "documents"), held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_crc(5) == 0
+    model = toxicity.learn(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out))
+    found = toxicity.score(table(spark, folder, "documents"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
