@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, ngram_join, packing, toxicity
+from . import language, ngram_join, packing, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out))
     found = toxicity.score(table(spark, folder, "documents"), model)
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = sentencepieces.decode(sentencepieces.encode(table(spark, folder, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
