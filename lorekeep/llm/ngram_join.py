@@ -14,9 +14,10 @@ What keeps this linear:
   task hands on one entry per frequent signature (more than `CROWD` sets) and the chain that joins its holders, so a hot
   signature never gathers in one place.
 - Frequent signatures prove nothing that rare ones don't: a set with more than k/2 parts left whose signatures are all rare
-  shares a rare one with every similar set. Sets short of that (mostly in large groups of near copies) are compared in a
-  second pass: their signatures are joined row by row (Spark splits hot keys), but only across components that
-  the first pass left apart. Signatures of empty unions are written for such sets only.
+  shares a rare one with every similar set. Sets short of that (mostly in large groups of near copies) take a second pass:
+  those that frequent signatures chain together form families, families whose sets lie in different components are cut
+  by band into blocks of bounded size, and blocks meet pairwise to compare sketches. Signatures of empty unions are
+  written only for sets that have too few others.
 - Pairs are thinned by a lower bound of the difference (the bits in which parity sketches of the sets differ) before the
   sets themselves are read.
 
@@ -41,6 +42,10 @@ WORDS = 5
 SIMILAR = 80
 #: A signature held by more sets than this is frequent.
 CROWD = 12
+#: What a fact says about its pair, where it isn't about a spoiled part.
+RARE, CHAIN = -1, -2
+#: Sets of one block of the second pass, about.
+BLOCK = 512
 #: Signatures of one bucket, about, and signatures a task holds before it hands them on.
 BUCKET_SIGNATURES = 500_000
 HELD_SIGNATURES = 600_000
@@ -197,7 +202,8 @@ ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<i8"), ("part", "<i4"
 
 
 def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) -> DataFrame:
-    """(a, b, side, part): pairs of documents to check (side -1), and parts of document a that a frequent signature spoils."""
+    """(a, b, side, part): pairs of documents that share a rare signature (side -1) or are chained by a frequent one (-2), all
+    to be checked, and parts of document a (side 0 or 1) that a frequent signature spoils."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         spoiled: list[tuple] = []
@@ -225,7 +231,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
             # The chains of this task's frequent signatures: to be checked, and parts that they spoil.
             linked = member != head
             ends = np.stack([doc[head[linked]], doc[member[linked]]])
-            chain = np.stack([ends.min(axis=0), ends.max(axis=0), np.full(ends.shape[1], -1), np.zeros(ends.shape[1], np.int64)])
+            chain = np.stack([ends.min(axis=0), ends.max(axis=0), np.full(ends.shape[1], CHAIN), np.zeros(ends.shape[1], np.int64)])
             spoil = np.stack([doc[member], doc[member], part[member] & 1, part[member] >> 1])
             facts = np.unique(np.concatenate([chain, spoil], axis=1).T, axis=0).astype("<i8")
             if len(facts):
@@ -286,13 +292,13 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
         crowd = hot_group & (size > 0)
         head, member = _chains(np.arange(len(lead)), first[crowd], size[crowd])
         linked = member != head
-        pairs = [np.stack([doc[head[linked]], doc[member[linked]]])]
+        pairs = [np.stack([doc[head[linked]], doc[member[linked]], np.full(int(linked.sum()), CHAIN)])]
         few = ~hot_group & (size > 1)
         for step in range(1, CROWD):  # members of a small group with the `step`-th after them
             left = np.flatnonzero(few[group] & (np.arange(len(group)) + step < (first + size)[group]))
-            pairs.append(np.stack([doc[left], doc[left + step]]))
+            pairs.append(np.stack([doc[left], doc[left + step], np.full(len(left), RARE)]))
         pairs = np.concatenate(pairs, axis=1)
-        pairs = np.stack([pairs.min(axis=0), pairs.max(axis=0), np.full(pairs.shape[1], -1), np.zeros(pairs.shape[1], np.int64)])
+        pairs = np.stack([pairs[:2].min(axis=0), pairs[:2].max(axis=0), pairs[2], np.zeros(pairs.shape[1], np.int64)])
         spoil = np.stack([doc[member], doc[member], part[member] & 1, part[member] >> 1])
         facts = np.unique(np.concatenate([pairs.T, spoil.T, *done]), axis=0)
         facts = facts[(facts[:, 2] >= 0) | (facts[:, 0] != facts[:, 1])]
@@ -377,26 +383,69 @@ def hashed_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-def second_candidates(docs: DataFrame, sets: DataFrame, short: DataFrame, found: DataFrame, words: int, similar: int) -> DataFrame:
-    """(a, b): pairs of the documents in `short` that share a signature and whose components differ so far."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = strings(batch.column(1))
-            for low, high in pieces(column):
-                hashes, offsets = shingles(column.slice(low, high - low), words)
-                sig, text, *_ = signatures(hashes, offsets, similar)
-                ids = batch.column(0).slice(low, high - low).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[text])], ["sig", "id"])
-
-    signed = docs.join(short, "id", "left_semi").mapInArrow(run, "sig long, id long").distinct()
-    rows = signed.join(found, "id").join(sets.select("id", "n").distinct(), "id")
-    # Signatures whose holders still stand in several components, and the component with most of them.
-    held = rows.groupBy("sig", "component").count()
-    mixed = held.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    rows = cut_lineage(rows.join(mixed.select("sig", "main"), "sig"))
-    few = rows.where("component <> main").select("sig", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    pairs = few.join(rows, "sig").where((F.col("cx") != F.col("component")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * similar))
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length, shortened to `words` 64-bit words: a row each."""
+    rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def close_pairs(left: dict, right: dict, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that lie in different components, whose sizes fit and whose sketches don't rule them out."""
+    found = [], []
+    for size_a in np.unique(left["bytes"]):
+        for size_b in np.unique(right["bytes"]):
+            rows, columns = np.flatnonzero(left["bytes"] == size_a), np.flatnonzero(right["bytes"] == size_b)
+            words = int(min(size_a, size_b)) // 8
+            b = folded([right["sketch"][j] for j in columns], words)
+            step = max(1, (1 << 21) // max(1, len(columns) * words))
+            for low in range(0, len(rows), step):
+                part = rows[low:low + step]
+                a = folded([left["sketch"][i] for i in part], words)
+                apart = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                n, m = left["n"][part][:, None], right["n"][columns][None, :]
+                fits = (apart * (100 + similar) <= (n + m) * (100 - similar)) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * similar)
+                i, j = np.nonzero(fits & (left["component"][part][:, None] != right["component"][columns][None, :]))
+                found[0].append(part[i])
+                found[1].append(columns[j])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+
+def second_candidates(sets: DataFrame, short: DataFrame, chained: DataFrame, found: DataFrame, similar: int) -> DataFrame:
+    """(a, b): pairs of the documents in `short` that frequent signatures chain together, whose components differ so far and
+    whose sketches do not rule them out."""
+    family = connected_components(chained.select(F.col("a").alias("id")).union(chained.select(F.col("b").alias("id"))), chained)
+    rows = (sets.join(short, "id", "left_semi").select("id", "n", "sketch").join(family.withColumnRenamed("component", "family"), "id").join(found, "id"))
+    lows, _ = bands(similar, int(rows.agg(F.max("n")).first()[0] or 1))
+    # The bands of a set and, as the larger partner, the one below: similar sets have one in common.
+    band = F.size(F.filter(F.array(*[F.lit(int(x)) for x in lows]), lambda x: x <= F.col("n")))
+    rows = cut_lineage(rows.withColumn("band", F.explode(F.array(band, band - 1))))
+    key = ["family", "band"]
+    sized = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    placed = (rows.join(sized.select(*key, F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), key)
+              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c).to_numpy() for c in ("id", "n", "component", "block", "lo")}
+        sketch = table.column("sketch").to_pylist()
+
+        def side(keep: np.ndarray) -> dict:
+            at = np.flatnonzero(keep)
+            return {"sketch": [sketch[i] for i in at], "bytes": np.array([len(sketch[i]) for i in at], np.int64)} | {c: column[c][at] for c in ("id", "n", "component")}
+
+        low = column["block"] == column["lo"]
+        whole = bool(low.all())
+        first, second = side(low), side(low if whole else ~low)
+        i, j = close_pairs(first, second, similar)
+        a, b = first["id"][i], second["id"][j]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    met = placed.select("family", "band", "lo", "hi", "block", "id", "n", "component", "sketch").groupBy("family", "band", "lo", "hi")
+    return met.applyInArrow(compare, "a long, b long").where("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
@@ -411,7 +460,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lead = filled.groupBy(*key).agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("whole_0", "whole_1", "need_0", "need_1")])
     copies = filled.join(lead.select(*key, F.col("id").alias("b")), key).where("id <> b").select(F.col("id").alias("a"), "b")
     facts = cut_lineage(first_candidates(docs, words, similar, buckets))
-    pairs = facts.where("side = -1").select("a", "b")
+    pairs = facts.where("side < 0").select("a", "b").distinct()
     links = cut_lineage(linked_pairs(docs, filled, pairs, words, similar).union(copies).distinct())
     found = connected_components(filled.select("id"), links)
 
@@ -422,7 +471,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     short = cut_lineage(lead.join(spoiled, key, "left").where(" or ".join(f"whole_{s} - coalesce(hot_{s}, 0) < need_{s}" for s in (0, 1)))
                         .select("id").distinct())
     if short.take(1):
-        more = second_candidates(docs, filled, short, found, words, similar)
+        chained = facts.where(F.col("side") == CHAIN).select("a", "b").union(copies)
+        more = second_candidates(filled, short, chained, found, similar)
         later = cut_lineage(linked_pairs(docs, filled, more, words, similar))
         if later.take(1):
             found = connected_components(filled.select("id"), links.union(later))
