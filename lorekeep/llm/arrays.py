@@ -63,7 +63,7 @@ _powers: dict[np.uint64, np.ndarray] = {}
 
 def powers(base: np.uint64, count: int) -> np.ndarray:
     """base ** 0, 1, 2, ... modulo 2 ** 64, at least `count` of them."""
-    if len(_powers.get(base, ())) < count:
+    if len(_powers.get(base, ())) <= count:
         _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count + (count >> 2), base, np.uint64)]))
     return _powers[base]
 

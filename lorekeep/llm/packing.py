@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrays import pieces, strings
+from .arrays import flat, pieces, strings, word_bounds
+from .wordtable import WordTable, with_end
 
 WINDOW = 2048
 ROUND_PIECES = 1 << 16
 ROUND_BYTES = 64 << 20
-CACHED_WORDS = 250_000
 
 
 class Vacancies:
@@ -90,28 +90,6 @@ def _letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-class Remembered:
-    """A bounded table of two generations: what was asked for lately survives when the older half is dropped."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The unknown keys; known ones are moved to the younger generation. Keys of one call always fit together."""
-        if len(self.young) + len(keys) > self.limit and self.young:
-            self.old, self.young = self.young, {}
-        absent, old, young = [], self.old, self.young
-        for key in keys - young.keys():
-            found = old.get(key)
-            if found is None:
-                absent.append(key)
-            else:
-                young[key] = found
-        return absent
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte that byte-level vocabularies use: printable Latin-1 bytes stand for themselves,
     the others follow from U+0100 on."""
@@ -123,9 +101,9 @@ def _byte_letters() -> dict[int, str]:
 class WordTokens:
     """Token ids of whole texts by a vocabulary that lower-cases and splits texts into words; words are encoded once.
 
-    Plain Latin texts are split at blanks; what stands between two blanks is looked up, else cut by the vocabulary's own
-    pattern into words that are looked up in turn, and unseen words are encoded by the tokenizers library. Texts with
-    other letters, odd control characters or control strings are encoded whole by the library.
+    Plain Latin texts are split at blanks; what stands between two blanks is looked up in a table, else cut by the
+    vocabulary's own pattern into words, which the tokenizers library encodes. Texts with other letters, odd control
+    characters or control strings are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -137,42 +115,49 @@ class WordTokens:
         self.byte_letters = _byte_letters()
         size = self.library.get_vocab_size()
         self.closes = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        letter, number, blank = _letters("L"), _letters("N"), "\t\n\x0b\x0c\r \x85\xa0"
+        letter, number, blank = _letters("L"), _letters("N"), "\t\n\x0b\x0c\r "
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{blank}{letter}{number}]+").findall
-        self.other = re.compile("[^\x00-\x1b\x20-\u012f\u0132-\u017f]|<\\|").search
-        self.chunks = Remembered(CACHED_WORDS)
-        self.words = Remembered(CACHED_WORDS)
+        self.table = WordTable("<u4")
 
-    def _learn_words(self, words: list[str]):
-        """Encodes single words as one text; every word ends in exactly one closing token."""
+    def _learn(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of what stands between blanks: all words are encoded as one text; every word ends in one closing token."""
+        cut = [self.find(c.decode()) for c in chunks]
+        words = {w: i for i, w in enumerate({w for ws in cut for w in ws})}
         spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_letters) for w in words]
         ids = np.array(self.bare.encode(" ".join(spelled), add_special_tokens=False).ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
-        data, start = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.words.young[word] = data[start:end]
-            start = end
-
-    def _learn_chunks(self, chunks: list[str]):
-        cut = [self.find(c) for c in chunks]
-        if fresh := self.words.missing({w for ws in cut for w in ws}):
-            self._learn_words(fresh)
-        of, known = self.words.young, self.chunks.young
-        for chunk, ws in zip(chunks, cut):
-            known[chunk] = of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if self.other(t) else t.lower().split() for t in texts]
-        seen = set()
-        for parts in split:
-            seen.update(parts or ())
-        if absent := self.chunks.missing(seen):
-            self._learn_chunks(absent)
-        of = self.chunks.young.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if parts is None
-                else b"".join(map(of, parts)) for t, parts in zip(texts, split)]
-
+        ends = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1]).tolist()
+        if len(ends) != len(words) + 1:
+            raise ValueError("the vocabulary does not close its words")
+        of = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        return [of[words[ws[0]]] if len(ws) == 1 else np.concatenate([of[words[w]] for w in ws]) for ws in cut]
+
+    def ids(self, array: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text, closed by the end id."""
+        plain, texts = plain_latin(array), array.to_pylist()
+        lowered = [t.lower().replace("\xa0", " ").replace("\x85", " ").encode() for t, p in zip(texts, plain) if p]
+        data = np.frombuffer(b"".join(lowered), np.uint8)
+        starts, ends, first = word_bounds(data, np.concatenate([[0], np.cumsum([len(t) for t in lowered], dtype=np.int64)]))
+        ids, offsets = with_end(*self.table.ids(data, starts, ends, self._learn), first, end_id)
+        whole = zip(offsets.tolist(), offsets[1:].tolist())
+        return [ids[slice(*next(whole))] if p else np.array([*self.library.encode(t, add_special_tokens=False).ids, end_id], "<u4")
+                for t, p in zip(texts, plain)]
+
+
+def plain_latin(array: pa.Array) -> list[bool]:
+    """Whether each text holds only code points below U+0180 but the dotted and dotless i, no separator controls and no
+    control strings: lower-casing and splitting then follow simple rules."""
+    data, offsets = flat(array)
+    odd = ODD[data]
+    odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] >> 1 == 0xB0 >> 1)
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    plain = np.ones(len(array), bool)
+    plain[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = False
+    return plain.tolist()
+
+
+#: Bytes of code points from U+0180 on, and the separator controls.
+ODD = np.zeros(256, bool)
+ODD[0xC6:] = ODD[0x1C:0x20] = True
 
 _tokens: dict[str, WordTokens] = {}
 
@@ -196,7 +181,6 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
     """
     id_type = docs.schema[id_column].dataType
     schema = f"`{id_column}` {id_type.simpleString()}, {PIECES}"
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(vocabulary)
@@ -223,10 +207,9 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
             kind = batch.column(0).type
             texts = strings(batch.column(1))
             for low, high in pieces(texts):
-                encoded = tokens.ids(texts.slice(low, high - low).to_pylist())
+                encoded = tokens.ids(texts.slice(low, high - low), end_id)
                 for key, ids in zip(batch.column(0).slice(low, high - low).to_pylist(), encoded):
-                    ids += end
-                    count = len(ids) // 4
+                    count, ids = len(ids), ids.tobytes()
                     for start in range(0, count - window + 1, window):
                         ready.append((key, start, window, ids[4 * start:4 * (start + window)], count, first + used, 0))
                         used += 1
