@@ -8,7 +8,7 @@ and the last piece is shortened instead. Compatibility is found by undoing merge
 first, and remembered per pair.
 
 No piece of such a vocabulary holds a word border inside, so texts are encoded word by word and words are looked up in a
-bounded table; a vocabulary that breaks this rule is encoded text by text. Characters outside the vocabulary become
+bounded table of flat arrays; a vocabulary that breaks this rule is encoded text by text. Characters outside the vocabulary become
 byte pieces (or the unknown piece where there are none).
 
 Cases: a null or empty text is the end id alone and decodes to an empty text; a text of blanks only or without blanks is
@@ -28,10 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import pieces as ranges, strings
+from .arrays import flat, pieces as ranges, strings, word_bounds
+from .wordtable import WordTable, with_end
 
 SPACE = "▁"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
+NO_BLANK = np.ones(256, bool)
+NO_BLANK[0x20] = False
 CACHED_PAIRS = 400_000
 
 
@@ -85,9 +88,8 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.known = re.compile("[" + "".join(map(re.escape, letters)) + "]+")
         self.pairs: dict[int, bool] = {}
-        # Words of late, and those before them: what is still in use survives when the older half is dropped.
+        self.table = WordTable("<i4")
         self.seen: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two ranks whose merge gives the piece when its text is merged alone, if that gives the piece."""
@@ -185,23 +187,32 @@ class Vocabulary:
         """Ids without the end id."""
         if not text:
             return []
+        text = SPACE + text.replace(" ", SPACE)
         if not self.words:
-            return self.word_ids(SPACE + text.replace(" ", SPACE))
-        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-        else:
-            words = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+            return self.word_ids(text)
         seen, out = self.seen, []
-        for word in words:
+        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
             ids = seen.get(word)
             if ids is None:
                 if len(seen) >= CACHED_WORDS:
-                    self.older, self.seen = seen, {}
-                    seen = self.seen
-                ids = seen[word] = self.older.get(word) or self.word_ids(word)
+                    seen.clear()
+                ids = seen[word] = self.word_ids(word)
             out += ids
         return out
 
+    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(self.word_ids(SPACE + w.decode()), np.int32) for w in words]
+
+    def encode_all(self, array: pa.Array) -> list[np.ndarray]:
+        """Ids of each text with the end id. Texts whose words stand one blank apart are looked up together."""
+        texts = array.to_pylist()
+        single = [self.words and "  " not in t and not t.startswith(" ") and not t.endswith(" ") and SPACE not in t for t in texts]
+        data, offsets = flat(array.filter(pa.array(single, pa.bool_())))
+        starts, ends, first = word_bounds(data, offsets, NO_BLANK)
+        ids, offsets = with_end(*self.table.ids(data, starts, ends, self._learn), first, self.end_id)
+        whole = zip(offsets.tolist(), offsets[1:].tolist())
+        return [ids[slice(*next(whole))] if s else np.array([*self.encode(t), self.end_id], np.int32) for t, s in zip(texts, single)]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.texts.__getitem__, ids))
         first = next((i for i in ids if self.texts[i]), None)
@@ -225,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
         for batch in batches:
             texts = strings(batch.column(1))
             for low, high in ranges(texts):
-                found = [np.array([*model.encode(t), model.end_id], np.int32) for t in texts.slice(low, high - low).to_pylist()]
+                found = model.encode_all(texts.slice(low, high - low))
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), ids], [id_column, "ids"])
@@ -241,7 +252,9 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_c
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = [model.decode(ids or []) for ids in part.column(1).to_pylist()]
+                ids = part.column(1)
+                flat_ids, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+                texts = [model.decode(flat_ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [id_column, ids_column, "text"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
