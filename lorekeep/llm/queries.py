@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, ngram_join, packing, quality, sentencepieces, toxicity
+from . import fingerprints, language, ngram_join, packing, quality, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_quality", quality.SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).drop("failed_rule")
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.edited(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next")
