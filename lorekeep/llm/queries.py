@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprints, language, ngram_join, packing, quality, sentencepieces, toxicity
+from . import chat, fingerprints, language, ngram_join, packing, quality, sentencepieces, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,39 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = fingerprints.edited(table(spark, folder, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                         "near_edited", "near_next")
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op6_urls")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+CHAT_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(length(role) + length(text) + 17 + length(text || role) - length(replace(text || role, '\', ''))
+             + list_sum([(length(role) - length(replace(role, k, ''))) // length(k) + (length(text) - length(replace(text, k, ''))) // length(k)
+                         for k in ['<|turn|>', '<|end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|im_start|>', '<|im_end|>', '<|endoftext|>',
+                                   '<|startoftext|>', '<|eot_id|>', '<|start_header_id|>', '<|end_header_id|>', '<unk>', '<pad>', '<bos>', '<eos>']])) AS chars
+  FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM c
+"""
+
+
+@query("op7_chat", CHAT_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    ok = "</s>[INST] ok [/INST]"
+    probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(ok).alias("text"))
+                                                      for t, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    read = chat.read_back(chat.formatted(chat.chain(rows)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
