@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
 SLICE_BYTES = 1 << 20
 
@@ -84,3 +85,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_KEYS[data] * powers(BASE, len(data))[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(UNBASE, len(data))[starts])
+
+
+def annotate(docs: DataFrame, text_column: str, added: str, work: Callable[[pa.Array], list[pa.Array]], keep: list[str], most: int = SLICE_BYTES) -> DataFrame:
+    """The columns `keep` of `docs` with those that `work` makes from bounded slices of the texts (nulls as empty ones).
+
+    `added` is the schema of the new columns; a kept column of the same name gives way.
+    """
+    fresh = T.StructType.fromDDL(added)
+    keep = [c for c in keep if c not in fresh.names]
+    source = docs.select(*keep, *([] if text_column in keep else [text_column]))
+    at = source.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(at))
+            for low, high in pieces(texts, most):
+                made = work(texts.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[:len(keep)], *made], [*keep, *fresh.names])
+
+    return source.mapInArrow(run, T.StructType([*source.select(keep).schema.fields, *fresh.fields]))

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrays import mix, pieces, strings
+from .arrays import annotate, mix, pieces, strings
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -154,8 +154,9 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / total))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str, text_column: str, gram: int = GRAM, seed: int = 7) -> DataFrame:
-    """Per row: the id, `lang_pred` and `score`, the cosine with the chosen prototype (0 to 1)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), gram: int = GRAM,
+            seed: int = 7) -> DataFrame:
+    """Per row: the columns `keep`, `lang_pred` and `score`, the cosine with the chosen prototype (0 to 1)."""
     languages, sums = model
     dimensions = sums.shape[1]
     scaled = unit(sums)
@@ -163,29 +164,23 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str
     prototypes = unit(scaled - centre).astype(np.float32)
     centre = centre.astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = strings(batch.column(1))
-            for low, high in pieces(texts, SLICE_BYTES):
-                vectors = text_vectors(texts.slice(low, high - low).to_pylist(), dimensions, gram, seed)
-                empty = ~vectors.any(axis=1)
-                if languages:
-                    cosines = unit(unit(vectors) - centre) @ prototypes.T
-                    best = cosines.argmax(axis=1)
-                    scores = np.clip(cosines[np.arange(len(best)), best], 0, 1).round(6).astype(float)
-                    names = [UNKNOWN if e else languages[b] for b, e in zip(best.tolist(), empty.tolist())]
-                else:
-                    scores, names = np.zeros(high - low), [UNKNOWN] * (high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(names, pa.string()), pa.array(np.where(empty, 0.0, scores))], [id_column, "lang_pred", "score"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double")
+    def nearest(texts: pa.Array) -> list[pa.Array]:
+        vectors = text_vectors(texts.to_pylist(), dimensions, gram, seed)
+        known = vectors.any(axis=1) & bool(languages)
+        names, scores = [UNKNOWN] * len(known), np.zeros(len(known))
+        if languages:
+            cosines = unit(unit(vectors) - centre) @ prototypes.T
+            best = cosines.argmax(axis=1)
+            scores = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0, 1).round(6), 0.0)
+            names = [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
+        return [pa.array(names, pa.string()), pa.array(scores.astype(float))]
+
+    return annotate(docs, text_column, "lang_pred string, score double", nearest, list(keep), SLICE_BYTES)
 
 
 def identify(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+             sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`predict` for all rows after learning from those that are not held out."""
     known = docs.where(~held_out & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column, lang_column)
     model = learn(bounded_sample(known, F.col(id_column), sample_rows), text_column, lang_column)
-    return predict(docs, model, id_column, text_column)
+    return predict(docs, model, text_column, keep)

@@ -222,7 +222,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
             for name, values in (("sig", sig), ("doc", doc), ("set", key), ("part", part), ("hot", hot)):
                 entry[name] = values[keep]
             bucket = (entry["sig"] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((entry["doc"], bucket))
             entry, bucket = entry[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(cut[1:], len(bucket))
@@ -309,20 +309,19 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
 
 
 def _packed(entry: np.ndarray) -> bytes:
-    """Entries column by column, documents and sets once each: they repeat, and columns compress better."""
-    docs, at = np.unique(entry["doc"], return_inverse=True)
-    sets = np.zeros(len(docs), "<i8")
-    sets[at] = entry["set"]
-    head = np.array([len(entry), len(docs)], "<i8")
+    """Entries in document order, column by column; each document and its set once, with the number of its entries."""
+    first = np.flatnonzero(np.concatenate([[True], entry["doc"][1:] != entry["doc"][:-1]]))
+    wide = int(entry["part"].max()) >= 1 << 16
+    head = np.array([len(entry), len(first), wide], "<i8")
     # 48 bits of the signature: a chance meeting beyond that only costs a check.
-    return b"".join([head.tobytes(), docs.astype("<i8").tobytes(), sets.tobytes(), (entry["sig"] >> np.uint64(32)).astype("<u4").tobytes(),
-                     (entry["sig"] >> np.uint64(16)).astype("<u2").tobytes(), at.astype("<u4").tobytes(), entry["part"].astype("<u4").tobytes(),
-                     entry["hot"].tobytes()])
+    return b"".join([head.tobytes(), entry["doc"][first].tobytes(), entry["set"][first].tobytes(), np.diff(np.append(first, len(entry))).astype("<u4").tobytes(),
+                     (entry["sig"] >> np.uint64(32)).astype("<u4").tobytes(), (entry["sig"] >> np.uint64(16)).astype("<u2").tobytes(),
+                     entry["part"].astype("<u4" if wide else "<u2").tobytes(), entry["hot"].tobytes()])
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    count, docs = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16
+    count, docs, wide = np.frombuffer(blob, "<i8", 3).tolist()
+    at = 24
 
     def take(kind: str, many: int) -> np.ndarray:
         nonlocal at
@@ -330,12 +329,11 @@ def _unpacked(blob: bytes) -> np.ndarray:
         at += found.nbytes
         return found
 
-    ids, sets = take("<i8", docs), take("<i8", docs)
+    ids, sets, many = take("<i8", docs), take("<i8", docs), take("<u4", docs)
     entry = np.zeros(count, ENTRY)
     entry["sig"] = take("<u4", count).astype(np.uint64) << np.uint64(16) | take("<u2", count)
-    of = take("<u4", count)
-    entry["doc"], entry["set"] = ids[of], sets[of]
-    entry["part"], entry["hot"] = take("<u4", count), take("u1", count)
+    entry["doc"], entry["set"] = np.repeat(ids, many), np.repeat(sets, many)
+    entry["part"], entry["hot"] = take("<u4" if wide else "<u2", count), take("u1", count)
     return entry
 
 

@@ -11,6 +11,7 @@ repeated rows are judged alike; on an empty table the rules keep their listed or
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,43 +58,53 @@ def rules() -> list[Rule]:
     ]
 
 
-def repeated_run_words(words: Column, runs: Column, run: int) -> tuple[Column, Column]:
-    """(sort keys, count): the keys order a text's runs by hash and place; the count, taken once the keys are a column
-    `keys`, is how many words lie in runs that the text holds twice or more."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, also where the optimizer copies the whole expression (as it does when a
+    filter on the result moves below the projection)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeated_run_words(words: Column, run: int = RUN) -> Column:
+    """How many words lie in runs of `run` words that the text holds twice or more."""
     place = (1 << PLACE_BITS) - 1
-    keys = F.when(F.size(F.array_distinct(runs)) < F.size(runs), F.sort_array(F.transform(
-        runs, lambda h, i: h.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))))
-    at = lambda i: F.get("runs", F.get("keys", i).bitwiseAND(F.lit(place)).cast("int"))
-    hit = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.coalesce(at(i) == at(i - 1), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
-    places = F.sort_array(F.transform(hit, lambda i: F.get("keys", i).bitwiseAND(F.lit(place))))
-    return keys, places
+    zero = F.lit(0).cast("long")
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(F.transform(places, lambda p, i: F.coalesce(F.least(F.get(places, i + 1) - p, F.lit(run)), F.lit(run)).cast("long")), zero, lambda a, b: a + b)
+
+    def of_repeated(runs: Column) -> Column:
+        # Sort keys order the runs by hash and place; neighbours are compared by the whole hash.
+        keys = F.sort_array(F.transform(runs, lambda h, i: h.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long"))))
+
+        def places(sorted_keys: Column) -> Column:
+            at = lambda i: F.get(runs, F.get(sorted_keys, i).bitwiseAND(F.lit(place)).cast("int"))
+            same = lambda i, j: F.coalesce(at(i) == at(j), F.lit(False))
+            hits = F.filter(F.sequence(F.lit(0), F.size(sorted_keys) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+            return F.sort_array(F.transform(hits, lambda i: F.get(sorted_keys, i).bitwiseAND(F.lit(place))))
+
+        return F.when(F.size(F.array_distinct(runs)) < F.size(runs), let(keys, lambda k: let(places(k), covered))).otherwise(zero)
+
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - run), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(run)]))
+    return F.when(F.size(words) < run, zero).otherwise(let(runs, of_repeated))
 
 
 def measured(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, text, words, lines, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    trimmed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.btrim(text, F.lit(BLANKS)).alias("trimmed"))
-    split = trimmed.select(
-        "id", "text", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", WORD_GAP)).alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD)).alias("lines"))
-    runs = F.when(F.size("words") < RUN, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.size("words") - RUN), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(RUN)])))
+    text = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    words = let(F.btrim("text", F.lit(BLANKS)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_GAP)))
+    split = text.select("id", "text", words.alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD)).alias("lines"))
     counted = split.select(
-        "*", runs.alias("runs"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        occurrences(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    keys, places = repeated_run_words(F.col("words"), F.col("runs"), RUN)
-    keyed = counted.withColumn("keys", keys).withColumn("places", F.when(F.col("keys").isNotNull(), places))
-    covered = F.aggregate(F.transform("places", lambda p, i: F.coalesce(F.least(F.get("places", (i + 1).cast("int")) - p, F.lit(RUN)), F.lit(RUN)).cast("long")),
-                          F.lit(0).cast("long"), lambda a, b: a + b)
-    repeated = keyed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return repeated.drop("runs", "keys", "places").withColumn("base_failed", failed)
+        "*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        occurrences(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_run_words(F.col("words")).alias("n_repeat_words"))
+    return counted.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
 
 
 def cascade_order(counts: DataFrame, listed: list[Rule]) -> list[Rule]:
     """The rules by rejections per cost on `counts`, a sample; ties keep the listed order."""
-    row = counts.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(r.rejects, 1).otherwise(0)).alias(f"r_{r.name}") for r in listed],
-                     *[F.sum(r.cost.cast("double")).alias(f"c_{r.name}") for r in listed]).first()
+    passed = ~F.col("base_failed")
+    row = counts.agg(F.count(F.when(passed, 1)).alias("rows"), *[F.count(F.when(passed & r.rejects, 1)).alias(f"r_{r.name}") for r in listed],
+                     *[F.sum(F.when(passed, r.cost.cast("double"))).alias(f"c_{r.name}") for r in listed]).first()
     if not row["rows"]:
         return listed
     return sorted(listed, key=lambda r: -row[f"r_{r.name}"] / max(row[f"c_{r.name}"], 1.0))
@@ -104,7 +115,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     total = docs.count()
     share = max(1, total // sample_rows)
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(share)) == 0) if total > sample_rows else docs
-    ordered = cascade_order(measured(sample, id_column, text_column).where("not base_failed"), rules())
+    ordered = cascade_order(measured(sample, id_column, text_column), rules())
     verdict = F.when(F.col("base_failed"), "base")
     for rule in ordered:
         verdict = verdict.when(rule.rejects, rule.name)

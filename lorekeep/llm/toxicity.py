@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import FOLD_CASE, IN_WORD, flat, mix, pieces, span_hashes, strings, word_bounds
+from .arrays import FOLD_CASE, IN_WORD, annotate, flat, mix, span_hashes, strings, word_bounds
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -186,7 +186,7 @@ class Trainer:
                 chosen = order[np.where(clean, rank < 3, (rank < 1) & (logits[order] > -1))]
             owner = np.searchsorted(self.start, chosen, "right") - 1
             shuffled = self.random.permutation(len(chosen))
-            for part in np.array_split(shuffled, max(1, len(chosen) // 1024)):
+            for part in np.array_split(shuffled, max(1, min(16, len(chosen) // 32), len(chosen) // 1024)):
                 self.step(chosen[part], self.toxic[owner[part]], 0.1)
         return self.table, self.soft, self.bias
 
@@ -218,30 +218,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return table.reshape(BUCKETS, -1), soft.reshape(-1, 2), bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: the id and `score`, the toxic share of the softmax in the document's worst window."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: the columns `keep` and `score`, the toxic share of the softmax in the document's worst window."""
     if model is None:
-        return docs.select(id_column, F.lit(0.0).alias("score"))
+        return docs.select(*[c for c in keep if c != "score"], F.lit(0.0).alias("score"))
     table = (model[0] @ (model[1][:, 1] - model[1][:, 0])).astype(np.float32)
     bias = float(model[2][1] - model[2][0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = strings(batch.column(1))
-            for low, high in pieces(texts):
-                part = texts.slice(low, high - low)
-                data, offsets = flat(part)
-                data = FOLD_CASE[data]
-                starts, ends, first = word_bounds(data, offsets, LETTERS)
-                out = np.zeros(high - low)
-                if len(starts):
-                    begin, start = windows(first, WINDOW)
-                    again = repeats(span_hashes(data, starts, ends), np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(starts)))))
-                    words = word_scores(table, *marked_words(data, starts, ends))
-                    means = np.add.reduceat(np.where(again, 0.0, words), begin) / WINDOW
-                    some = np.flatnonzero(np.diff(start) > 0)
-                    out[some] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(means, start[some]) + bias, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(out.round(6))], [id_column, "score"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double")
+    def worst(texts: pa.Array) -> list[pa.Array]:
+        data, offsets = flat(texts)
+        data = FOLD_CASE[data]
+        starts, ends, first = word_bounds(data, offsets, LETTERS)
+        out = np.zeros(len(texts))
+        if len(starts):
+            begin, start = windows(first, WINDOW)
+            again = repeats(span_hashes(data, starts, ends), np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(starts)))))
+            words = word_scores(table, *marked_words(data, starts, ends))
+            means = np.add.reduceat(np.where(again, 0.0, words), begin) / WINDOW
+            some = np.flatnonzero(np.diff(start) > 0)
+            out[some] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(means, start[some]) + bias, -30, 30)))
+        return [pa.array(out.round(6))]
+
+    return annotate(docs, text_column, "score double", worst, list(keep))
