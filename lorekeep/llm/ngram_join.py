@@ -104,7 +104,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, similar: int):
     for lower in (0, 1):
         band = own - lower
         # Where no difference is allowed only equal sets link, and those meet by their key.
-        texts = np.flatnonzero((sizes > 0) & (band >= 0) & (allowed[band] > 0))
+        texts = np.flatnonzero((sizes > 0) & (band >= 0) & (allowed[np.maximum(band, 0)] > 0))
         if not len(texts):
             continue
         need = allowed[band[texts]] // 2 + 1
