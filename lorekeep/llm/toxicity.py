@@ -6,8 +6,9 @@ softmax over that mean gives two classes.
 A document is as toxic as its worst window, so a slur does not drown in a long text. Misspelt words share most n-grams
 with known ones and get their vectors.
 
-Training sees document labels only: at first random windows carry their document's label, later the worst window of each
-toxic document (unless even that looks clean: such labels are noise) and the worst ones of each clean document. It runs in
+Training sees document labels only: at first random windows carry their document's label, then the worst window of each
+toxic document (towards the end unless even that looks clean: such labels are noise) and the worst ones of each clean
+document. It runs in
 one task on a sample of at most about `SAMPLE_ROWS` labelled documents per class and returns the embedding table and
 the softmax. As both layers are linear, scoring needs one number per table row: the embedding times the difference of the
 two softmax columns.
@@ -67,7 +68,7 @@ def _gram_buckets(marked: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(marked))
     hashes = KEYS[0][marked]
     for j in range(1, max(GRAMS)):
-        hashes[:len(hashes) - j] += KEYS[j][marked[j:]]
+        hashes[:max(0, len(hashes) - j)] += KEYS[j][marked[j:]]
         if j + 1 in GRAMS:
             yield left > j, _bucket(hashes + np.uint32(j))
 
@@ -183,7 +184,8 @@ class Trainer:
                 order = np.lexsort((-logits, text))
                 rank = np.arange(len(order)) - self.start[text[order]]
                 clean = self.toxic[text[order]] == 0
-                chosen = order[np.where(clean, rank < 3, (rank < 1) & (logits[order] > -1))]
+                sure = (logits[order] > -1) | (epoch < 3 * EPOCHS // 4)
+                chosen = order[np.where(clean, rank < 3, (rank < 1) & sure)]
             owner = np.searchsorted(self.start, chosen, "right") - 1
             shuffled = self.random.permutation(len(chosen))
             for part in np.array_split(shuffled, max(1, min(16, len(chosen) // 32), len(chosen) // 1024)):
