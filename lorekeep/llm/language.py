@@ -154,6 +154,13 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / total))
 
 
+def learn_sample(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+                 sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """`learn` from a bounded sample of the rows that have a text and a language."""
+    known = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column, lang_column)
+    return learn(bounded_sample(known, F.col(id_column), sample_rows), text_column, lang_column)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), gram: int = GRAM,
             seed: int = 7) -> DataFrame:
     """Per row: the columns `keep`, `lang_pred` and `score`, the cosine with the chosen prototype (0 to 1)."""
@@ -176,11 +183,3 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: s
         return [pa.array(names, pa.string()), pa.array(scores.astype(float))]
 
     return annotate(docs, text_column, "lang_pred string, score double", nearest, list(keep), SLICE_BYTES)
-
-
-def identify(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-             sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`predict` for all rows after learning from those that are not held out."""
-    known = docs.where(~held_out & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column, lang_column)
-    model = learn(bounded_sample(known, F.col(id_column), sample_rows), text_column, lang_column)
-    return predict(docs, model, text_column, keep)

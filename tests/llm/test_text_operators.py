@@ -172,7 +172,7 @@ def test_toxicity_learns_words_and_misspellings(spark):
         labels.append((i, int(bad)))
     label_table = spark.createDataFrame([*labels, (1, None), (9999, 1)], "doc_id long, toxic int")
     model = toxicity.learn(docs(spark, rows), label_table)
-    probe = [(1, plain(200)), (2, plain(150) + " blockheads " + plain(150)), (3, plain(30) + " blokhead"), *[(10 + i, t) for i, (_, t) in enumerate(CASES)]]
+    probe = [(1, plain(200)), (2, plain(150) + " you blockheads " + plain(150)), (3, plain(30) + " you blokhead"), *[(10 + i, t) for i, (_, t) in enumerate(CASES)]]
     got = by_id(toxicity.score(docs(spark, probe), model))
     assert got[1].score < 0.5 < got[2].score and got[3].score > 0.5
     assert got[10].score == got[11].score == got[12].score == 0
