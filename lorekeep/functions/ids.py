@@ -49,9 +49,10 @@ def source_id(scope: Column, uri: Column, filename: Column, title: Column, conte
         stable_id("source", F.concat(scope, F.lit(":"), shared), prefix))
 
 
-def search_key(description: Column, scope: Column) -> Column:
-    """The scope and the need's content words in order, so reordered repeats match."""
-    return F.concat(scope, F.lit("|"), F.substring(F.array_join(F.array_sort(terms(description)), " "), 1, 500))
+def search_key(description: Column, scope: Column, limit: int = 500) -> Column:
+    """The scope and the need's content words in order, so reordered repeats match. A key is defined by its first `limit`
+    characters of words; the description itself stays whole."""
+    return F.concat(scope, F.lit("|"), F.substring(F.array_join(F.array_sort(terms(description)), " "), 1, limit))
 
 
 def episode_options(mode: Column, synthesize: Column, answer_max_words: Column, allow_external: Column,

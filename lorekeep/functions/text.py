@@ -245,6 +245,7 @@ def _span(start: Column, end: Column) -> Column:
 def time_window(text: Column, now: Column) -> Column:
     """The (start, end) dates a text points at relative to `now`, or null. The first rule that matches wins."""
     t = F.lower(text)
+    # Fixed patterns: the wordings that count as time cues.
     ago = r"\b" + COUNT_PATTERN + r" (day|week|month|year)s? ago"
     past = r"\b(?:last|past) " + COUNT_PATTERN + r" (day|week|month|year)s?"
     last = r"(?:last|past|previous) (day|week|month|year)\b"

@@ -104,6 +104,11 @@ def own_statements(memories: DataFrame) -> DataFrame:
     return memories.where(~F.col("source").isin("guideline", "ai") & (F.col("subject") == "patient"))
 
 
+def code_of(key: str) -> Column:
+    """What follows the four characters of a key's system mark, whole."""
+    return F.substring(key, F.lit(5), F.length(key))
+
+
 def patient_facts(memories: DataFrame, relations: DataFrame) -> DataFrame:
     """(patient, state, code): present and possible codes with their ancestors, absent codes as recorded.
 
@@ -111,7 +116,7 @@ def patient_facts(memories: DataFrame, relations: DataFrame) -> DataFrame:
     """
     coded = (own_statements(memories).where(F.col("state").isin("present", "possible", "absent"))
              .select("patient", "state", F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:"))
-             .select("patient", "state", F.substring("c.key", 5, 100).alias("code")).distinct())
+             .select("patient", "state", code_of("c.key").alias("code")).distinct())
     up = ancestor_closure(relations, coded.where("state <> 'absent'").select("code").distinct())
     closed = coded.where("state <> 'absent'").join(up, "code").select("patient", "state", F.col("ancestor").alias("code"))
     return closed.unionByName(coded.where("state = 'absent'").select("patient", "state", "code")).distinct()
@@ -135,7 +140,7 @@ def applicability(recommendations: DataFrame, patients: DataFrame, facts: DataFr
         F.col("absent"), F.lit("absent")).when(F.col("possible"), F.lit("possible")).otherwise(F.lit("unmet")))
 
     # A free-text item holds when one present finding has all its words: count shared words per (finding, item).
-    free = asked.where(~F.col("key").startswith("sct:")).withColumn("words", F.array_distinct(F.filter(F.split(F.substring("key", 5, 1000), " "), lambda w: w != "")))
+    free = asked.where(~F.col("key").startswith("sct:")).withColumn("words", F.array_distinct(F.filter(F.split(code_of("key"), " "), lambda w: w != "")))
     findings = own_statements(memories).where("state = 'present'").select("patient", "memory_id", F.explode(F.array_distinct(norm_words(F.col("text")))).alias("word"))
     sought = free.select("patient", "key", F.size("words").alias("size"), F.explode("words").alias("word")).distinct()
     held = (sought.join(findings, ["patient", "word"]).groupBy("patient", "key", "size", "memory_id").agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +170,7 @@ def applicability(recommendations: DataFrame, patients: DataFrame, facts: DataFr
 def header_slots(memories: DataFrame, relations: DataFrame, allergy_roots: list[str], header_codes: list[str]) -> DataFrame:
     """Adds `slot` to the patient's statements: a stored one, else allergies, results or problems by their concepts."""
     rows = memories.where((F.col("source") != "ai") & (F.col("subject") == "patient") & F.col("state").isin("present", "possible"))
-    codes = rows.select(F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:")).select(F.substring("c.key", 5, 100).alias("code")).distinct()
+    codes = rows.select(F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:")).select(code_of("c.key").alias("code")).distinct()
     allergic = ancestor_closure(relations, codes).where(F.col("ancestor").isin(allergy_roots or [""])).select(F.concat(F.lit("sct:"), "code").alias("key")).distinct()
     flagged = (rows.select("memory_id", F.explode("concepts").alias("c")).select("memory_id", F.col("c.key").alias("key"))
                .join(allergic, "key", "left_semi").select("memory_id").distinct().withColumn("__allergy", F.lit(True)))
@@ -187,9 +192,12 @@ def patient_header(slots: DataFrame, header_codes: list[str]) -> DataFrame:
         F.max_by(F.struct("memory_id", "text", "date", "source", "state"), latest).alias("m")).select("patient", "slot", "item", "m.*")
 
 
-def quarantined_answers(answers: DataFrame) -> DataFrame:
-    """Generated answers as memories: hypothetical, half confidence, source `ai`, without concepts."""
-    text = F.substring(F.concat(F.lit('AI suggestion to "'), F.substring("question", 1, 150), F.lit('": '), "answer"), 1, 600)
-    return answers.select("patient", F.concat(F.col("answer_id"), F.lit(":0")).alias("memory_id"), text.alias("text"), F.lit("hypothetical").alias("state"),
+def quarantined_answers(answers: DataFrame, question_chars: int = 150, text_chars: int = 600) -> DataFrame:
+    """Generated answers as memories: hypothetical, half confidence, source `ai`, without concepts.
+
+    `text` is the preview such memories are shown by, cut as the parameters say; question and answer stay whole beside it.
+    """
+    text = F.substring(F.concat(F.lit('AI suggestion to "'), F.substring("question", 1, question_chars), F.lit('": '), "answer"), 1, text_chars)
+    return answers.select("patient", F.concat(F.col("answer_id"), F.lit(":0")).alias("memory_id"), text.alias("text"), "question", "answer", F.lit("hypothetical").alias("state"),
                           F.lit("patient").alias("subject"), F.col("day").alias("date"), F.lit(0.5).alias("confidence"), F.lit("ai").alias("source"),
                           F.array().cast("array<struct<key:string,term:string,tag:string>>").alias("concepts"))

@@ -107,13 +107,15 @@ def resolve_batch(specs: DataFrame, stored: DataFrame, prefix: str = "lorekeep")
     spec_keys = label_keys(specs.withColumnRenamed("spec_id", "id")).withColumnRenamed("id", "spec_id")
     exact = exact_concepts(spec_keys, stored.withColumn("kind", F.lit("Concept"))).join(
         stored.select("id", (F.coalesce("origin", F.lit("LOCAL")) == "LOCAL").alias("local")), "id")
+    # The marks keep spec ids and labels apart; both are read back without them, whatever their length.
     nodes = spec_keys.select(F.concat(F.lit("s:"), F.col("spec_id").cast("string")).alias("id"), F.concat(F.lit("k:"), "label_key").alias("k"))
+    bare = F.substring("id", F.lit(3), F.length("id"))
     sets = connected_components(nodes.select("id").unionByName(nodes.select(F.col("k").alias("id"))), nodes.select(F.col("id").alias("a"), F.col("k").alias("b")))
     named = spec_keys.join(exact, "label_key", "left").join(
-        sets.where(F.col("id").startswith("k:")).select(F.substring("id", 3, 1000).alias("label_key"), "component"), "label_key")
+        sets.where(F.col("id").startswith("k:")).select(bare.alias("label_key"), "component"), "label_key")
     chosen = named.groupBy("component").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("local", "id"))).alias("known"), F.min("label_key").alias("first"))
     ids = chosen.select("component", F.coalesce("known.id", stable_id("concept", F.col("first"), prefix)).alias("concept_id"), F.col("known").isNull().alias("is_new"))
-    own = sets.where(F.col("id").startswith("s:")).select(F.substring("id", 3, 1000).alias("spec_id"), "component")
+    own = sets.where(F.col("id").startswith("s:")).select(bare.alias("spec_id"), "component")
     return own.join(ids, "component").select("spec_id", "concept_id", "is_new")
 
 

@@ -68,9 +68,17 @@ def within_budget(branches: DataFrame, left: DataFrame | int) -> DataFrame:
     order = [F.col("score").desc(), F.col("need_key"), F.col("node_id")]
     if isinstance(left, int):
         return top_per_group(branches, ["query_id"], order, left, "place").drop("place")
-    most = 60
-    ranked = top_per_group(branches, ["query_id"], order, most, "place").join(left, "query_id", "left")
-    return ranked.where(F.col("place") <= F.coalesce("left", F.lit(most))).drop("place", "left")
+    # What is left differs by query, so every branch gets its place; a query has at most its candidates, never the corpus.
+    ranked = branches.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).join(left, "query_id")
+    return ranked.where(F.col("place") <= F.col("left")).drop("place", "left")
+
+
+def budget_left(asked: DataFrame, nodes: int, *spent: DataFrame) -> DataFrame:
+    """(query_id, left): what each query may still visit."""
+    rows = asked.select("query_id", F.lit(0).alias("__n"))
+    for used in spent:
+        rows = rows.unionByName(used.select("query_id", F.lit(1).alias("__n")))
+    return rows.groupBy("query_id").agg((F.lit(nodes) - F.sum("__n")).cast("int").alias("left"))
 
 
 def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, provenance: DataFrame,
@@ -109,8 +117,10 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     waiting = root.where("action = 'EXPAND'")
     if not p.breadth:
         waiting = waiting.join(first.select("need_key").distinct(), "need_key", "left_anti")
-    used = selected.groupBy("query_id").agg((F.lit(p.nodes) - F.count(F.lit(1))).cast("int").alias("left"))
-    expanded = cut_lineage(within_budget(waiting, used))
+    asked = needs.select("query_id").distinct()
+    expanded = cut_lineage(within_budget(waiting, budget_left(asked, p.nodes, selected)))
+    # A node that is opened is read as well: leaves chosen for expansion are evidence like selected ones.
+    first = cut_lineage(first.unionByName(check(expanded, needs, leaves, provenance, relevance)))
     near = (graph.both_directions(edges).join(expanded.select(F.col("node_id").alias("node"), "need_key").distinct(), "node")
             .select("need_key", F.col("node").alias("parent_id"), F.col("neighbour").alias("node_id")).distinct()
             .join(root.where("action <> 'PRUNE'").select("need_key", "node_id"), ["need_key", "node_id"], "left_anti")
@@ -119,9 +129,7 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     children = decide(scored, kinds, policy, p.children, 0, ["need_key", "parent_id"]).join(owner, "need_key")
     best = Window.partitionBy("need_key", "node_id").orderBy(F.col("score").desc(), "parent_id")
     children = cut_lineage(children.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r"))
-    spent = (selected.select("query_id").unionByName(expanded.select("query_id")).groupBy("query_id")
-             .agg((F.lit(p.nodes) - F.count(F.lit(1))).cast("int").alias("left")))
-    chosen = within_budget(children.where("action = 'SELECT'"), spent)
+    chosen = within_budget(children.where("action = 'SELECT'"), budget_left(asked, p.nodes, selected, expanded))
     second = check(chosen, needs, leaves, provenance, relevance)
 
     hits = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
@@ -167,7 +175,7 @@ def with_contradictions(evidence: DataFrame, edges: DataFrame, nodes: DataFrame)
     against = graph.contradictions(edges).select(F.col("node").alias("node_id"), F.col("neighbour").alias("other_id"))
     pulled = (evidence.join(against, "node_id").join(nodes.where(F.length("text") > 0).select(F.col("id").alias("other_id"), F.col("text").alias("t")), "other_id"))
     extra = pulled.join(evidence.select("query_id", F.col("node_id").alias("other_id")), ["query_id", "other_id"], "left_anti").groupBy("query_id", "other_id").agg(
-        F.min("found").alias("found"), F.max_by(F.struct("need_ids", "relevance", "document_id", "t"), "relevance").alias("p")).select(
+        F.min("found").alias("found"), F.max_by(F.struct("need_ids", "relevance", "document_id", "t"), F.struct("relevance", "evidence_id")).alias("p")).select(
         "query_id", F.concat(F.lit("contradiction:"), "other_id").alias("evidence_id"), F.col("other_id").alias("node_id"), "p.need_ids", "found",
         F.lit("Assertion").alias("kind"), F.col("p.t").alias("text"), "p.document_id", "p.relevance")
     rows = evidence.unionByName(extra)

@@ -49,12 +49,12 @@ def first_appearance(ranking: DataFrame, group: str, query_col: str = "query_id"
 
 def hash_sample(rows: DataFrame, key: str, strata: list[str], limit: int | None = None, share: float | None = None,
                 seed: int = 0) -> DataFrame:
-    """A seeded sample per stratum: the first rows in hash order, `limit` of them or a rounded share."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    """A seeded sample per stratum: the first rows in the order of md5(seed:key), `limit` of them or a rounded share."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     if limit is not None:
         return top_per_group(rows.withColumn("__h", order), strata, [F.col("__h"), F.col(key)], limit, "__rank").drop("__h", "__rank")
     # A share's cut-off is found on block counts: the hash splits a stratum evenly, so no stratum is sorted whole.
-    hashed = rows.withColumn("__h", order).withColumn("__block", F.shiftrightunsigned(F.col("__h"), 54).cast("int"))
+    hashed = rows.withColumn("__h", order).withColumn("__block", F.substring("__h", 1, 3))
     counts = hashed.groupBy(*strata, "__block").agg(F.count(F.lit(1)).alias("__n"))
     by_block = Window.partitionBy(*strata).orderBy("__block")
     placed = counts.select(*strata, "__block",

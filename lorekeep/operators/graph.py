@@ -144,14 +144,15 @@ def snapshot_problems(nodes: DataFrame, edges: DataFrame, authority: str) -> Dat
     return wrong.unionByName(ids).unionByName(uris).unionByName(relations)
 
 
-def cyclic_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes left after peeling nodes without a parent again and again: the cycles and everything below them.
 
-    Each round keeps the edges whose source still has a parent, so the work shrinks with the graph.
+    Each round keeps the edges whose source still has a parent, so the work shrinks with the graph and the rounds end
+    when nothing more falls away, however deep it is.
     """
     left = edges.select("src", "dst").distinct()
     size = None
-    for _ in range(max_rounds):
+    while True:
         left = cut_lineage(left)
         count = left.count()
         if count == 0 or count == size:
@@ -324,7 +325,7 @@ def previews(nodes: DataFrame, excerpt_tokens: int = 80, compact: bool = False)
     """What a navigation decision reads of a node; the compact form is what traces keep."""
     from ..functions.text import truncate_tokens
     leaf = F.col("kind").isin("Chunk", "Assertion") | ((F.col("kind") == "Document") & F.coalesce("retrieval_leaf", F.lit(False)))
-    excerpt = F.when(leaf & (F.length("text") > 0), truncate_tokens(F.substring("text", 1, excerpt_tokens * 8), excerpt_tokens))
+    excerpt = F.when(leaf & (F.length("text") > 0), truncate_tokens(F.col("text"), excerpt_tokens))
     return nodes.select(
         F.col("id").alias("node_id"), "label", "kind", "origin",
         (F.substring("routing_summary", 1, 300) if compact else F.col("routing_summary")).alias("routing_summary"),

@@ -40,7 +40,7 @@ def cached_inference(rows: DataFrame, fn: Callable[[str], str], schema: str, cac
                     except PermissionError:  # an account refusal fails the job, no fallback may hide it
                         raise
                     except Exception as exc:
-                        output, error = None, f"{type(exc).__name__}: {exc}"[:300]
+                        output, error = None, f"{type(exc).__name__}: {exc}"
                 outputs.append(output)
                 errors.append(error)
             yield pd.DataFrame({"key": pdf["key"].to_numpy(), "output": pd.Series(outputs, dtype=object), "error": pd.Series(errors, dtype=object)})
@@ -66,6 +66,8 @@ def embed(rows: DataFrame, cache: DataFrame | None = None, fn: Callable[[pd.Seri
         todo = todo.join(cache.select(F.col("key").alias("__key")), "__key", "left_anti")
     vector = hash_embedding(F.col("__t")) if fn is None else F.pandas_udf(fn, "array<double>")(F.col("__t"))
     fresh = todo.select(F.col("__key").alias("key"), vector.alias("vec")).withColumn("vec", F.when(valid_vector(F.col("vec"), dimensions), F.col("vec")))
+    if fn is not None:
+        fresh = cut_lineage(fresh)  # a given model answers each text once, for the rows and for the cache alike
     known = fresh if cache is None else cache.select("key", "vec").unionByName(fresh)
     return keyed.join(known.withColumnRenamed("key", "__key"), "__key", "left").drop("__key"), fresh
 

@@ -87,12 +87,18 @@ def document_frequency(docs: DataFrame, text_col: str = "text", id_col: str = "d
     return exploded.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
 
 
+def too_short(passages: DataFrame, passage_text: str = "text") -> DataFrame:
+    """The passages `containing` can't look for: those of less than three words."""
+    return passages.where(F.size(F.filter(F.split(F.coalesce(passage_text, F.lit("")), r"\s+"), lambda w: w != "")) < 3)
+
+
 def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                passage_col: str = "item_id", passage_text: str = "text", width: int = 4) -> DataFrame:
     """(passage, document) pairs where the document holds the passage verbatim.
 
     A passage's inner words stand whole in any text that holds it, so both sides meet on a run of inner words and
-    only those pairs are compared in full. Shorter passages use shorter runs; every passage needs three words.
+    only those pairs are compared in full. Shorter passages use shorter runs. A passage of less than three words has no inner
+    word and meets nothing; `too_short` lists those.
     """
     def pieces(c):
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -102,8 +108,7 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
 
     asked = (passages.select(F.col(passage_col), F.col(passage_text).alias("__passage"), pieces(F.col(passage_text)).alias("__w"))
              .withColumn("__n", F.least(F.lit(width), F.size("__w") - 2))
-             .withColumn("__n", F.when(F.col("__n") >= 1, F.col("__n")).otherwise(
-                 F.raise_error(F.lit("a passage needs at least three words")).cast("int")))
+             .where("__n >= 1")
              .select(passage_col, "__passage", "__n", run_of(F.col("__w"), F.lit(2), F.col("__n")).alias("__run")))
     widths = [r[0] for r in asked.select("__n").distinct().collect()]  # at most `width` values
 

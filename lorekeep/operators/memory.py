@@ -139,7 +139,7 @@ def reusable_episode(questions: DataFrame, episodes: DataFrame, changes: DataFra
     shared = marks.where(F.col("scope") == "shared").agg(F.max("changed_at").alias("at")).scalar()
     candidates = (pairs.join(asked, "query_id").join(episodes, ["key", "scope", "options"])
                   .join(marks, "scope", "left")
-                  .where((F.col("at") < F.col("asked_at")) & (F.col("at") >= F.col("asked_at") - F.make_dt_interval(F.lit(0), F.lit(int(hours))))
+                  .where((F.col("at") < F.col("asked_at")) & (F.col("at") >= F.col("asked_at") - F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18,6)")))
                          & F.col("completed") & (F.col("context_size") > 0)
                          & (F.col("changed_at").isNull() | (F.col("at") > F.col("changed_at")))
                          & (shared.isNull() | (F.col("at") > shared))))

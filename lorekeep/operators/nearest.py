@@ -56,8 +56,12 @@ def _normalised(m: np.ndarray) -> np.ndarray:
 
 def cosine_scores(queries: dict, rows: dict) -> np.ndarray:
     """Cosine of every query with every row of two blocks; 0 for a missing or zero vector."""
-    width = max(int(np.max(queries["sizes"], initial=0)), 1)
-    return _normalised(_matrix(queries, width)) @ _normalised(_matrix(rows, width)).T
+    out = np.zeros((len(queries["sizes"]), len(rows["sizes"])))
+    # Vectors are compared with those of their own length, so a block's other members make no difference.
+    for width in np.unique(np.asarray(queries["sizes"], dtype=np.int64)):
+        if width > 0:
+            out += _normalised(_matrix(queries, width)) @ _normalised(_matrix(rows, width)).T
+    return out
 
 
 def hybrid_scores(lexical: float = 0.5, semantic: float = 0.35, label: float = 0.1, hit: float = 0.0025, hit_cap: int = 20):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import numbers
 from ..session import cut_lineage
@@ -41,7 +41,8 @@ def similar_links(items: DataFrame, group: list[str], same: float = 0.85, same_t
     figures (text), date. Copies meet through one representative, statements with and without figures can never link,
     and blocks of bounded size are compared pairwise, each pair handing on a spanning forest only.
     """
-    usable = items.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).withColumn("__v", F.xxhash64("vec"))
+    # A zero vector has no direction, so it is like nothing, not even another zero vector.
+    usable = items.where(F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0)).withColumn("__v", F.xxhash64("vec"))
     by_copy = [*group, "__v", "figures"]
     heads = usable.groupBy(*by_copy, "date").agg(F.min("id").alias("head"))
     first = heads.groupBy(*by_copy).agg(F.min("head").alias("first"))
@@ -101,6 +102,9 @@ def settle(items: DataFrame, group: list[str], same: float = 0.85, same_text: fl
     return survivors, joined.select("survivor_id", "id")
 
 
-def newest_statements(items: DataFrame, scope: str = "scope", limit: int = 300) -> DataFrame:
-    """The newest statements of a scope, as a listing shows them."""
-    return top_per_group(items, [scope], [F.col("date").desc(), F.col("id")], limit).drop("rank")
+def newest_statements(items: DataFrame, scope: str = "scope", limit: int | None = None) -> DataFrame:
+    """Statements of a scope, newest first by `place`: all of them, or the `limit` newest for a listing."""
+    order = [F.col("date").desc(), F.col("id")]
+    if limit is not None:
+        return top_per_group(items, [scope], order, limit, "place")
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy(*order)))

@@ -238,7 +238,7 @@ def seed_nodes(inputs: DataFrame, nodes: DataFrame, names: DataFrame, params: Sp
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    best = rows.where("activation > 0").groupBy("query_id", "node").agg(F.max("activation").alias("activation"), F.max_by("mark", "activation").alias("mark"))
+    best = rows.where("activation > 0").groupBy("query_id", "node").agg(F.max("activation").alias("activation"), F.max_by("mark", F.struct("activation", "mark")).alias("mark"))
     return best.join(nodes.select("node", "label"), "node").select("query_id", "node", "activation", F.concat("mark", "label").alias("why"))
 
 

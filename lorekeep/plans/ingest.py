@@ -52,7 +52,18 @@ def page_sources(t) -> DataFrame:
                           F.col("url").alias("uri"), F.lit(None).cast("string").alias("filename"), F.lit("shared").alias("scope"))
 
 
-@query("page_text")
+PAGE_SQL = r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)\s*>', '', 'gsi') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '<(nav|footer|aside|form|svg|noscript|template)[^>]*>.*?(</(nav|footer|aside|form|svg|noscript|template)\s*>|$)', '', 'gsi') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(10) || chr(10) || '# ', 'gi'), '<h2[^>]*>', chr(10) || chr(10) || '## ', 'gi'), '</h[1-6]\s*>', chr(10) || chr(10), 'gi') AS h FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(p|div|br|tr|section)([\s/][^>]*)?>', chr(10) || chr(10), 'gi'), '<li([\s/][^>]*)?>', chr(10) || '- ', 'gi'),
+  '</?(b|strong)([\s/][^>]*)?>', '**', 'gi') AS h FROM c),
+e AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?[A-Za-z][^<>]*>|<![^>]*>', '', 'g'), '</?[A-Za-z][^<>]*$', '') AS h FROM d),
+f AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM e)
+SELECT page_id, length(text)::INTEGER AS chars, md5(text) AS digest, 0 AS metas, NULL::VARCHAR AS error FROM f"""
+
+
+@query("page_text", PAGE_SQL)
 def _page_text(t):
     rows = t.pages.select("page_id", F.col("html").alias("content"), F.lit("text/html").alias("mime"))
     found = extraction.extract_texts(rows, "page_id")
@@ -92,7 +103,7 @@ def _images(t):
 
 @query("recipe_lookup")
 def _recipes(t):
-    body = F.struct(F.col("source").alias("name"), F.slice(F.split("text", r"\s+"), 1, 20).alias("ingredients_text"), F.slice(F.split("text", r"[.]\s"), 1, 50).alias("instructions"),
+    body = F.struct(F.col("source").alias("name"), F.array(F.col("lang")).alias("ingredients_text"), F.array(F.col("text")).alias("instructions"),
                     F.lit(4.0).alias("yield_servings"), F.lit("").alias("yield_text"), F.lit("").alias("image_url"))
     recipes = t.documents.select(F.concat(F.lit("https://example.org/r/"), F.col("doc_id").cast("string")).alias("url"), body.alias("body"))
     nodes, _ = media.recipe_graph(recipes)

@@ -45,6 +45,6 @@ SELECT user_id::VARCHAR AS key, cue, round(activation, 6) AS activation FROM v""
 def _working(t):
     updates = event_stream(t).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("update_id"), F.col("ts").cast("timestamp").alias("at"),
                                      F.col("event_type").alias("cue"), F.col("value").alias("activation"))
-    held = run_available(jobs.working_memory_stream(updates), "update")
+    held = run_available(jobs.working_memory_stream(updates), "update").where(~F.col("late"))
     last = held.groupBy("key").agg(F.max("updated_at").alias("updated_at"))
     return held.join(last, ["key", "updated_at"]).select("key", "cue", F.round("activation", 6).alias("activation"))

@@ -164,7 +164,7 @@ def _apply(t):
         return F.struct(F.concat(F.lit("sct:"), c).alias("key"), c.alias("term"))
     recs = codes.groupBy("rec_id").agg(F.min("part").alias("first"), F.max("part").alias("last")).select(
         "rec_id", F.array(item(F.col("rec_id")), F.struct(F.lit("txt:urgent").alias("key"), F.lit("urgent").alias("term")), item(F.col("last"))).alias("conditions"), F.array(item(F.col("first"))).alias("exclusions"))
-    pairs = (records.select("patient", F.explode("concepts").alias("c")).select("patient", F.substring("c.key", 5, 100).alias("part")).join(codes, "part").select("patient", "rec_id").distinct())
+    pairs = (records.select("patient", F.explode("concepts").alias("c")).select("patient", clinical.code_of("c.key").alias("part")).join(codes, "part").select("patient", "rec_id").distinct())
     judged = clinical.applicability(recs, pairs, clinical.patient_facts(records, relations), records)
     return judged.select("patient", "rec_id", F.round("factor", 6).alias("factor"))
 

@@ -14,10 +14,10 @@ NORM_SQL = """list_transform(regexp_extract_all(strip_accents(lower({0})), '[\\p
   lambda w: CASE WHEN len(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, len(w) - 1) ELSE w END)"""
 
 
-@query("text_norm", f"""WITH n AS (SELECT doc_id, {NORM_SQL.format('text')} AS w FROM documents WHERE NOT contains(text, 'ß'))
+@query("text_norm", f"""WITH n AS (SELECT doc_id, {NORM_SQL.format('text')} AS w FROM documents)
 SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM n""")
 def _norm(t):
-    rows = t.documents.where(~F.col("text").contains("ß")).select("doc_id", text.norm_words(F.col("text")).alias("w"))
+    rows = t.documents.select("doc_id", text.norm_words(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
@@ -33,13 +33,13 @@ def _numbers(t):
   lead(text) OVER (ORDER BY doc_id) AS session FROM documents),
 e AS (SELECT *, coalesce(list_sum(v), 0) AS lean, lead(coalesce(list_sum(v), 0)) OVER (ORDER BY doc_id) AS session_lean FROM d)
 SELECT doc_id, lean, (regexp_matches(text, '\\(\\)|\\]\\]|~~|\\[s\\d+\\]|\\[date\\]|">|[a-z][A-Z][a-z]+\\(|(\\.\\.\\.|…)\\s*$')
-  OR (lean > 1 AND session_lean < -5)) AS corrupted FROM e WHERE session IS NOT NULL""")
+  OR (lean > 1 AND coalesce(session_lean, 0) < -5)) AS corrupted FROM e""")
 def _corrupted(t):
     docs = t.documents.select("doc_id", "text")
     # The next document stands for the session a memory was written about.
     session = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("session"))
-    return docs.join(session, "doc_id").select(
-        "doc_id", text.english_lean(F.col("text")).cast("long").alias("lean"), text.corrupted(F.col("text"), F.col("session")).alias("corrupted"))
+    return docs.join(session, "doc_id", "left").select(
+        "doc_id", text.english_lean(F.col("text")).cast("long").alias("lean"), text.corrupted(F.col("text"), F.coalesce("session", F.lit(""))).alias("corrupted"))
 
 
 CUE_SQL = """SELECT event_id, ts::DATE AS now, CASE event_id % 9 WHEN 0 THEN (event_id % 11 + 1) || ' weeks ago we met' WHEN 1 THEN 'in the past ' || (event_id % 5 + 2) || ' months'
@@ -91,14 +91,14 @@ def _dedupe(t):
     return passages.registered_copies(t.documents.select("doc_id", "source", F.sha2("text", 256).alias("digest")))
 
 
-@query("citations", """WITH known AS (SELECT ['a', 'b', 'c'] AS k), d AS (SELECT doc_id, 'It holds [a] that ' || left(replace(text, '[', '('), 40) || ' [b, c] and [a]' ||
+@query("citations", """WITH known AS (SELECT ['a', 'b', 'c'] AS k), d AS (SELECT doc_id, 'It holds [a] that ' || replace(text, '[', '(') || ' [b, c] and [a]' ||
   CASE WHEN doc_id % 2 = 0 THEN ' also [zz, a].' ELSE ' [c].' END AS answer FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b|c' ELSE 'a|b|c' END AS cited,
   md5(replace(replace(replace(replace(answer, '[b, c]', '[id2][id3]'), '[a]', '[id1]'), ' [c].', ' [id3].'), 'zzz', 'zzz')) AS rewritten,
   md5(regexp_replace(answer, '\\s*\\[(a|b, c|c)\\]', '', 'g')) AS bare FROM d""")
 def _citations(t):
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit(" also [zz, a].")).otherwise(F.lit(" [c]."))
-    rows = t.documents.select("doc_id", F.concat(F.lit("It holds [a] that "), F.substring(F.replace(F.col("text"), F.lit("["), F.lit("(")), 1, 40),
+    rows = t.documents.select("doc_id", F.concat(F.lit("It holds [a] that "), F.replace(F.col("text"), F.lit("["), F.lit("(")),
                                                  F.lit(" [b, c] and [a]"), tail).alias("answer"))
     known = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     real = F.create_map(F.lit("a"), F.lit("id1"), F.lit("b"), F.lit("id2"), F.lit("c"), F.lit("id3"))
@@ -118,7 +118,8 @@ def _named(t):
     return spreading.named_entities(rows, names).select(F.col("query_id").alias("doc_id"), F.col("node").alias("name"))
 
 
-@query("stratified_split")
+@query("stratified_split", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id::VARCHAR), doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT doc_id, lang FROM r WHERE place <= floor(n * 0.2 + 0.5)""")
 def _split(t):
     from ..operators import fusion
     return fusion.hash_sample(t.documents.select("doc_id", "lang"), "doc_id", ["lang"], share=0.2, seed=7)

@@ -40,35 +40,27 @@ def round_texts(rounds: DataFrame, session: str = "session", turn: str = "turn",
 
 
 def session_sizes(turns: DataFrame, session: str = "session", max_turns: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Sessions whose size is valid, and the rejected ones: a session holds 1 to 300 turns."""
+    """Sessions an interface that takes 1 to `max_turns` turns accepts, and those it rejects. Transcripts and keys take all."""
     sizes = turns.groupBy(session).agg(F.count(F.lit(1)).alias("turns"))
     return sizes.where(F.col("turns") <= max_turns), sizes.where(F.col("turns") > max_turns)
 
 
 def transcripts(rounds: DataFrame, session: str = "session", day: str = "day", turn: str = "turn", content: str = "content",
-                user_chars: int = 3000, assistant_chars: int = 1000, max_turns: int = 300) -> DataFrame:
-    """The text a memory extraction reads: session date, round headings, each turn cut to its role's limit.
-
-    Oversized sessions are rejected first (`session_sizes` lists them), so a transcript's size is bounded.
-    """
-    valid, _ = session_sizes(rounds, session, max_turns)
+                user_chars: int = 3000, assistant_chars: int = 1000) -> DataFrame:
+    """The text a memory extraction reads: session date, round headings, each turn cut to its role's limit. All sessions."""
     limit = F.when(F.col("role") == "user", user_chars).otherwise(assistant_chars)
     cut = F.when(F.length(content) <= limit, F.col(content)).otherwise(F.concat(F.substring(F.col(content), F.lit(1), limit), F.lit(" [...]")))
     line = F.concat(F.upper("role"), F.lit(": "), cut)
-    kept = rounds.join(valid.select(session), session, "left_semi")
-    by_round = kept.groupBy(session, day, "round").agg(ordered_text(F.col(turn), line, "\n").alias("lines"))
+    by_round = rounds.groupBy(session, day, "round").agg(ordered_text(F.col(turn), line, "\n").alias("lines"))
     heading = F.concat(F.lit("Session date: "), F.date_format(day, "yyyy-MM-dd (EEE)"))
     body = ordered_text(F.col("round"), F.concat(F.lit("\n[round "), F.col("round").cast("string"), F.lit("]\n"), F.col("lines")), "\n")
     return by_round.groupBy(session, day).agg(body.alias("body")).select(session, day, F.concat_ws("\n", heading, "body").alias("transcript"))
 
 
-def session_keys(turns: DataFrame, session: str = "session", day: str = "day", turn: str = "turn", content: str = "content",
-                 max_turns: int = 300) -> DataFrame:
+def session_keys(turns: DataFrame, session: str = "session", day: str = "day", turn: str = "turn", content: str = "content") -> DataFrame:
     """Content key: the same turns on another date get another key."""
-    valid, _ = session_sizes(turns, session, max_turns)
-    kept = turns.join(valid.select(session), session, "left_semi")
     body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.array("role", content).alias("m")))), lambda x: x["m"]))
-    return kept.groupBy(session, day).agg(F.sha1(F.concat(F.col(day).cast("string"), body).cast("binary")).alias("key"))
+    return turns.groupBy(session, day).agg(F.sha1(F.concat(F.col(day).cast("string"), body).cast("binary")).alias("key"))
 
 
 def packed_history(chosen: DataFrame, query_col: str = "query_id", session: str = "session", stamp: str = "stamp") -> DataFrame:

@@ -44,8 +44,12 @@ def _codes(concept: Column, display: Column) -> Column:
         F.when(c["system"] == LOINC_SYSTEM, F.lit("observable entity")).alias("tag")))
 
 
-def fhir_memories(resources: DataFrame, header_codes: list[str]) -> DataFrame:
-    """One memory per supported resource; others are ignored. SNOMED tags are filled by `fill_tags`."""
+def fhir_memories(resources: DataFrame, header_codes: list[str], day: Column | None = None, text_chars: int = 600) -> DataFrame:
+    """One memory per supported resource; others are ignored. SNOMED tags are filled by `fill_tags`.
+
+    A resource without a date gets `day`, by default the day of the job. `text` holds at most `text_chars` characters, as
+    such memories are defined; `full_text` holds all of it.
+    """
     rows = resources.where(F.col("resourceType").isin(KINDS))
     kind = F.col("resourceType")
     code = F.when(kind == "MedicationStatement", F.col("medicationCodeableConcept")).otherwise(F.col("code"))
@@ -80,8 +84,8 @@ def fhir_memories(resources: DataFrame, header_codes: list[str]) -> DataFrame:
               .when((kind == "AllergyIntolerance") & (state == "present") & clinical.isin("", "active"), F.lit("allergies"))
               .when((kind == "MedicationStatement") & status.isin("active", "intended"), F.lit("medications")))
     when = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("effectiveDateTime", "onsetDateTime", "recordedDate", "issued", "dateAsserted")], F.col("effectivePeriod.start"))
-    return rows.select("patient", F.col("id").alias("resource_id"), kind.alias("resource_type"), F.substring(text, 1, 600).alias("text"), state.alias("state"),
-                       F.lit("patient").alias("subject"), iso_date(when).alias("date"), F.lit(1.0).alias("confidence"),
+    return rows.select("patient", F.col("id").alias("resource_id"), kind.alias("resource_type"), F.substring(text, 1, text_chars).alias("text"), text.alias("full_text"), state.alias("state"),
+                       F.lit("patient").alias("subject"), F.coalesce(iso_date(when), F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd")).alias("date"), F.lit(1.0).alias("confidence"),
                        F.when(kind == "Observation", F.lit("lab")).otherwise(F.lit("structured")).alias("source"), concepts.alias("concepts"), header.alias("header"))
 
 

@@ -45,6 +45,12 @@ def valid_recipes(recipes: DataFrame) -> DataFrame:
     return recipes.where(F.coalesce(ok, F.lit(False)))
 
 
+def rejected_recipes(recipes: DataFrame) -> DataFrame:
+    """The rows `valid_recipes` leaves out, whole, each once."""
+    ok = valid_recipes(recipes.withColumn("__row", F.xxhash64("url", F.to_json("body")))).select("__row").distinct()
+    return recipes.withColumn("__row", F.xxhash64("url", F.to_json("body"))).join(ok, "__row", "left_anti").drop("__row")
+
+
 def recipe_graph(recipes: DataFrame, collection: str = "recipes", prefix: str = "lorekeep") -> tuple[DataFrame, DataFrame]:
     """One source and one document per address, each about the collection; running it again changes nothing."""
     rows = valid_recipes(recipes).dropDuplicates(["url"])

@@ -41,12 +41,13 @@ def session_stream(events: DataFrame, key: str = "user_id", at: str = "ts", gap:
 
 
 def working_memory_stream(updates: DataFrame, hours: float = 3, decay: float = 0.5, size: int = 40, delay: str = "1 hour") -> DataFrame:
-    """(key, cue, activation, updated_at) of every encounter a batch touched. Update mode.
+    """(key, cue, activation, updated_at, late) of every encounter a batch touched. Update mode.
 
-    updates: key string, update_id long, at timestamp, cue string, activation double. State is at most `size` cues; an
+    A row that is older than the state is handed on unchanged with `late` set, for the sink to keep aside (`with_late_table`);
+    the state itself never goes back. updates: key string, update_id long, at timestamp, cue string, activation double. State is at most `size` cues; an
     encounter is dropped by an event-time timer after `hours` without use.
     """
-    output = "key string, cue string, activation double, updated_at timestamp"
+    output = "key string, cue string, activation double, updated_at timestamp, late boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,7 +57,8 @@ def working_memory_stream(updates: DataFrame, hours: float = 3, decay: float = 0
         rows = pd.concat(list(batches)).sort_values(["at", "update_id"])
         for (at, _), update in rows.groupby(["at", "update_id"], sort=True):
             now = at.timestamp()
-            if last is not None and now < last:  # state never goes back; late rows are kept by `split_late`
+            if last is not None and now < last:
+                yield pd.DataFrame({"key": key[0], "cue": update["cue"].to_numpy(), "activation": update["activation"].to_numpy(), "updated_at": at, "late": True})
                 continue
             held = {} if last is not None and now - last > hours * 3600 else {c: v * decay for c, v in held.items()}
             for cue, value in zip(update["cue"], update["activation"]):
@@ -65,12 +67,24 @@ def working_memory_stream(updates: DataFrame, hours: float = 3, decay: float = 0
             last = now
         state.update((last, json.dumps(held)))
         state.setTimeoutTimestamp(max(int((last + hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "cue": pd.Series(list(held), dtype=object), "activation": list(held.values()), "updated_at": pd.Timestamp(last, unit="s").round("us")})
+        yield pd.DataFrame({"key": key[0], "cue": pd.Series(list(held), dtype=object), "activation": list(held.values()), "updated_at": pd.Timestamp(last, unit="s").round("us"), "late": False})
 
     return (updates.withWatermark("at", delay).groupBy("key")
             .applyInPandasWithState(step, output, "last double, held string", "update", GroupStateTimeout.EventTimeTimeout))
 
 
+def with_late_table(deliver: Callable[[DataFrame, int], None], late_path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that delivers rows on time and keeps late ones in a folder per batch, so a repeated batch
+    replaces its own late rows only."""
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+        deliver(batch.where(~F.col("late")).drop("late"), number)
+        batch.unpersist()
+
+    return sink
+
+
 def trace_state_stream(events: DataFrame) -> DataFrame:
     """(query_id, node, state) of every node a batch of trace events touched. Update mode.
 
