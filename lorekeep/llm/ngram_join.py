@@ -353,32 +353,23 @@ def linked_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int,
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     content = hashed_sets(docs.join(ids, "id", "left_semi"), words)
     both = (close.join(content.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
-            .join(content.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a").select("a", "b", "h_a", "h_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= similar * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    return both.mapInArrow(check, "a long, b long")
+            .join(content.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a"))
+    # Row by row in the JVM: batches of whole sets would be as large as the longest texts make them.
+    shared, sizes = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
+    return both.where(100 * shared >= similar * (sizes - shared)).select("a", "b")
 
 
 def hashed_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, hashes): each text's set as packed sorted hashes."""
+    """(id, hashes): each text's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = strings(batch.column(1))
             for low, high in pieces(column):
                 hashes, offsets = shingles(column.slice(low, high - low), words)
-                sets = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.binary())], ["id", "hashes"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], ["id", "hashes"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
 
 
 def folded(sketches: list[bytes], words: int) -> np.ndarray:
