@@ -199,11 +199,11 @@ def test_rounds_with_leading_assistant(spark):
 
 def test_structure_levels_fences_and_leaves(spark):
     text = "# One\nBody.\n## Two\n1.2.3.4.5.6.7 Deep heading\nDeep body.\n2.5 times higher than before.\n## Three\nEnd.\n"
-    rows = structure.outline(text, 600, 900, 500, 10**6, 100)
+    rows = structure.outline(text, 600, 900, 500)
     assert [(r[4], r[5], r[6]) for r in rows if r[3] == "Section"] == [
         (1, "One", ["One"]), (2, "Two", ["One", "Two"]), (7, "1.2.3.4.5.6.7 Deep heading", ["One", "Two", "1.2.3.4.5.6.7 Deep heading"]), (2, "Three", ["One", "Three"])]
-    assert len(structure.outline("```\n# no\n1.2 Not a heading\n```\n", 600, 900, 500, 10**6, 10)) == 1
-    assert structure.outline("Brief source.", 600, 900, 500, 10**6, 10)[0][9] is True
+    assert len(structure.outline("```\n# no\n1.2 Not a heading\n```\n", 600, 900, 500)) == 1
+    assert structure.outline("Brief source.", 600, 900, 500)[0][9] is True
 
 
 @pytest.mark.parametrize("text", ["One sentence here. " * 300, "日本語です。😀 " * 200, "x" * 10_000, "A paragraph of words.\n\n" * 150])

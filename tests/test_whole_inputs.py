@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import clinical, concepts, exploration, graph, lexical, memory, nearest, settle
 from lorekeep.operators.inference import embed
-from lorekeep.sources import conversations, extraction, fhir
+from lorekeep.sources import conversations, extraction, structure
 from lorekeep.streaming import jobs
 
 
@@ -112,3 +112,18 @@ def test_pages_mail_and_json_without_limits(spark):
     assert len(got[2].text) == 6_000_000 and got[3].error and got[4].text == "a�b" and got[5].error.startswith("Empty source")
     small = extraction.extract_texts(spark.createDataFrame(rows[1:2], "k int, content binary, mime string"), "k", max_bytes=10).first()
     assert small.error == "Empty source or source exceeds size limit" and small.text is None
+
+
+def test_underlined_headings_rollups_and_tokens():
+    text = "Intro\n\nTitle\n=====\nOwn body.\nPart\n---\nInner one two.\n# Next\nEnd.\n- item\n---\n"
+    rows = structure.outline(text, 600, 900, 0)
+    sections = {r[5]: r for r in rows if r[3] == "Section"}
+    assert [(r[4], r[5], r[6], r[2]) for r in sections.values()] == [(1, "Title", ["Title"], ""), (2, "Part", ["Title", "Part"], "Title"), (1, "Next", ["Next"], "")]
+    assert sections["Title"][10] == "Own body.\n\nPart\nInner one two.\n" and sections["Title"][11] == 6 and sections["Part"][11] == 3
+    assert [r[8] for r in rows if r[3] == "Chunk"] == ["Intro\n\n", "Own body.\n", "Inner one two.\n", "End.\n- item\n---\n"]
+
+
+def test_texts_beyond_a_limit_are_rejected_only_when_one_is_given(spark):
+    docs = spark.createDataFrame([(1, "t", "# A\n" * 2500)], "document_id int, title string, text string")
+    assert structure.parse_structure(docs).where("error is null").count() == 2501
+    assert [r.error for r in structure.parse_structure(docs, max_sections=2000).collect()] == ["Document exceeds section limit"]
