@@ -52,11 +52,12 @@ def pack_vector(vector: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _bucket_vector(buckets: pd.Series) -> pd.Series:
-    def one(row):
-        counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=64).astype(np.float64) if len(row) else np.zeros(64)
-        length = np.sqrt((counts * counts).sum()) or 1.0
-        return counts / length
-    return buckets.map(one)
+    rows = [np.zeros(0, np.int64) if row is None else np.asarray(row, np.int64) for row in buckets]
+    owner = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    counts = np.bincount(owner * 64 + flat, minlength=64 * len(rows)).reshape(-1, 64).astype(np.float64)
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return pd.Series(list(counts / np.where(length > 0, length, 1.0)), dtype=object)
 
 
 def hash_buckets(text: Column) -> Column:

@@ -65,6 +65,11 @@ def grouped_by_source(evidence: DataFrame, query_col: str = "query_id") -> DataF
     return placed.join(numbered.drop("__best", "__first"), [query_col, "document_id"])
 
 
+def view_tokens(*columns: str) -> Column:
+    """Tokens of an item's view besides its text: the names and values of its other fields, as the model reads them."""
+    return F.regexp_count(F.to_json(F.struct(*columns)), F.lit(r"[^\s{}\[\]\",:]+"))
+
+
 def pack_context(items: DataFrame, budget: int, query_col: str = "query_id", id_col: str = "evidence_id",
                  text_tokens: str = "text_tokens", overhead: str = "overhead", order: str = "place",
                  spare: int = 16, smallest: int = 40) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import token_count
+from ..functions.text import token_count, truncate_tokens
 from ..functions.vectors import hash_embedding
 from ..operators import concepts, context, exploration, inference
 from .registry import query
@@ -18,10 +18,11 @@ def answer_context(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edg
     evidence = exploration.with_contradictions(found["evidence"], edges, nodes)
     placed = context.grouped_by_source(evidence) if by_source else context.grouped_by_need(evidence, needs.select("query_id", "need_id", "need_no"))
     order = context.context_order(placed)
-    sized = (order.join(evidence.select("query_id", "evidence_id", "node_id", "document_id", "text", "relevance"), ["query_id", "evidence_id"])
-             .withColumn("text_tokens", token_count(F.col("text"))).withColumn("overhead", F.lit(12)))
-    packed = context.pack_context(sized, budget)
-    return {**found, "context": packed.join(sized.drop("place"), ["query_id", "evidence_id"])}
+    sized = (order.join(evidence.select("query_id", "evidence_id", "node_id", "document_id", "text", "relevance", "contradicts"), ["query_id", "evidence_id"])
+             .withColumn("text_tokens", token_count(F.col("text"))).withColumn("overhead", context.view_tokens("evidence_id", "document_id", "contradicts")))
+    packed = context.pack_context(sized, budget).join(sized.drop("place"), ["query_id", "evidence_id"])
+    # What the model reads: an item that did not fit whole holds no more than the tokens kept of it.
+    return {**found, "context": packed.withColumn("text", F.when(F.col("truncated"), truncate_tokens(F.col("text"), F.col("kept_tokens").cast("int"))).otherwise(F.col("text")))}
 
 
 def document_graph(t) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -50,7 +51,7 @@ def _context(t):
     questions, needs = question_needs(t)
     nodes, edges, provenance = document_graph(t)
     packed = answer_context(needs, questions, nodes, edges, provenance, 2000)["context"]
-    return packed.select("query_id", "evidence_id", "node_id", "place", "kept_tokens", "truncated")
+    return packed.select("query_id", "evidence_id", "node_id", "place", "kept_tokens", "truncated", token_count(F.col("text")).alias("tokens"))
 
 
 @query("exploration_branches")

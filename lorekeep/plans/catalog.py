@@ -9,3 +9,4 @@ from . import answering  # noqa: F401
 from . import ingest, terminologies  # noqa: F401
 from . import traces  # noqa: F401
 from . import streams  # noqa: F401
+from . import upkeep  # noqa: F401

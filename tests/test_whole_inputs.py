@@ -127,3 +127,17 @@ def test_texts_beyond_a_limit_are_rejected_only_when_one_is_given(spark):
     docs = spark.createDataFrame([(1, "t", "# A\n" * 2500)], "document_id int, title string, text string")
     assert structure.parse_structure(docs).where("error is null").count() == 2501
     assert [r.error for r in structure.parse_structure(docs, max_sections=2000).collect()] == ["Document exceeds section limit"]
+
+
+def test_a_context_never_exceeds_its_budget(spark):
+    from lorekeep.functions.text import token_count
+    from lorekeep.plans import answering
+    needs = spark.createDataFrame([("q", "N1", 0, "alpha beta", None)], "query_id string, need_id string, need_no int, description string, vec array<double>")
+    questions = spark.createDataFrame([("q", "alpha beta", None)], "query_id string, text string, vec array<double>")
+    nodes = spark.createDataFrame([(f"d{i}", "Document", "alpha beta", [], "alpha beta " + "word " * (150 + i), "", "", None, 0, True) for i in range(4)],
+                                  "id string, kind string, label string, aliases array<string>, text string, summary string, routing_summary string, embedding array<double>, hits int, retrieval_leaf boolean")
+    edges = spark.createDataFrame([("s", f"d{i}", "PROVIDES") for i in range(4)], "src string, dst string, relation string")
+    found = answering.answer_context(needs, questions, nodes, edges, nodes.select(F.col("id").alias("node_id"), F.col("id").alias("document_id")), budget=400)["context"]
+    rows = found.select("truncated", "kept_tokens", "overhead", token_count(F.col("text")).alias("t")).collect()
+    assert len(rows) == 3 and [r.truncated for r in rows].count(True) == 1 and all(r.t <= r.kept_tokens for r in rows)
+    assert 1 + sum(r.t + r.overhead + 1 for r in rows) <= 400
