@@ -107,8 +107,8 @@ def _provenance(t):
 @query("hard_delete", f"""WITH {ORDER_GRAPH_SQL},
 docs AS (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
 gone AS (SELECT id FROM docs UNION SELECT dst FROM links JOIN docs ON src = id WHERE relation = 'CONTAINS'
-  UNION SELECT src FROM links WHERE relation = 'PROVIDES' GROUP BY src HAVING count(*) = count(*) FILTER (dst IN (SELECT id FROM docs)))
-SELECT src, dst, relation FROM links WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""")
+  UNION SELECT src FROM links LEFT JOIN docs ON dst = id WHERE relation = 'PROVIDES' GROUP BY src HAVING count(*) = count(id))
+SELECT src, dst, relation FROM links ANTI JOIN gone a ON a.id = src ANTI JOIN gone b ON b.id = dst""")
 def _delete(t):
     edges = order_graph(t)
     documents = t.orders.where(F.col("o_orderstatus") == "F").select(key("o", "o_orderkey").alias("document_id"))

@@ -148,7 +148,8 @@ def _facts(t):
 @query("applicability", f"""WITH {APPLY_SQL},
 recs AS (SELECT brand AS rec_id, brand, min(code) AS first_part, max(code) AS last_part FROM p GROUP BY brand),
 pairs AS (SELECT DISTINCT patient, brand AS rec_id FROM l),
-has AS (SELECT patient, code, bool_or(state = 'present') AS pr, bool_or(state = 'possible') AS po, bool_or(state = 'absent') AS ab FROM facts GROUP BY ALL),
+asked AS (SELECT rec_id AS code FROM recs UNION SELECT first_part FROM recs UNION SELECT last_part FROM recs),
+has AS MATERIALIZED (SELECT patient, code, bool_or(state = 'present') AS pr, bool_or(state = 'possible') AS po, bool_or(state = 'absent') AS ab FROM facts JOIN asked USING (code) GROUP BY ALL),
 urgent AS (SELECT DISTINCT o_custkey AS patient FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
 j AS (SELECT a.patient, a.rec_id, b.pr, b.po, b.ab, coalesce(e.pr, false) AS excluded, coalesce(c.pr, false) AS cp, coalesce(c.po, false) AS co, coalesce(c.ab, false) AS ca, u.patient IS NOT NULL AS urgent
   FROM pairs a JOIN recs r USING (rec_id) LEFT JOIN has b ON b.patient = a.patient AND b.code = r.brand LEFT JOIN has e ON e.patient = a.patient AND e.code = r.first_part
