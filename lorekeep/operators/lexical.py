@@ -57,7 +57,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
         average.alias("average"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return (counted.where(F.col("term").isNotNull()).join(weighted, "term")
+    # A frequent term's postings stay spread over their documents; the few weights are copied to every part.
+    parts = 16
+    dealt = counted.where(F.col("term").isNotNull()).withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    weighted = weighted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return (dealt.join(weighted, ["term", "__part"])
             .groupBy(query_col, id_col).agg(F.sum(part).alias("score")))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import terms, words
 from .skew import top_per_group
 
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
+BLOCK_ROWS, BLOCK_QUERIES, SPREAD = 2048, 512, 16
 
 
 def _packed(df: DataFrame, key: str, rows: int, fields: list[str], name: str, group: list[str]) -> DataFrame:
@@ -111,14 +111,18 @@ def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, score: Callable, r
     group = group or []
     row_blocks = _packed(rows, row_key, BLOCK_ROWS, row_fields, "rows", group)
     query_blocks = _packed(queries, query_key, BLOCK_QUERIES, query_fields, "queries", group)
+    # Few queries, or one large group, would be a single key: row blocks are dealt to `SPREAD` parts of each key, and the
+    # query blocks, copied to every part, meet each row block once.
+    row_blocks = row_blocks.withColumn("__part", F.pmod(F.col("__rows"), F.lit(SPREAD)))
+    query_blocks = query_blocks.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     if group:
-        pairs = row_blocks.join(query_blocks, group)
+        pairs = row_blocks.join(query_blocks, [*group, "__part"])
     else:
         # Every row block meets every query block: the block number of the queries is the join key.
         n = queries.agg(F.count(F.lit(1)).alias("n")).select(
             F.greatest(F.ceil(F.col("n") / BLOCK_QUERIES), F.lit(1)).cast("long")).scalar()
         pairs = (row_blocks.withColumn("__queries", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-                 .join(query_blocks, "__queries"))
+                 .join(query_blocks, ["__queries", "__part"]))
     row_type, query_type = rows.schema[row_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
 
     names = [c for c in pairs.columns if c.startswith(("rows_", "queries_"))]
