@@ -106,14 +106,17 @@ def _decisions(t):
 def _taxonomy(t):
     nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.array("p_brand", "p_type").alias("aliases"),
                           F.lit("").alias("routing_summary"), F.lit("").alias("summary"), F.lit("").alias("text"))
-    queries = t.documents.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.lit("widgets ring"), "source", F.lit("economy")).alias("text"))
+    # Invented prose names no part, so a few of their words follow each whole text.
+    queries = t.documents.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "text", F.lit("widgets ring"), "source", F.lit("economy")).alias("text"))
     return concepts.taxonomy_candidates(queries, nodes, 5)
 
 
-@query("concept_resolution", """SELECT p_partkey::VARCHAR AS spec_id, min(p_partkey) OVER (PARTITION BY p_name) AS first_part FROM part""")
+@query("concept_resolution", """WITH s AS (SELECT lower(p_name) AS k, min('k' || p_partkey) AS stored FROM part WHERE p_size <= 10 GROUP BY 1)
+SELECT p_partkey::VARCHAR AS spec_id, min(p_partkey) OVER (PARTITION BY p_name) AS first_part, stored IS NULL AS is_new, stored FROM part LEFT JOIN s ON k = lower(p_name)""")
 def _resolution(t):
     specs = t.part.select(F.col("p_partkey").cast("string").alias("spec_id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"))
-    stored = t.part.where("p_size < 0").select(F.col("p_name").alias("id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"), F.lit("LOCAL").alias("origin"))
+    stored = t.part.where("p_size <= 10").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"),
+                                                 F.array().cast("array<string>").alias("aliases"), F.lit("MAIN").alias("origin"))
     found = concepts.resolve_batch(specs, stored)
     first = found.groupBy("concept_id").agg(F.min(F.col("spec_id").cast("long")).alias("first_part"))
-    return found.join(first, "concept_id").select("spec_id", "first_part")
+    return found.join(first, "concept_id").select("spec_id", "first_part", "is_new", F.when(~F.col("is_new"), F.col("concept_id")).alias("stored"))

@@ -9,6 +9,7 @@ from ..functions.vectors import hash_embedding
 from ..operators.inference import embed
 from ..sources import extraction, media, passages, structure
 from .registry import query
+from .search import STOP_SQL, WORDS_SQL
 
 
 def ingest(sources: DataFrame, stored: DataFrame | None = None, parser_version: str = "1", light: bool = True, fetched_for: str | None = None,
@@ -101,7 +102,16 @@ def _images(t):
     return media.register_images(rows)[0].select("sha256", "mime_type", F.col("bytes").cast("long").alias("bytes"))
 
 
-@query("recipe_lookup")
+UUID_SQL = "left(d, 8) || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab', ('0x' || d[17])::INTEGER % 4 + 1, 1) || d[18:20] || '-' || d[21:32]"
+
+
+@query("recipe_lookup", f"""WITH r AS (SELECT doc_id, to_json({{'name': source, 'ingredients_text': [lang], 'instructions': [text], 'yield_servings': 4.0::DOUBLE, 'yield_text': '', 'image_url': ''}})::VARCHAR AS j,
+  sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('lorekeep:document:recipe:https://example.org/r/' || doc_id)) AS d FROM documents WHERE length(text) BETWEEN 1 AND 6000),
+t AS (SELECT {UUID_SQL} AS id, unnest(list_filter({WORDS_SQL.format('j')}, lambda x: x NOT IN ({STOP_SQL}))) AS term FROM r),
+w AS (SELECT item_id AS query_id, {WORDS_SQL.format('text')} AS w FROM benchmark), k AS (SELECT query_id, w, list_filter(w, lambda x: x NOT IN ({STOP_SQL})) AS kept FROM w),
+q AS (SELECT query_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE w END) AS term FROM k),
+s AS (SELECT query_id, id, count(*) AS shared FROM t JOIN q USING (term) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) AS rank FROM s)
+SELECT query_id, id, shared, rank FROM p WHERE rank <= 10""")
 def _recipes(t):
     body = F.struct(F.col("source").alias("name"), F.array(F.col("lang")).alias("ingredients_text"), F.array(F.col("text")).alias("instructions"),
                     F.lit(4.0).alias("yield_servings"), F.lit("").alias("yield_text"), F.lit("").alias("image_url"))
