@@ -46,7 +46,9 @@ def rules() -> list[Rule]:
     return [
         Rule("symbols", none, F.col("n_symbols") * 10 > n_words),
         Rule("word_length", none, (F.col("word_chars") < n_words * 2) | (F.col("word_chars") > n_words * 15)),
-        Rule("repeated_lines", none, F.col("n_dup_lines") * 100 > n_lines * 30),
+        # A line or two that come again, as headings and refrains do, are no fault of a short text.
+        Rule("repeated_lines", none, (F.col("n_dup_lines") > 2) & (F.col("n_dup_lines") * 100 > n_lines * 30)),
+        Rule("stutter", n_words * 5, F.size(F.filter(words, lambda w, i: F.coalesce(w == F.get("words", i - 1), F.lit(False)))) * 10 > n_words * 4),
         Rule("marks", characters, occurrences(text, "[!?]") * 2 > n_words),
         Rule("digits", characters, occurrences(text, "[0-9]") * 10 > F.col("word_chars") * 3),
         Rule("braces", characters, occurrences(text, r"[{}\[\]]") * 5 > n_words),
@@ -138,7 +140,8 @@ r AS (SELECT doc_id, sum(part) AS rep FROM p GROUP BY doc_id),
 b AS (SELECT c.*, coalesce(rep, 0) AS rep, n < 10 OR 100 * coalesce(rep, 0) > 20 * n AS failed FROM c LEFT JOIN r USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
        failed AS base_failed,
-       NOT (failed OR sym * 10 > n OR chars < n * 2 OR chars > n * 15 OR dup * 100 > len(l) * 30
+       NOT (failed OR sym * 10 > n OR chars < n * 2 OR chars > n * 15 OR (dup > 2 AND dup * 100 > len(l) * 30)
+            OR 10 * len(list_filter(range(2, n + 1), lambda i: w[i] = w[i - 1])) > 4 * n
             OR 2 * (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) > n
             OR 10 * (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) > 3 * chars
             OR 5 * (length(text) - length(regexp_replace(text, '[{}\[\]]', '', 'g'))) > n
