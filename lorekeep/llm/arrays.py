@@ -63,10 +63,14 @@ _powers: dict[np.uint64, np.ndarray] = {}
 
 
 def powers(base: np.uint64, count: int) -> np.ndarray:
-    """base ** 0, 1, 2, ... modulo 2 ** 64, at least `count` of them."""
-    if len(_powers.get(base, ())) <= count:
-        _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count + (count >> 2), base, np.uint64)]))
-    return _powers[base]
+    """base ** 0, 1, 2, ... modulo 2 ** 64, more than `count` of them. Those of usual slices are kept, longer ones are not, so a
+    worker doesn't hold the memory of its longest text for ever."""
+    held = _powers.get(base)
+    if held is None or len(held) <= count:
+        held = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count + (count >> 2), base, np.uint64)]))
+        if count <= 2 * SLICE_BYTES:
+            _powers[base] = held
+    return held
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ one task on a sample of at most about `SAMPLE_ROWS` labelled documents per class
 the softmax. As both layers are linear, scoring needs one number per table row: the embedding times the difference of the
 two softmax columns.
 
-Cases: a null text or a text without words scores 0; without labelled rows of both classes every document scores 0; an id
+Cases: a null text or a text without words scores 0; without labelled texts of both classes, or without a word in them, every document scores 0; an id
 with several labels counts with the largest, null labels are not used; repeated rows are scored alike; an empty table
 gives no rows; other columns are not read.
 """
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import FOLD_CASE, IN_WORD, annotate, flat, mix, span_hashes, strings, word_bounds
+from .arrays import FOLD_CASE, IN_WORD, annotate, flat, mix, pieces, span_hashes, strings, word_bounds
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -119,15 +119,27 @@ class Trainer:
     """Joint gradient steps (Adagrad) on the embedding table and the softmax."""
 
     def __init__(self, texts: pa.Array, toxic: np.ndarray):
-        data, offsets = flat(texts)
-        data = FOLD_CASE[data]
-        starts, ends, first = word_bounds(data, offsets, LETTERS)
-        _, lead, self.word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        order = np.argsort(lead)  # spans in text order, as `marked_words` expects
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.word = rank[self.word]
-        self.buckets, self.spans = word_features(*marked_words(data, starts[lead[order]], ends[lead[order]]))
+        # Slice by slice, so that only the numbers of words and the features of distinct ones are held at once.
+        known: dict[int, int] = {}
+        words, counts, buckets, sizes = [], [np.zeros(1, np.int64)], [], []
+        for low, high in pieces(texts):
+            data, offsets = flat(texts.slice(low, high - low))
+            data = FOLD_CASE[data]
+            starts, ends, first = word_bounds(data, offsets, LETTERS)
+            distinct, lead, at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            new = np.array([h not in known for h in distinct.tolist()], bool)
+            order = np.argsort(lead[new])  # spans in text order, as `marked_words` expects
+            known.update(zip(distinct[new][order].tolist(), range(len(known), len(known) + len(order))))
+            if len(order):
+                found, spans = word_features(*marked_words(data, starts[lead[new][order]], ends[lead[new][order]]))
+                buckets.append(found.astype(np.int32))
+                sizes.append(np.diff(spans))
+            words.append(np.array([known[h] for h in distinct.tolist()], np.int64)[at])
+            counts.append(np.diff(first))
+        none = np.zeros(0, np.int64)
+        self.word = np.concatenate([none, *words])
+        self.buckets, self.spans = np.concatenate([none, *buckets]), np.concatenate([[0], np.cumsum(np.concatenate([none, *sizes]))])
+        first = np.cumsum(np.concatenate(counts))
         self.first, self.start = windows(first, WINDOW)
         self.size = np.diff(np.append(self.first, first[-1]))
         self.again = repeats(self.word, np.repeat(np.arange(len(self.first)), self.size))
@@ -210,7 +222,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         rows = pa.Table.from_batches(list(batches))
         if rows.num_rows:
             rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
-            table, soft, bias = Trainer(strings(rows.column("text")), rows.column("label").to_numpy().astype(np.int64)).run()
+            trainer = Trainer(strings(rows.column("text")), rows.column("label").to_numpy().astype(np.int64))
+            if not len(trainer.word):
+                return
+            table, soft, bias = trainer.run()
             yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()]) for x in (table, soft, bias)], ["embedding", "soft", "bias"])
 
     found = sample.repartition(1).mapInArrow(train, "embedding binary, soft binary, bias binary").collect()

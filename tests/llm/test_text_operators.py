@@ -177,5 +177,6 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert got[1].score < 0.5 < got[2].score and got[3].score > 0.5
     assert got[10].score == got[11].score == got[12].score == 0
     assert toxicity.learn(docs(spark, rows), label_table.where("toxic = 0")) is None
+    assert toxicity.learn(docs(spark, [(0, "..."), (1, " "), (2, None)]), spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, toxic int")) is None
     assert {r.score for r in toxicity.score(docs(spark, CASES), None).collect()} == {0.0}
     assert toxicity.score(docs(spark, []), model).collect() == []
