@@ -31,9 +31,9 @@ UNKNOWN = "und"
 DIMENSIONS = 512
 GRAM = 3
 SAMPLE_ROWS = 20_000
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Cells of a slice's count matrix, at most.
-CELLS = 1 << 22
+CELLS = 1 << 21
 
 _letters: np.ndarray | None = None
 
