@@ -9,7 +9,7 @@ alone, so they are the same in every task and need no table.
 Texts are lower-cased; everything that is not a letter separates words, and a run of it counts as one blank. N-grams of
 whole texts are counted and multiplied with the n-gram vectors as matrices, a bounded slice of texts at a time. The
 prototypes (languages x dimensions numbers) are all that is passed to the driver; they are learned from a sample of at most about
-`SAMPLE_ROWS` labelled rows, taken by a hash of the id.
+`SAMPLE_ROWS` labelled rows of each language, taken by a hash of the id, and at least the first row by that hash.
 
 Cases: a null text or a text without a letter gets `und` with score 0; without any labelled row every text gets `und`;
 equal cosines go to the language that sorts first; repeated rows are judged alike; null languages are not learned from; an
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .arrays import annotate, mix, pieces, strings
 
@@ -146,19 +146,27 @@ def learn(labelled: DataFrame, text_column: str, lang_column: str, dimensions: i
     return [r["lang"] for r in found], np.array([r["sum"] for r in found], np.float64).reshape(len(found), dimensions)
 
 
-def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """About `most` rows of a table at most, the same ones each time: those whose hashed key is low enough."""
-    total = rows.count()
-    if total <= most:
+def bounded_sample(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
+    """About `most` rows of each group at most, the same ones each time: those whose hashed key is low enough, or the lowest."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("many"), F.min(place).alias("lowest")).collect()
+    bounds = {r[group]: max(int((1 << 30) * most / r["many"]), r["lowest"] + 1) for r in counts if r["many"] > most}
+    if not bounds:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    bound = F.try_element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col(group))
+    return rows.where(F.coalesce(place < bound, F.lit(True)))
+
+
+def examples(labelled: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    """The rows that have a text and a language."""
+    return labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column, lang_column)
 
 
 def learn_sample(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
                  sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """`learn` from a bounded sample of the rows that have a text and a language."""
-    known = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column, lang_column)
-    return learn(bounded_sample(known, F.col(id_column), sample_rows), text_column, lang_column)
+    """`learn` from a bounded sample of each language's rows."""
+    known = examples(labelled, id_column, text_column, lang_column)
+    return learn(bounded_sample(known, id_column, lang_column, sample_rows), text_column, lang_column)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), gram: int = GRAM,

@@ -66,6 +66,16 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([got[i].lang_pred == truth[i].lang for i in held if truth[i].lang]) > 0.97
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(400)] + [(1000, "der hund und die katze", "de")] + [(None, "le chat et le chien", "fr")] * 30
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn_sample(known, sample_rows=5)
+    assert model[0] == ["de", "en", "fr"]
+    sample = language.bounded_sample(known, "doc_id", "lang", 20).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in sample if r.lang != "en"} == {"de": 1, "fr": 30}
+    assert 5 < sum(r["count"] for r in sample if r.lang == "en") < 50
+
+
 # --- quality --------------------------------------------------------------------------------------------------------------
 
 def counts(text):
