@@ -11,6 +11,11 @@ whole texts are counted and multiplied with the n-gram vectors as matrices, a bo
 prototypes (languages x dimensions numbers) are all that is passed to the driver; they are learned from a sample of at most about
 `SAMPLE_ROWS` labelled rows of each language, taken by a hash of the id, and at least the first row by that hash.
 
+The cosine of a text in no language is noise, and how far a clean text rises above it depends on its evidence: the number of n-grams that
+count, which is small for short and for repetitive texts. `least_cosines` learns a threshold per power of two of the evidence
+from starts of labelled texts and the same starts with their letters shuffled: what hardly a shuffled start reaches, but no more than
+what nearly all clean ones do. Below about 32 n-grams the two overlap, and such texts stay.
+
 Cases: a null text or a text without a letter gets `und` with score 0; without any labelled row every text gets `und`;
 equal cosines go to the language that sorts first; repeated rows are judged alike; null languages are not learned from; an
 empty table gives no rows; other columns are not read.
@@ -31,6 +36,12 @@ UNKNOWN = "und"
 DIMENSIONS = 512
 GRAM = 3
 SAMPLE_ROWS = 20_000
+#: Labelled rows of each language that the least cosines are learned from, about, and the lengths of the starts taken of them.
+CONTRAST_ROWS = 500
+STARTS = (4, 8, 16, 32, 64, 128, 256, 512)
+#: Powers of two of the evidence that have a least cosine of their own; the share of clean texts below it and of shuffled ones above.
+LEVELS = 24
+SPARED, PASSED = 0.005, 0.01
 SLICE_BYTES = 1 << 20
 #: Cells of a slice's count matrix, at most.
 CELLS = 1 << 21
@@ -55,6 +66,11 @@ def letter_vectors(codes: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
 
 def text_vectors(texts: list[str], dimensions: int, gram: int, seed: int) -> np.ndarray:
     """The bundle of each text's letter n-grams (a row each); zero for texts without letters."""
+    return counted_vectors(texts, dimensions, gram, seed)[0]
+
+
+def counted_vectors(texts: list[str], dimensions: int, gram: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """`text_vectors` and the number of n-grams in each."""
     out = np.zeros((len(texts), dimensions), np.float32)
     lowered = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
@@ -114,7 +130,13 @@ def text_vectors(texts: list[str], dimensions: int, gram: int, seed: int) -> np.
             counts = np.bincount(o * (high - low) + g, minlength=(last - first) * (high - low)).reshape(last - first, high - low)
             out[first:last] += counts.astype(np.float32) @ vectors
     out[~lettered] = 0
-    return out
+    return out, np.diff(bounds)
+
+
+def levels(vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The power of two of each bundle's evidence: its n-grams if all differ, fewer the more they repeat."""
+    evidence = counts.astype(float) ** 2 * vectors.shape[1] / np.maximum((vectors.astype(float) ** 2).sum(axis=1), 1)
+    return np.clip(np.log2(np.maximum(evidence, 1)).astype(int), 0, LEVELS - 1)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -169,9 +191,44 @@ def learn_sample(labelled: DataFrame, id_column: str = "doc_id", text_column: st
     return learn(bounded_sample(known, id_column, lang_column, sample_rows), text_column, lang_column)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), gram: int = GRAM,
-            seed: int = 7) -> DataFrame:
-    """Per row: the columns `keep`, `lang_pred` and `score`, the cosine with the chosen prototype (0 to 1)."""
+def shuffled(text: str) -> str:
+    """The text with its characters in a random order, the same one each time."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(len(codes)).permutation(codes).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+                  gram: int = GRAM, seed: int = 7, sample_rows: int = CONTRAST_ROWS) -> np.ndarray:
+    """Per level of evidence the least cosine of a text in a known language."""
+    kinds = 3  # whole texts, starts, shuffled texts and starts
+    compare = comparer(model, gram, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(0))
+            for low, high in pieces(texts, SLICE_BYTES):
+                whole = texts.slice(low, high - low).to_pylist()
+                starts = [t[:n] for t in whole for n in STARTS if n < len(t)]
+                for kind, some in enumerate((whole, starts, [shuffled(t) for t in whole + starts])):
+                    some = [t for t in some if any(map(str.isalpha, t))]
+                    _, best, level = compare(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind)), pa.array(level), pa.array(best.astype(float))], ["kind", "level", "score"])
+
+    known = bounded_sample(examples(labelled, id_column, text_column, lang_column), id_column, lang_column, sample_rows)
+    found = known.select(text_column).mapInArrow(run, "kind long, level long, score double").groupBy("kind", "level").agg(
+        F.percentile_approx("score", [SPARED, 1 - PASSED], 10_000).alias("scores"))
+    at = {(r["kind"], r["level"]): r["scores"][r["kind"] == kinds - 1] for r in found.collect()}
+    least, last = np.zeros(LEVELS), 0.0
+    for level in range(LEVELS):  # where a level has no examples, that of the next lower one holds
+        clean = [at[k, level] for k in range(kinds - 1) if (k, level) in at]
+        if clean and (kinds - 1, level) in at:
+            last = min(at[kinds - 1, level], *clean)
+        least[level] = last
+    return least
+
+
+def comparer(model: tuple[list[str], np.ndarray], gram: int, seed: int):
+    """A function from texts to (nearest language's number, cosine with it, level of evidence) of each."""
     languages, sums = model
     dimensions = sums.shape[1]
     scaled = unit(sums)
@@ -179,15 +236,30 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: s
     prototypes = unit(scaled - centre).astype(np.float32)
     centre = centre.astype(np.float32)
 
-    def nearest(texts: pa.Array) -> list[pa.Array]:
-        vectors = text_vectors(texts.to_pylist(), dimensions, gram, seed)
+    def compare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        vectors, counts = counted_vectors(texts, dimensions, gram, seed)
         known = vectors.any(axis=1) & bool(languages)
-        names, scores = [UNKNOWN] * len(known), np.zeros(len(known))
-        if languages:
-            cosines = unit(unit(vectors) - centre) @ prototypes.T
-            best = cosines.argmax(axis=1)
-            scores = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0, 1).round(6), 0.0)
-            names = [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-        return [pa.array(names, pa.string()), pa.array(scores.astype(float))]
+        level = levels(vectors, counts)
+        if not languages:
+            return np.full(len(texts), -1), np.zeros(len(texts)), level
+        cosines = unit(unit(vectors) - centre) @ prototypes.T
+        best = cosines.argmax(axis=1)
+        scores = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0, 1).round(6), 0.0)
+        return np.where(known, best, -1), scores, level
+
+    return compare
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), gram: int = GRAM,
+            seed: int = 7, least: np.ndarray | None = None) -> DataFrame:
+    """Per row: the columns `keep`, `lang_pred` and `score`, the cosine with the chosen prototype (0 to 1). With `least` (of `least_cosines`)
+    a text below the least cosine of its level of evidence is `und`, too."""
+    languages, compare = model[0], comparer(model, gram, seed)
+
+    def nearest(texts: pa.Array) -> list[pa.Array]:
+        best, scores, level = compare(texts.to_pylist())
+        if least is not None:
+            best = np.where(scores < least[level], -1, best)
+        return [pa.array([languages[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string()), pa.array(scores.astype(float))]
 
     return annotate(docs, text_column, "lang_pred string, score double", nearest, list(keep), SLICE_BYTES)

@@ -1,12 +1,13 @@
 """The registered queries on the smallest tables: against SQL where there is one, and the pipeline step by step."""
 
+import random
 import sys
 
 import pytest
 
 import corpus_pipeline
 from lorekeep.llm import queries
-from tests.llm.helpers import SMALL, by_id
+from tests.llm.helpers import SMALL, TESTDATA, by_id
 from tests.llm.test_ngram_join import components
 from tests.oracle import compare, connect
 
@@ -43,6 +44,21 @@ def test_pipeline_against_its_steps(spark):
     assert got == set(components([(i, known[i].text) for i in sorted(known)]).values())
 
 
+def test_off_language_texts_go_and_clean_ones_stay(spark):
+    rnd = random.Random(4)
+    known = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    clean = [r.text for r in known.where("length(text) > 600").orderBy("doc_id").limit(100).collect()]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "".join(map(chr, range(0x4E00, 0x5800)))]
+    off = [" ".join("".join(rnd.choices(a, k=rnd.randint(2, 9))) for _ in range(n)) for a in alphabets for n in (20, 200, 1000) for _ in range(20)]
+    off += ["".join(rnd.sample(t, len(t))) for t in clean]
+    texts = [*clean, *(t[:600] for t in clean), *(" ".join(t.split()[:3]) for t in clean), *((t.split()[5] + " ") * 300 for t in clean), *off]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_unidentified(spark, docs, f"{TESTDATA}/sf0.01").collect()}
+    gone = [len(set(range(i, i + 100)) - kept) for i in (0, 100, 200, 300)]
+    assert gone[:2] == [0, 0] and max(gone[2:]) <= 3
+    assert sum(i >= 400 for i in kept) <= 0.03 * len(off)
+
+
 def test_stages_on_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, None, None, 0.5), (2, "", "en", "s", 0, 0.5), (3, "The same words of one text here", "en", "s", 3, 0.5),
                                  (3, "The same words of one text here", "en", "s", 3, 0.5), (4, "the same words of one text here", None, None, None, 0.5),
