@@ -1,9 +1,8 @@
 """License detection by ordered signature rules.
 
 Three phrases are counted in every text, word by word. On top of them a catalogue of signatures, one set per license made
-from its title, looks for identifiers, grants, later-version clauses, references and bare titles. A text is only looked at closer when it
-holds a cue such as `licen`; then an Aho-Corasick automaton finds which keywords occur, and only the signatures of those keywords are
-run. Where detections overlap, one that lies inside another of the same or higher priority gives way, and so does one that
+from its title, looks for identifiers, grants, later-version clauses, references and bare titles. An Aho-Corasick automaton finds which keywords occur, and only the signatures of those keywords are run; every title and every form holds
+one of its keywords, so nothing else decides which texts are looked at closer. Where detections overlap, one that lies inside another of the same or higher priority gives way, and so does one that
 holds another of higher priority; what is left carries the license's label and the signature's confidence.
 
 Cases: a null or empty text has no words, places or detections; a text in capitals is found like any other (A-Z are lower-cased
@@ -28,13 +27,12 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[0x30:0x3A] = WORD_BYTES[0x61:0x7B] = WORD_BYTES[0x80:] = True
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-CUES = re.compile(r"licen[cs]|copyright|spdx|public domain|creative ?commons|\bcc[ -](?:by|0)|\bcc0\b|gpl|copyleft|all rights reserved|unlicense|wtfpl")
 
-# Label, keyword, title as it appears in lower-cased text, identifier.
+# Label, keywords (each title and form but the identifier holds one of them; | between), title as it appears in lower-cased text, identifier.
 LICENSES = [
-    ("mit", "mit", r"(?:mit|expat)(?: license| licence|/x11 license)", r"mit"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit-0"),
-    ("x11", "x11", r"x11 licen[cs]e", r"x11"),
+    ("mit", "mit licen|mit/x11 licen|expat", r"(?:mit|expat)(?: license| licence|/x11 license)", r"mit"),
+    ("mit-0", "mit no attribution", r"mit no attribution(?: licen[cs]e)?", r"mit-0"),
+    ("x11", "x11 licen", r"x11 licen[cs]e", r"x11"),
     ("apache", "apache", r"apache(?: software)? licen[cs]e", r"apache"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v\.? ?)1\.1", r"apache-1\.1"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", r"apache-2\.0"),
@@ -45,7 +43,7 @@ LICENSES = [
     ("gpl", "gpl", r"\bgpl(?: licen[cs]e)?\b", r"gpl"),
     ("gpl-2.0", "gpl", r"\bgpl ?-?v?2(?:\.0)?\b", r"gplv2"),
     ("gpl-3.0", "gpl", r"\bgpl ?-?v?3(?:\.0)?\b", r"gplv3"),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl"),
+    ("lgpl", "lesser general|library general", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl"),
     ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public licen[cs]e,? (?:version |v\.? ?)2\.1", r"lgpl-2\.1(?:-only|-or-later)?"),
     ("lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public licen[cs]e,? (?:version |v\.? ?)3(?:\.0)?\b", r"lgpl-3\.0(?:-only|-or-later)?"),
     ("lgpl-2.1", "lgpl", r"\blgpl ?-?v?2\.1\b", r"lgplv2\.1"),
@@ -65,9 +63,9 @@ LICENSES = [
     ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: -)?,? (?:version |v\.? ?)2(?:\.0)?", r"epl-2\.0"),
     ("cddl", "common development", r"common development and distribution licen[cs]e", r"cddl-1\.[01]"),
     ("eupl", "european union", r"european union public licen[cs]e(?:,? (?:version |v\.? ?)1\.[12])?", r"eupl-1\.[12]"),
-    ("isc", "isc", r"\bisc licen[cs]e", r"isc"),
+    ("isc", "isc licen", r"\bisc licen[cs]e", r"isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", r"zlib"),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e(?:,? (?:-? ?version |v\.? ?)1(?:\.0)?)?", r"bsl-1\.0"),
+    ("bsl-1.0", "boost software", r"boost software licen[cs]e(?:,? (?:-? ?version |v\.? ?)1(?:\.0)?)?", r"bsl-1\.0"),
     ("unlicense", "unlicense", r"\b(?:the )?unlicense\b", r"unlicense"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b", r"wtfpl"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e,?(?: (?:version )?2(?:\.0)?)?", r"artistic-2\.0"),
@@ -80,19 +78,19 @@ LICENSES = [
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)? licen[cs]e", r"ncsa"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
-    ("php-3.01", "php", r"php licen[cs]e(?:,? version 3\.01)?", r"php-3\.01"),
-    ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
-    ("vim", "vim", r"vim licen[cs]e", r"vim"),
+    ("php-3.01", "php licen", r"php licen[cs]e(?:,? version 3\.01)?", r"php-3\.01"),
+    ("ruby", "ruby licen", r"ruby licen[cs]e", r"ruby"),
+    ("vim", "vim licen", r"vim licen[cs]e", r"vim"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? licen[cs]e", r"w3c"),
     ("odbl-1.0", "open database", r"open database licen[cs]e", r"odbl-1\.0"),
     ("pddl-1.0", "public domain dedication", r"(?:open data commons )?public domain dedication and licen[cs]e", r"pddl-1\.0"),
     ("cc0-1.0", "cc0", r"\bcc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
-    ("cc-by", "cc", r"\bcc[ -]by(?:[ -][1-4]\.[0-9])?\b(?![ -](?:sa|nc|nd))", r"cc-by-[1-4]\.[0-9]"),
-    ("cc-by-sa", "cc", r"\bcc[ -]by[ -]sa(?:[ -][1-4]\.[0-9])?\b", r"cc-by-sa-[1-4]\.[0-9]"),
-    ("cc-by-nd", "cc", r"\bcc[ -]by[ -]nd(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nd-[1-4]\.[0-9]"),
-    ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc(?:[ -][1-4]\.[0-9])?\b(?![ -](?:sa|nd))", r"cc-by-nc-[1-4]\.[0-9]"),
-    ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nc-sa-[1-4]\.[0-9]"),
-    ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nc-nd-[1-4]\.[0-9]"),
+    ("cc-by", "cc by|cc-by", r"\bcc[ -]by(?:[ -][1-4]\.[0-9])?\b(?![ -](?:sa|nc|nd))", r"cc-by-[1-4]\.[0-9]"),
+    ("cc-by-sa", "cc by|cc-by", r"\bcc[ -]by[ -]sa(?:[ -][1-4]\.[0-9])?\b", r"cc-by-sa-[1-4]\.[0-9]"),
+    ("cc-by-nd", "cc by|cc-by", r"\bcc[ -]by[ -]nd(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nd-[1-4]\.[0-9]"),
+    ("cc-by-nc", "cc by|cc-by", r"\bcc[ -]by[ -]nc(?:[ -][1-4]\.[0-9])?\b(?![ -](?:sa|nd))", r"cc-by-nc-[1-4]\.[0-9]"),
+    ("cc-by-nc-sa", "cc by|cc-by", r"\bcc[ -]by[ -]nc[ -]sa(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nc-sa-[1-4]\.[0-9]"),
+    ("cc-by-nc-nd", "cc by|cc-by", r"\bcc[ -]by[ -]nc[ -]nd(?:[ -][1-4]\.[0-9])?\b", r"cc-by-nc-nd-[1-4]\.[0-9]"),
     ("cc-by", "creative commons", r"creative commons attribution(?: [1-4]\.[0-9])?(?: international| unported)?", r"ccby"),
     ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share ?alike(?: [1-4]\.[0-9])?", r"ccbysa"),
     ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non ?commercial(?: [1-4]\.[0-9])?", r"ccbync"),
@@ -117,11 +115,11 @@ class Scanner:
 
     def __init__(self):
         self.gated: dict[str, list[tuple[str, str, int, float, re.Pattern]]] = {}
-        for label, keyword, title, identifier in LICENSES:
+        for label, keywords, title, identifier in LICENSES:
             for form, priority, confidence, pattern in FORMS:
                 compiled = re.compile(pattern.replace("I", identifier).replace("T", title))
-                gate = "spdx" if form == "identifier" else keyword
-                self.gated.setdefault(gate, []).append((label, form, priority, confidence, compiled))
+                for gate in ["spdx"] if form == "identifier" else keywords.split("|"):
+                    self.gated.setdefault(gate, []).append((label, form, priority, confidence, compiled))
         self.keywords = ahocorasick.Automaton()
         for keyword in self.gated:
             self.keywords.add_word(keyword, keyword)
@@ -188,9 +186,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 places, found = [], []
                 for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
                     text = whole[a:b].decode()
-                    cued = CUES.search(text)
-                    found.append(scanner.detections(text) if cued else [])
-                    places.append(scanner.places(text)[0] if cued and "license" in text else [])
+                    found.append(scanner.detections(text))
+                    places.append(scanner.places(text)[0] if "license" in text else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(first)), pa.array(places, place), pa.array(found, detection)],
                                                  [id_column, "n_words", "places", "detections"])
 

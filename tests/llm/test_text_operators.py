@@ -116,6 +116,45 @@ def test_cascade_puts_rejections_per_cost_first(spark):
 
 # --- licenses -------------------------------------------------------------------------------------------------------------
 
+def expansions(parsed):
+    """Texts that a title's pattern fits: every branch, options with and without, the first and last of each set."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "IN":
+            first = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+            more = sorted({first[0], first[-1]})
+        elif kind == "BRANCH":
+            more = [x for branch in value[1] for x in expansions(branch)]
+        elif kind == "SUBPATTERN":
+            more = expansions(value[3])
+        elif kind == "MAX_REPEAT":
+            more = [x for x in ([""] if value[0] == 0 else [])] + expansions(value[2])
+        else:
+            assert kind in ("AT", "ASSERT_NOT"), kind
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_title_and_form_passes_the_gate(spark):
+    scanner = licenses.Scanner()
+    for label, _, title, _ in licenses.LICENSES:
+        patterns = {form: re.compile(p.replace("T", title)) for form, _, _, p in licenses.FORMS if "T" in p}
+        for shown in expansions(re._parser.parse(title)):
+            for text in (shown, f"licensed under {shown}.", f"released under the {shown}.", f"under the terms of {shown}", f"{shown} or later", f"see {shown}", f"copy of the {shown}"):
+                fitting = {form for form, pattern in patterns.items() if pattern.search(text)}
+                gates = {k for _, k in scanner.keywords.iter(text)}
+                assert fitting <= {s[1] for k in gates for s in scanner.gated[k] if s[0] == label}, (label, text)
+    cases = [(1, "This library is released under the 3-clause BSD."), (2, "Distributed under the terms of the modified BSD"), (3, "MIT No Attribution"),
+             (4, "the Expat license"), (5, "GNU Library General Public License")]
+    got = by_id(licenses.scan(docs(spark, cases)))
+    shown = [[(d.label, d.form) for d in got[i].detections] for i in range(1, 6)]
+    assert shown == [[("bsd-3-clause", "release")], [("bsd-3-clause", "release")], [("mit-0", "title")], [("mit", "title")], [("lgpl", "title")]]
+
+
 def test_license_phrases_and_labels(spark):
     rows = [*CASES, (10, "MIT License. The mit, license; mit\nlicense"), (11, "submit license mit licenses mit_license"), (12, "Licensed under the Apache License, Version 2.0."),
             (13, "GNU General Public License, version 3 or later"), (14, "SPDX-License-Identifier: LGPL-2.1-or-later"), (15, "general  public license" * 2)]
