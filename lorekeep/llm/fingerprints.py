@@ -1,6 +1,6 @@
 """Order MinHash fingerprints of documents, in DataFrame functions only.
 
-A text is cut into tokens (runs of non-blank characters, at most `TOKEN` long), its k-mers are runs of `K` tokens, and a
+A text is cut into tokens (runs of non-blank characters, at most `TOKEN` long; longer runs are cut where the content says, see `cuts`), its k-mers are runs of `K` tokens, and a
 k-mer that occurs again is numbered, so that all elements differ. Element hashes fall into `BINS` bins by their leading
 bits; in every bin the `PICK` smallest elements are taken, put back into text order and hashed together. A signature so
 changes when its elements swap places, which makes the likeness follow the edit distance rather than set overlap. The
@@ -9,7 +9,7 @@ signatures among the bins that either fills.
 
 Per text the work is a few array functions with one primitive sort; nothing is exploded. A hash and a place share one
 64-bit sort key (`PLACE_BITS` bits for the place), so beyond 2**25 tokens places repeat; fingerprints of equal texts
-stay equal.
+stay equal. A run longer than `TOKEN` is held character by character while it is cut, some 100 bytes each.
 
 For each document `edited` also gets the text with its second half replaced by the start of the next document in
 descending id order. That order is made by id ranges: quantiles of the ids cut the table into many parts of about
@@ -24,7 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 TOKEN = 16
+#: A place in a longer run is a cut if its pair of letters has a smaller hash than the pairs at this many places on either side.
+REACH = 4
 K = 3
 BINS = 64
 PICK = 2
@@ -43,10 +47,31 @@ def _starts(array: str, key) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(array) - 1), lambda i: (i == 0) | (key(F.get(array, i)) != key(F.get(array, i - 1))))
 
 
+def cuts(run: Column) -> Column:
+    """The tokens of a run longer than `TOKEN`, as in text without blanks: cut where a pair of letters has the smallest hash around, so that an
+    inserted letter moves only the cuts next to it; what is longer still, as one letter repeated, is cut every `TOKEN` characters."""
+    def tokens(letters: Column) -> Column:
+        pairs = F.transform(letters, lambda x, i: F.xxhash64(x, F.get(letters, i + 1)))
+        around = [j for j in range(-REACH, REACH + 1) if j]
+        return let(pairs, lambda h: let(F.concat(
+            F.array(F.lit(0)), F.transform(F.filter(F.sequence(F.lit(REACH), F.size(letters) - 2 - REACH), lambda i: F.get(h, i) < F.least(*[F.get(h, i + j) for j in around])),
+                                           lambda i: i + 1), F.array(F.size(letters))), lambda ends: pieces(letters, ends)))
+
+    def pieces(letters: Column, ends: Column) -> Column:
+        spans = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda start, i: F.struct(start.alias("start"), F.get(ends, i + 1).alias("end")))
+        return F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(TOKEN)), lambda at: F.array_join(
+            F.slice(letters, at + 1, F.least(F.lit(TOKEN), s["end"] - at)), ""))))
+
+    return let(F.split(run, ""), tokens)
+
+
 def sketched(rows: DataFrame, text_column: str, name: str) -> DataFrame:
     """`rows` with an array column `name`: a number per filled bin, the bin in its upper half, the signature in the lower."""
     tokens, runs, order, starts, elements, heads = (f"__{name}_{x}" for x in ("tokens", "runs", "order", "starts", "elements", "heads"))
     cut = rows.withColumn(tokens, F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)))
+    whole = F.regexp_extract_all(F.col(text_column), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = cut.withColumn(tokens, F.when(F.exists(tokens, lambda x: F.length(x) == TOKEN), F.flatten(F.transform(
+        whole, lambda run: F.when(F.length(run) > TOKEN, cuts(run)).otherwise(F.array(run))))).otherwise(F.col(tokens)))
     kmers = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - K, F.lit(0))),
                         lambda i: F.xxhash64(*[F.coalesce(F.get(tokens, i + j), F.lit("")) for j in range(K)]))
     hashed = cut.withColumn(runs, F.when(F.size(tokens) > 0, kmers).otherwise(F.array().cast("array<bigint>"))).drop(tokens)

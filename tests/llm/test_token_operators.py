@@ -171,6 +171,19 @@ def test_fingerprints_see_order():
     assert 0 < len(set(a.split("-")) & set(b.split("-"))) < 64
 
 
+def test_texts_without_blanks_follow_the_edit_distance(spark):
+    rnd = random.Random(5)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(2000)), "".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(3000)),
+             "😀字" + "".join(chr(rnd.randrange(0x1F300, 0x1F600)) for _ in range(900))]
+    rows = [(i, text, changed) for i, text in enumerate(texts) for changed in ("字" + text, text[:700] + "x" + text[700:], text[:500] + text[501:])]
+    rows += [(9, texts[0], texts[1]), (9, texts[0], texts[0][1000:] + texts[0][:1000])]
+    frame = spark.createDataFrame(rows, "i long, a string, b string")
+    got = fingerprints.sketched(fingerprints.sketched(frame, "a", "x"), "b", "y").select(fingerprints.likeness("x", "y")).collect()
+    assert all(r[0] > 0.8 for r in got[:-2]) and got[-2][0] < 0.1 and 0 < got[-1][0] < 1
+    runs = spark.createDataFrame([(t,) for t in [*texts, "e" * 40, "x" * 17]], "t string").select("t", fingerprints.cuts(F.col("t")).alias("c")).collect()
+    assert all("".join(r.c) == r.t and all(1 <= len(x) <= fingerprints.TOKEN for x in r.c) for r in runs)
+
+
 def test_next_rows_with_ties_and_missing_ids(spark):
     frame = spark.createDataFrame([(3, "a"), (3, "a"), (2, "b"), (None, "n"), (1, None), (None, "m")], "doc_id long, text string")
     got = fingerprints.edited(frame, part_rows=2).collect()
