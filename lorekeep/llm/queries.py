@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, language, licenses, ngram_join, packing, quality, sentencepieces, toxicity, urls
+from . import chat, fingerprints, language, licenses, ngram_join, packing, quality, seekable, sentencepieces, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     score = F.greatest(F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)), F.when(F.size(words) > 0, 0.5).otherwise(0.0))
     return found.select("doc_id", "n_words", F.size(words).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
                         joined(base).alias("base_labels"), joined(F.concat(base, F.col("detections.label"))).alias("labels"), score.alias("score"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    files = seekable.write(documents, vocabulary("byte_bpe_50k.json"))
+    return seekable.read(files, documents.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
