@@ -227,8 +227,8 @@ copied AS (
   SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt
   FROM marked, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, txt) AS i, row_number() OVER (PARTITION BY c, role, txt ORDER BY turn NULLS FIRST) AS nth,
-         rtrim(txt, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM copied),
+  SELECT *, row_number() OVER (PARTITION BY c, role, txt ORDER BY i) AS nth, rtrim(txt, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, txt) AS i FROM copied)),
 items AS (
   SELECT c, turn, i, role, txt, solid = '' AS blank, solid <> '' AND nth > 1 AS again, (solid <> '' AND nth = 1 AND right(solid, 1) NOT IN ('.', '!', '?'))::BIGINT AS cut,
          solid = '' OR nth > 1 AS gone, lag(role) OVER (PARTITION BY c ORDER BY i) AS earlier FROM placed),
