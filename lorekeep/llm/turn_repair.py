@@ -213,11 +213,11 @@ def gaps(low: int | None, high: int | None, turns: int) -> int:
 
 def merged(rows: DataFrame) -> DataFrame:
     """(conv, turn, role, text, copies, seen): equal rows once with their count; `seen` where an earlier turn has the same role and text."""
-    once = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256)
-    once = once.withColumn("said", F.unhex(F.substring(digest, 1, 32)))
-    firsts = once.where("copies > 0").groupBy(F.col("conv").alias("c"), F.col("said").alias("s")).agg(F.min(F.struct("turn")).alias("earliest"), F.count(F.lit(1)).alias("turns"))
-    found = once.join(firsts.where("turns > 1").drop("turns"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("said") == F.col("s")), "left")
+    digest = F.unhex(F.substring(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256), 1, 32))
+    present = rows.where("copies > 0").select(F.col("conv").alias("c"), digest.alias("s"), F.struct("turn").alias("at"))
+    firsts = present.groupBy("c", "s").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).where(~F.col("earliest").eqNullSafe(F.col("latest"))).drop("latest")
+    once = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("said", digest)
+    found = once.join(firsts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("said") == F.col("s")), "left")
     return found.select("conv", "turn", "role", "text", "copies", (F.col("earliest").isNotNull() & ~F.col("earliest.turn").eqNullSafe(F.col("turn"))).alias("seen"))
 
 
