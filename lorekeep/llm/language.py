@@ -38,13 +38,15 @@ GRAM = 3
 SAMPLE_ROWS = 20_000
 #: Labelled rows of each language that the least cosines are learned from, about, and the lengths of the starts taken of them.
 CONTRAST_ROWS = 500
+CONTRAST_SLICE = 256
 STARTS = (4, 8, 16, 32, 64, 128, 256, 512)
 #: Powers of two of the evidence that have a least cosine of their own; the share of clean texts below it and of shuffled ones above.
 LEVELS = 24
 SPARED, PASSED = 0.005, 0.01
 SLICE_BYTES = 1 << 20
-#: Cells of a slice's count matrix, at most.
-CELLS = 1 << 21
+#: Cells of a slice's count matrix, at most, and n-grams whose vectors are held at once.
+CELLS = 1 << 20
+GRAMS = 1 << 13
 
 _letters: np.ndarray | None = None
 
@@ -112,10 +114,10 @@ def counted_vectors(texts: list[str], dimensions: int, gram: int, seed: int) ->
         distinct, grams = np.unique(grams, return_inverse=True)
     basis = letter_vectors(alphabet, dimensions, seed)
     rotated = [np.roll(basis, gram - 1 - j, axis=1) for j in range(gram)]
-    rows = max(1, CELLS // max(1, min(len(distinct), 1 << 15)))
+    rows = max(1, CELLS // max(1, min(len(distinct), GRAMS)))
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for low in range(0, len(distinct), 1 << 15):  # n-grams, then texts, in blocks of bounded size
-        high = min(low + (1 << 15), len(distinct))
+    for low in range(0, len(distinct), GRAMS):  # n-grams, then texts, in blocks of bounded size
+        high = min(low + GRAMS, len(distinct))
         vectors, rest = np.ones((high - low, dimensions), np.float32), distinct[low:high].copy()
         for j in reversed(range(gram)):
             vectors *= rotated[j][rest % len(alphabet)]
@@ -135,7 +137,8 @@ def counted_vectors(texts: list[str], dimensions: int, gram: int, seed: int) ->
 
 def levels(vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The power of two of each bundle's evidence: its n-grams if all differ, fewer the more they repeat."""
-    evidence = counts.astype(float) ** 2 * vectors.shape[1] / np.maximum((vectors.astype(float) ** 2).sum(axis=1), 1)
+    squares = np.fromiter((v @ v for v in vectors), float, len(vectors))  # row by row: no second copy of the bundles
+    evidence = counts.astype(float) ** 2 * vectors.shape[1] / np.maximum(squares, 1)
     return np.clip(np.log2(np.maximum(evidence, 1)).astype(int), 0, LEVELS - 1)
 
 
@@ -194,7 +197,7 @@ def learn_sample(labelled: DataFrame, id_column: str = "doc_id", text_column: st
 def shuffled(text: str) -> str:
     """The text with its characters in a random order, the same one each time."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.random.default_rng(len(codes)).permutation(codes).tobytes().decode("utf-32-le", "surrogatepass")
+    return np.random.default_rng(len(codes)).permutation(codes.copy()).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
@@ -211,8 +214,9 @@ def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], id_c
                 starts = [t[:n] for t in whole for n in STARTS if n < len(t)]
                 for kind, some in enumerate((whole, starts, [shuffled(t) for t in whole + starts])):
                     some = [t for t in some if any(map(str.isalpha, t))]
-                    _, best, level = compare(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind)), pa.array(level), pa.array(best.astype(float))], ["kind", "level", "score"])
+                    for at in range(0, len(some), CONTRAST_SLICE):
+                        _, best, level = compare(some[at:at + CONTRAST_SLICE])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), kind)), pa.array(level), pa.array(best.astype(float))], ["kind", "level", "score"])
 
     known = bounded_sample(examples(labelled, id_column, text_column, lang_column), id_column, lang_column, sample_rows)
     found = known.select(text_column).mapInArrow(run, "kind long, level long, score double").groupBy("kind", "level").agg(
@@ -236,10 +240,10 @@ def comparer(model: tuple[list[str], np.ndarray], gram: int, seed: int):
     prototypes = unit(scaled - centre).astype(np.float32)
     centre = centre.astype(np.float32)
 
-    def compare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def compare(texts: list[str], leveled: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         vectors, counts = counted_vectors(texts, dimensions, gram, seed)
         known = vectors.any(axis=1) & bool(languages)
-        level = levels(vectors, counts)
+        level = levels(vectors, counts) if leveled else None
         if not languages:
             return np.full(len(texts), -1), np.zeros(len(texts)), level
         cosines = unit(unit(vectors) - centre) @ prototypes.T
@@ -257,7 +261,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: s
     languages, compare = model[0], comparer(model, gram, seed)
 
     def nearest(texts: pa.Array) -> list[pa.Array]:
-        best, scores, level = compare(texts.to_pylist())
+        best, scores, level = compare(texts.to_pylist(), least is not None)
         if least is not None:
             best = np.where(scores < least[level], -1, best)
         return [pa.array([languages[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string()), pa.array(scores.astype(float))]

@@ -10,6 +10,8 @@ from .arrays import span_hashes
 
 #: Words a table keeps before it starts anew, unless one slice of texts has more.
 WORDS = 1_000_000
+#: Words it has room for at first.
+FIRST_WORDS = 1 << 15
 
 
 class WordTable:
@@ -17,13 +19,22 @@ class WordTable:
 
     def __init__(self, kind: str, limit: int = WORDS):
         self.kind, self.limit = kind, limit
-        self._clear(limit)
+        self._clear(min(limit, FIRST_WORDS))
 
-    def _clear(self, room: int):
+    def _grow(self, room: int):
+        """More slots for the words that are there."""
+        used = np.flatnonzero(self.keys)
+        keys, at, size = self.keys[used], self.at[used], self.size[used]
+        pool, filled, count = self.pool, self.used, self.count
+        self._clear(room, pool)
+        slot = self._place(keys)
+        self.at[slot], self.size[slot], self.used, self.count = at, size, filled, count
+
+    def _clear(self, room: int, pool: np.ndarray | None = None):
         slots = 1 << int(2 * room - 1).bit_length()
         self.mask, self.room, self.count, self.used = np.uint64(slots - 1), room, 0, 0
         self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
-        self.pool = np.zeros(4 * room, self.kind)
+        self.pool = np.zeros(4 * room, self.kind) if pool is None else pool
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         found = np.full(len(hashes), -1, np.int64)
@@ -36,14 +47,18 @@ class WordTable:
             slot[left] = (slot[left] + 1) & int(self.mask)
         return found
 
-    def _add(self, hashes: np.ndarray, ids: list[np.ndarray]):
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots for words that are not there."""
         slot, left = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             self.keys[slot[free]] = hashes[free]
             left = left[self.keys[slot[left]] != hashes[left]]
             slot[left] = (slot[left] + 1) & int(self.mask)
-        slot = self._find(hashes)
+        return self._find(hashes)
+
+    def _add(self, hashes: np.ndarray, ids: list[np.ndarray]):
+        slot = self._place(hashes)
         sizes = np.array([len(i) for i in ids], np.int64)
         flat = np.concatenate(ids).astype(self.kind)
         if self.used + len(flat) > len(self.pool):
@@ -60,7 +75,9 @@ class WordTable:
         if (slot < 0).any():
             fresh, lead = np.unique(hashes[slot < 0], return_index=True)
             lead = np.flatnonzero(slot < 0)[lead]
-            if self.count + len(fresh) > self.room:
+            if self.room < self.count + len(fresh) <= self.limit:
+                self._grow(min(self.limit, 4 * (self.count + len(fresh))))
+            elif self.count + len(fresh) > self.room:
                 fresh, lead = np.unique(hashes, return_index=True)
                 self._clear(max(self.limit, len(fresh)))
             text = data.tobytes()
