@@ -9,7 +9,7 @@ with known ones and get their vectors.
 Training sees document labels only: at first random windows carry their document's label, then the worst window of each
 toxic document (towards the end unless even that looks clean: such labels are noise) and the worst ones of each clean
 document. It runs in
-one task on a sample of at most about `SAMPLE_ROWS` labelled documents per class and returns the embedding table and
+one task on a sample of at most about `SAMPLE_ROWS` labelled documents and `SAMPLE_CHARS` characters per class, no text beyond `TEXT_CHARS`, and returns the embedding table and
 the softmax. As both layers are linear, scoring needs one number per table row: the embedding times the difference of the
 two softmax columns.
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .arrays import FOLD_CASE, IN_WORD, annotate, flat, mix, pieces, span_hashes, strings, word_bounds
 
 GRAMS = (3, 4, 5)
@@ -33,6 +34,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 WINDOW = 16
 SAMPLE_ROWS = 2_500
+#: Characters of the sample, about, per class, and of the longest text that is learned from. Every text is scored whole.
+SAMPLE_CHARS, TEXT_CHARS = 30_000_000, 2_000_000
 EPOCHS = 40
 SEED = 11
 
@@ -206,7 +209,7 @@ class Trainer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+          sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(embedding table, softmax weights, softmax bias), or None without examples of both classes."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(id_column).agg(F.max(label_column).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -214,9 +217,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     shares = [F.when((F.col("label") == c) & (place < int(min(1.0, sample_rows / n) * (1 << 30))), True) for c, n in counts.items()]
     if len(shares) < 2:
         return None
-    chosen = known.where(F.coalesce(*shares, F.lit(False)))
-    # About 2 * sample_rows labels at most, so the texts stay where they are read.
-    sample = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(chosen), id_column).select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"), "label")
+    chosen = known.where(F.coalesce(*shares, F.lit(False))).select(F.col(id_column).alias("of"), "label")
+    # About 2 * sample_rows labels at most, so the texts stay where they are read. Names of other columns can't clash here.
+    texts = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).where(F.length("text") <= TEXT_CHARS)
+    sample = cut_lineage(texts.join(F.broadcast(chosen), F.col("key") == F.col("of")).select(F.col("key").cast("string").alias("id"), "text", "label"))
+    chars = {r["label"]: r["chars"] for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    if any(n > sample_chars for n in chars.values()):
+        again = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30))
+        sample = sample.where(F.coalesce(*[F.when((F.col("label") == c) & (again < int(min(1.0, sample_chars / max(1, n)) * (1 << 30))), True) for c, n in chars.items()], F.lit(False)))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))

@@ -3,11 +3,12 @@
 The trees (Spark ML) learn from URLs that a rule decides, and judge all others. Features are column expressions over the URL: lengths,
 path depth, digit ratio, character entropy, parameters, labels of the host, and how often labelled URLs with the same host
 suffix or the same first path part are blocked (smoothed; counted by grouping, so a frequent suffix is summed up where it
-is read). At most about `SAMPLE_ROWS` labelled URLs train the trees; suffix statistics cover all of them.
+is read). The trees learn from at most about `SAMPLE_ROWS` distinct labelled URLs, half of them of each verdict and each weighted by its
+copies; suffix statistics cover all rows.
 
 Cases: a null URL or one without `://` has an empty host and path, fits no rule and is judged like any other; of rules
 that fit the longest wins, of equally long ones the first; without labelled URLs of both kinds the one label there is (else
-`allow`) is the verdict of all; repeated rows are judged alike; an empty table gives no rows; other columns are not read.
+`allow`) is the verdict of all; very long URLs are judged whole, like any other; repeated rows are judged alike; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+from .language import bounded_sample
+
 SAMPLE_ROWS = 20_000
 #: A statistic starts from this many labelled URLs of average share.
 SMOOTHING = 20
@@ -78,10 +82,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page
         judged = rows.withColumn("prediction", F.lit(1.0 if total and blocked else 0.0))
     else:
         average = blocked / total
-        chosen = labelled.where(F.pmod(F.xxhash64("address"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / total)))
+        # Copies of one URL count by their number; of each verdict's distinct URLs a bounded sample, at least one, is drawn.
+        distinct = labelled.groupBy("address", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), *[F.first(c).alias(c) for c in (*LEXICAL, *COUNTED)])
+        distinct = cut_lineage(distinct)
+        chosen = bounded_sample(distinct, "address", "label", sample_rows // 2)
         assembler = VectorAssembler(inputCols=[*LEXICAL, *(f"{k}_share" for k in COUNTED)], outputCol="features")
-        examples = assembler.transform(with_statistics(chosen, labelled, average)).select("features", "label")
-        trees = GBTClassifier(maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=5).fit(examples)
+        examples = assembler.transform(with_statistics(chosen, labelled, average)).select("features", "label", "weight")
+        trees = GBTClassifier(maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=5, weightCol="weight").fit(examples)
         judged = trees.transform(assembler.transform(with_statistics(rows, labelled, average)))
     return judged.select(F.col("id").alias(id_column), "host", "path", F.col("found.rule").alias("rule"),
                          F.coalesce(F.col("found.verdict"), F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"))

@@ -11,7 +11,7 @@ from tests.llm.helpers import SMALL, TESTDATA, by_id
 from tests.llm.test_ngram_join import components
 from tests.oracle import compare, connect
 
-KEYS = {"op6_urls": ("pages", "page_id"), "op7_chat": ("conversations", "conv_id")}
+KEYS = {"op6_urls": ("pages", "page_id"), "op7_chat": ("conversations", "conv_id"), "op12_turn_trie": ("conversations", "conv_id"), "op13_turn_repair": ("conversations", "conv_id")}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

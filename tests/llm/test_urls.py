@@ -52,3 +52,18 @@ def test_whole_small_table(spark):
     frame = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = urls.judge(frame, URL_RULES).collect()
     assert len(got) == frame.count() and {r.verdict for r in got} <= {"allow", "block"}
+
+
+def test_few_distinct_urls_and_rare_verdicts(spark):
+    """Copies of three URLs under a small sample, and one blocked URL among many allowed ones."""
+    rows = [(i, ("http://a.org/x", "http://b.com/de/y", "http://c.net/z")[i % 3]) for i in range(600)]
+    got = urls.judge(pages(spark, rows), URL_RULES, sample_rows=4).collect()
+    assert len(got) == 600 and {(r.host, r.verdict) for r in got if r.rule} == {("a.org", "allow"), ("b.com", "block")}
+    rare = [(0, "http://b.com/de/" + "9" * 40), *((i, f"http://n{i}.org/x") for i in range(1, 300)), (999, "http://b.net/de/" + "9" * 41)]
+    assert len(urls.judge(pages(spark, rare), URL_RULES, sample_rows=20).collect()) == 301
+
+
+def test_very_long_urls(spark):
+    rows = [(0, "http://a.org/" + "x/" * 100_000), (1, "http://b.com/de/" + "?&=" * 50_000), (2, "http://" + "z" * 200_000), (3, "://" * 30_000)]
+    got = by_id(urls.judge(pages(spark, rows), URL_RULES), "page_id")
+    assert (got[0].verdict, got[1].verdict, len(got[2].host)) == ("allow", "block", 200_000) and got[3].host == ":"
