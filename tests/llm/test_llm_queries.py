@@ -21,6 +21,8 @@ def test_query(spark, name):
     if name in queries.ORACLES:
         cursor = connect(SMALL).execute(queries.ORACLES[name])
         assert compare((df.columns, rows), ([d[0] for d in cursor.description], cursor.fetchall())) is None
+    if name == "op12_turn_trie":  # its rows are nodes, not conversations
+        return
     source, key = KEYS.get(name, ("documents", "doc_id"))
     ids = {r[0] for r in spark.read.parquet(f"{SMALL}/{source}.parquet").select(key).collect()}
     assert {r[df.columns.index(key)] for r in rows} - {-1} == ids
