@@ -10,3 +10,4 @@ from . import ingest, terminologies  # noqa: F401
 from . import traces  # noqa: F401
 from . import streams  # noqa: F401
 from . import upkeep  # noqa: F401
+from . import reuses  # noqa: F401
