@@ -10,12 +10,12 @@ from .registry import query
 DAY = 86400
 
 
-@query("search_reuse", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, 1700000000 + (vec_id * 7919) % 90 * 86400 + vec_id AS at FROM embeddings),
-r AS (SELECT 2 * vec_id AS id, 's' || label % 3 AS scope, at, 'key ' || vec_id % 97 AS key, e FROM v
-  UNION ALL SELECT 2 * vec_id + 1, 's' || label % 3, at + vec_id % 45 * 86400 + 60, NULL, list_concat([e[1] * 1.5 + 0.01], e[2:]) FROM v),
-p AS (SELECT a.id, b.id AS other, b.at, CASE WHEN a.key = b.key THEN 1.0 ELSE list_cosine_similarity(a.e, b.e) END AS s FROM r a JOIN r b
-  ON a.scope = b.scope AND b.at <= a.at AND a.at - b.at <= 30 * 86400 AND (b.at < a.at OR b.id < a.id)),
-m AS (SELECT id, arg_max(other, (at, other)) AS reused_id, arg_max(s, (at, other)) AS s FROM p WHERE s >= 0.94 GROUP BY id),
+@query("search_reuse", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, 1700000000 + (vec_id * 7919) % 90 * 86400 + vec_id AS ts FROM embeddings),
+r AS (SELECT 2 * vec_id AS id, 's' || label % 3 AS scope, ts, 'key ' || vec_id % 97 AS key, e FROM v
+  UNION ALL SELECT 2 * vec_id + 1, 's' || label % 3, ts + vec_id % 45 * 86400 + 60, NULL, list_concat([e[1] * 1.5 + 0.01], e[2:]) FROM v),
+p AS (SELECT a.id, b.id AS other, b.ts, CASE WHEN a.key = b.key THEN 1.0 ELSE list_cosine_similarity(a.e, b.e) END AS s FROM r a JOIN r b
+  ON a.scope = b.scope AND b.ts <= a.ts AND a.ts - b.ts <= 30 * 86400 AND (b.ts < a.ts OR b.id < a.id)),
+m AS (SELECT id, arg_max(other, (ts, other)) AS reused_id, arg_max(s, (ts, other)) AS s FROM p WHERE s >= 0.94 GROUP BY id),
 c AS (SELECT reused_id AS id, count(*) AS n FROM m GROUP BY ALL)
 SELECT r.id, m.reused_id, round(m.s, 6) AS similarity, coalesce(c.n, 0) AS reused FROM r LEFT JOIN m ON m.id = r.id LEFT JOIN c ON c.id = r.id""")
 def _search_reuse(t):
