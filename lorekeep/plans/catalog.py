@@ -11,3 +11,4 @@ from . import traces  # noqa: F401
 from . import streams  # noqa: F401
 from . import upkeep  # noqa: F401
 from . import reuses  # noqa: F401
+from . import revisions  # noqa: F401
