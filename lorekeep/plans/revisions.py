@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import clinical, forgetting, recoding, sessions
+from ..operators import arms, clinical, forgetting, recoding, sessions
 from ..session import cut_folder
-from ..sources import taxonomies, versions
+from ..sources import imports, taxonomies, versions
+from .graphs import key
+from .recall import trade_links
 from .registry import query
 from .terminologies import APPLY_SQL, RF2_BASE, order_records, part_release, part_relations
 
@@ -177,3 +179,71 @@ def _recode_closure(t):
     def codes(rows):
         return rows.select(F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:")).select(clinical.code_of("c.key").alias("code")).distinct()
     return recoding.extended_closure(clinical.ancestor_closure(relation, codes(memories)), relation, codes(after))
+
+
+# --- Taxonomy import ---
+MOVED_SQL = """now AS (SELECT 'c' || c_custkey AS child, 'n' || CASE WHEN c_custkey % 10 = 3 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS parent FROM customer WHERE c_custkey % 10 <> 7
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || CASE WHEN n_nationkey = 4 THEN 0 ELSE n_regionkey END FROM nation UNION ALL SELECT 's' || s_suppkey, 'c' || c FROM (SELECT s_suppkey, 10 * s_suppkey + 1 AS c FROM supplier) WHERE c IN (SELECT c_custkey FROM customer)),
+ids AS (SELECT child AS id FROM now UNION SELECT parent FROM now)"""
+
+
+def _tree(t, moved: bool):
+    """Regions, nations and customers as a taxonomy; moved: some customers and one nation elsewhere, some gone, suppliers below customers."""
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    nation, region, customers = F.col("c_nationkey"), F.col("n_regionkey"), t.customer
+    links = []
+    if moved:
+        nation = F.when(F.col("c_custkey") % 10 == 3, (nation + 1) % 25).otherwise(nation)
+        region = F.when(F.col("n_nationkey") == 4, 0).otherwise(region)
+        customers = customers.where("c_custkey % 10 <> 7")
+        under = t.supplier.select(name("s", F.col("s_suppkey")).alias("dst"), (10 * F.col("s_suppkey") + 1).alias("c_custkey")).join(customers.select("c_custkey"), "c_custkey")
+        links = [under.select(name("c", F.col("c_custkey")).alias("src"), "dst")]
+    edges = customers.select(name("n", nation).alias("src"), name("c", F.col("c_custkey")).alias("dst")).unionByName(
+        t.nation.select(name("r", region).alias("src"), name("n", F.col("n_nationkey")).alias("dst")))
+    for more in links:
+        edges = edges.unionByName(more)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select(
+        "id", F.lit("Concept").alias("kind"), F.lit("TREE").alias("origin"), F.concat(F.lit("urn:"), "id").alias("uri"), F.col("id").alias("label"))
+    return nodes, edges.withColumns({"relation": F.lit("BROADER_THAN"), "authority": F.lit("TREE")})
+
+
+@query("taxonomy_import", f"""WITH RECURSIVE {MOVED_SQL}, reach AS (SELECT id AS concept, id AS ancestor FROM ids UNION SELECT concept, parent FROM reach JOIN now ON child = ancestor)
+SELECT concept, ancestor, 'imported same refused migrated' AS outcomes FROM reach""")
+def _import(t):
+    """The same snapshot twice, then a changed one: refused, and taken as a migration; the closure follows by difference."""
+    outcomes = []
+    outcome, stored = imports.import_taxonomy(None, *_tree(t, False), "TREE")
+    outcomes.append(outcome)
+    outcome, stored = imports.import_taxonomy(stored, *_tree(t, False), "TREE")
+    outcomes.append(outcome)
+    try:
+        imports.import_taxonomy(stored, *_tree(t, True), "TREE")
+    except imports.Refused:
+        outcomes.append("refused")
+    outcome, stored = imports.import_taxonomy(stored, *_tree(t, True), "TREE", migrate=True)
+    outcomes.append(outcome)
+    return stored["closure"].select("concept", "ancestor", F.lit(" ".join(outcomes)).alias("outcomes"))
+
+
+# --- Arms ---
+ARM_SPECS = ["wide", "narrow[top_k=3;fan0=10;decay=0.5]", "short[hops=1;IN_SESSION=0.8]", "strict[threshold=0.12;MENTIONS=0.5]"]
+ARMS_SQL = """one AS (SELECT DISTINCT 'c:' || o_custkey AS a, 'o:' || o_orderkey AS b, false AS line FROM orders UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, true FROM lineitem),
+l AS (SELECT a AS node, b AS nb, line FROM one UNION ALL SELECT b, a, line FROM one), deg AS (SELECT node, count(*) AS degree FROM l GROUP BY node),
+arms(arm, hops, decay, k, thr, fan0, wo, wl) AS (VALUES ('wide', 2, 0.6, 8, 0.05, 5, 0.3, 1.0), ('narrow[top_k=3;fan0=10;decay=0.5]', 2, 0.5, 3, 0.05, 10, 0.3, 1.0),
+  ('short[hops=1;IN_SESSION=0.8]', 1, 0.6, 8, 0.05, 5, 0.8, 1.0), ('strict[threshold=0.12;MENTIONS=0.5]', 2, 0.6, 8, 0.12, 5, 0.3, 0.5)),
+seeds AS (SELECT DISTINCT c_nationkey AS query_id, 'c:' || c_custkey AS seed FROM customer),
+h1 AS (SELECT arm, query_id, seed, l.nb AS node, decay * (1 / (1 + ln(greatest(1.0, degree / fan0::DOUBLE)))) * CASE WHEN line THEN wl ELSE wo END AS gain,
+  row_number() OVER (PARTITION BY arm, query_id, seed ORDER BY CASE WHEN line THEN wl ELSE wo END DESC, nb DESC) AS r FROM arms, seeds JOIN l ON l.node = seed JOIN deg ON deg.node = seed QUALIFY r <= k),
+r1 AS (SELECT arm, query_id, node, sum(gain) AS a, arg_min(seed, (-gain, seed)) AS parent FROM h1 GROUP BY ALL),
+h2 AS (SELECT r.arm, r.query_id, l.nb AS node, r.a * decay * (1 / (1 + ln(greatest(1.0, degree / fan0::DOUBLE)))) * CASE WHEN line THEN wl ELSE wo END AS gain,
+  row_number() OVER (PARTITION BY r.arm, r.query_id, r.node ORDER BY CASE WHEN line THEN wl ELSE wo END DESC, nb DESC) AS rk
+  FROM r1 r JOIN arms USING (arm) JOIN l ON l.node = r.node JOIN deg ON deg.node = r.node WHERE hops > 1 AND r.a >= thr AND l.nb <> r.parent QUALIFY rk <= k)"""
+
+
+@query("arms", f"""WITH {ARMS_SQL} SELECT arm, query_id, node, round(sum(a), 6) AS activation FROM (SELECT arm, query_id, seed AS node, 1.0 AS a FROM arms, seeds UNION ALL SELECT arm, query_id, node, a FROM r1
+UNION ALL SELECT arm, query_id, node, gain FROM h2) GROUP BY arm, query_id, node""")
+def _arms(t):
+    """Four arms of associative recall in one pass over the links of customers, orders and parts."""
+    seeds = t.customer.select(F.col("c_nationkey").alias("query_id"), key("c", "c_custkey").alias("node"), F.lit(1.0).alias("activation"), key("c", "c_custkey").alias("why"))
+    table = arms.arm_table(t.spark, ARM_SPECS).withColumn("max_nodes", F.lit(1_000_000))
+    return arms.spread_arms(seeds, trade_links(t), table).select("arm", "query_id", "node", F.round("activation", 6).alias("activation"))
