@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import casefold, taxonomy_forms, terms, words
+from ..session import cut_lineage
 from . import fusion, graph
 from .components import connected_components
-from .nearest import vector_topk
+from .nearest import hybrid_topk, rank_inputs, vector_topk
 from .skew import top_per_group
 
 
@@ -119,6 +120,32 @@ def resolve_batch(specs: DataFrame, stored: DataFrame, prefix: str = "lorekeep")
     return own.join(ids, "component").select("spec_id", "concept_id", "is_new")
 
 
+def fuzzy_candidates(specs: DataFrame, stored: DataFrame, limit: int = 8, threshold: float = 0.2) -> DataFrame:
+    """(spec_id, id, score, rank): the concepts whose hybrid score with a spec's label and description reaches the threshold, the best `limit`.
+
+    specs: spec_id, label, description, vec; stored: id, label, aliases, routing_summary, summary, text, embedding, hits. Blocks of specs meet blocks of
+    concepts; a vector alone can carry a pair over the threshold, so shared words prune what travels (words no spec asks for), not which blocks meet.
+    """
+    asked = specs.select(F.col("spec_id").alias("query_id"), F.concat_ws(" ", "label", "description").alias("text"), "vec")
+    found = hybrid_topk(rank_inputs(stored.withColumnRenamed("id", "node_id")), asked, limit)
+    return found.where(F.col("score") >= threshold).select(F.col("query_id").alias("spec_id"), F.col("node_id").alias("id"), "score", "rank")
+
+
+def resolve_with_candidates(specs: DataFrame, stored: DataFrame, decide=None, limit: int = 8, threshold: float = 0.2, prefix: str = "lorekeep") -> DataFrame:
+    """(spec_id, concept_id, is_new, score): `resolve_batch`, and what it calls new takes a near concept's id where there is one.
+
+    One spec of each new set, the smallest by id, asks for candidates, so wordings that many specs share are compared once. `decide` picks (spec_id, id, score)
+    from the candidates, at most one each; by default the best. `score` is that of the candidate taken, else null.
+    """
+    resolved = cut_lineage(resolve_batch(specs.select("spec_id", "label", "aliases"), stored, prefix))
+    leads = resolved.where("is_new").groupBy("concept_id").agg(F.min("spec_id").alias("spec_id"))
+    candidates = cut_lineage(fuzzy_candidates(specs.join(leads.select("spec_id"), "spec_id", "left_semi"), stored, limit, threshold))
+    taken = (decide or (lambda c: c.where("rank = 1")))(candidates).select("spec_id", F.col("id").alias("near"), "score")
+    reused = leads.join(taken, "spec_id").select("concept_id", "near", "score")
+    out = resolved.join(reused, "concept_id", "left")
+    return out.select("spec_id", F.coalesce("near", "concept_id").alias("concept_id"), (F.col("is_new") & F.col("near").isNull()).alias("is_new"), "score")
+
+
 def link_documents(extracted: DataFrame, resolved: DataFrame, anchored: DataFrame) -> DataFrame:
     """ABOUT edges from every node that extracted a concept to the concept and its anchors.
 

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import arms, clinical, forgetting, recoding, sessions
+from ..operators import arms, clinical, concepts, forgetting, recoding, sessions
 from ..session import cut_folder
 from ..sources import imports, taxonomies, versions
 from .graphs import key
 from .recall import trade_links
+from .search import STOP_SQL, WORDS_SQL
 from .registry import query
 from .terminologies import APPLY_SQL, RF2_BASE, order_records, part_release, part_relations
 
@@ -148,8 +149,8 @@ def order_concepts(t):
 
 
 def _recoded(t):
-    concepts, descriptions, _, relationships = part_release(t)
-    concept, term, relation = taxonomies.terminology(concepts, descriptions, relationships)
+    release, descriptions, _, relationships = part_release(t)
+    concept, term, relation = taxonomies.terminology(release, descriptions, relationships)
     memories = order_concepts(t)
     after, touched = recoding.recode(memories, recoding.recodable(memories, term, concept))
     return memories, after, touched, relation
@@ -247,3 +248,28 @@ def _arms(t):
     seeds = t.customer.select(F.col("c_nationkey").alias("query_id"), key("c", "c_custkey").alias("node"), F.lit(1.0).alias("activation"), key("c", "c_custkey").alias("why"))
     table = arms.arm_table(t.spark, ARM_SPECS).withColumn("max_nodes", F.lit(1_000_000))
     return arms.spread_arms(seeds, trade_links(t), table).select("arm", "query_id", "node", F.round("activation", 6).alias("activation"))
+
+
+# --- Concepts that are nearly there ---
+@query("fuzzy_resolution", f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+p AS (SELECT part.*, embedding::DOUBLE[] AS e FROM part, n JOIN embeddings ON vec_id = p_partkey % n.n),
+k AS (SELECT 'k' || p_partkey AS id, lower(p_name) AS label, CASE WHEN p_size <= 5 THEN lower(p_name || ' ' || p_brand) END AS alias, {WORDS_SQL.format("p_name || ' ' || CASE WHEN p_size <= 5 THEN p_name || ' ' || p_brand ELSE '' END")} AS w, e
+  FROM p WHERE p_size <= 10 AND p_partkey % 4 = 0),
+s AS (SELECT p_partkey::VARCHAR AS spec_id, lower(p_name || ' ' || p_brand) AS label, {WORDS_SQL.format("p_name || ' ' || p_brand || ' ' || p_type")} AS w0, e FROM p),
+x AS (SELECT label, min(id) AS id FROM (SELECT alias AS label, id FROM k WHERE alias IS NOT NULL UNION ALL SELECT label, id FROM k) GROUP BY label),
+lead AS (SELECT s.label, arg_min(spec_id, spec_id) AS spec_id FROM s WHERE label NOT IN (SELECT label FROM x) GROUP BY s.label),
+q AS (SELECT s.*, list_filter(w0, lambda y: y NOT IN ({STOP_SQL})) AS w FROM s JOIN lead USING (spec_id)),
+c AS (SELECT q.label, k.id, round(0.6 * len(list_intersect(q.w, k.w)) / len(q.w) + 0.35 * greatest(list_cosine_similarity(q.e, k.e), 0), 9) AS score FROM q, k),
+b AS (SELECT label, arg_min(id, (-score, id)) AS id, max(score) AS score FROM c WHERE score >= 0.2 GROUP BY label)
+SELECT s.spec_id, coalesce(x.id, b.id) AS concept_id, x.id IS NULL AND b.id IS NULL AS is_new, round(b.score, 6) AS score FROM s LEFT JOIN x USING (label) LEFT JOIN b USING (label)""")
+def _fuzzy(t):
+    """Parts by name and brand against a tenth of them as stored concepts, some with the brand among their aliases."""
+    vectors = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    rows = t.part.withColumn("vec_id", F.col("p_partkey") % vectors).join(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
+    label, none = F.concat_ws(" ", "p_name", "p_brand"), F.array().cast("array<string>")
+    specs = rows.select(F.col("p_partkey").cast("string").alias("spec_id"), label.alias("label"), none.alias("aliases"), F.col("p_type").alias("description"), "vec")
+    stored = rows.where("p_size <= 10 and p_partkey % 4 = 0").select(
+        F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") <= 5, F.array(label)).otherwise(none).alias("aliases"),
+        F.lit("MAIN").alias("origin"), *[F.lit("").alias(c) for c in ("routing_summary", "summary", "text")], F.col("vec").alias("embedding"), F.lit(0).alias("hits"))
+    found = concepts.resolve_with_candidates(specs, stored)
+    return found.select("spec_id", F.when(~F.col("is_new"), F.col("concept_id")).alias("concept_id"), "is_new", F.round("score", 6).alias("score"))
