@@ -184,7 +184,7 @@ def header_slots(memories: DataFrame, relations: DataFrame, allergy_roots: list[
 def patient_header(slots: DataFrame, header_codes: list[str]) -> DataFrame:
     """(patient, slot, item, ...): every allergy and medication, the latest statement per problem and per result code."""
     def first_key(test):
-        return F.element_at(F.transform(F.filter("concepts", test), lambda c: c["key"]), 1)
+        return F.get(F.transform(F.filter("concepts", test), lambda c: c["key"]), 0)
     item = F.when(F.col("slot") == "results", F.coalesce(first_key(lambda c: c["key"].isin(header_codes or [""])), F.col("memory_id"))).when(
         F.col("slot") == "problems", F.coalesce(first_key(lambda c: c["tag"] == "disorder"), F.col("memory_id"))).otherwise(F.col("memory_id"))
     latest = F.struct("doc_date", "memory_id")

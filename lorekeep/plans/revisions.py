@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import arms, clinical, concepts, forgetting, recoding, sessions
-from ..session import cut_folder
+from ..operators import arms, clinical, concepts, forgetting, patients, recoding, sessions
+from ..session import cut_folder, cut_lineage
 from ..sources import imports, taxonomies, versions
 from .graphs import key
 from .recall import trade_links
@@ -273,3 +273,49 @@ def _fuzzy(t):
         F.lit("MAIN").alias("origin"), *[F.lit("").alias(c) for c in ("routing_summary", "summary", "text")], F.col("vec").alias("embedding"), F.lit(0).alias("hits"))
     found = concepts.resolve_with_candidates(specs, stored)
     return found.select("spec_id", F.when(~F.col("is_new"), F.col("concept_id")).alias("concept_id"), "is_new", F.round("score", 6).alias("score"))
+
+
+# --- Patients' questions ---
+@query("patient_ask", f"""WITH {APPLY_SQL},
+lines AS (SELECT o_custkey AS patient, brand, code, o_orderkey AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN p ON p_partkey = l_partkey),
+scored AS (SELECT patient, brand AS rec_id, (count(*) * 7 + brand::INT % 5 + 1) / (7.0 * sum(count(*)) OVER (PARTITION BY patient) + 10) AS score FROM lines GROUP BY patient, brand),
+recs AS (SELECT brand AS rec_id, max(code) AS last_part, min(code) AS first_part FROM p GROUP BY brand),
+has AS (SELECT patient, code, bool_or(state = 'present') AS pr, bool_or(state = 'possible') AS po, bool_or(state = 'absent') AS ab FROM facts GROUP BY ALL),
+fit AS (SELECT s.patient, s.rec_id, s.score, CASE WHEN e.pr THEN 0.0 ELSE CASE WHEN b.pr THEN 1.0 WHEN b.ab THEN 0.05 WHEN b.po THEN 0.6 ELSE 0.2 END
+  * CASE WHEN c.pr THEN 1.0 WHEN c.ab THEN 0.05 WHEN c.po THEN 0.6 ELSE 0.2 END END AS factor FROM scored s JOIN recs r USING (rec_id)
+  LEFT JOIN has b ON b.patient = s.patient AND b.code = r.rec_id LEFT JOIN has c ON c.patient = s.patient AND c.code = r.last_part LEFT JOIN has e ON e.patient = s.patient AND e.code = r.first_part),
+g AS (SELECT patient, rec_id, row_number() OVER (PARTITION BY patient ORDER BY round(score * factor, 4) DESC, rec_id) AS n FROM fit WHERE factor > 0 QUALIFY n <= 6),
+m AS (SELECT DISTINCT o_custkey AS patient, o_orderkey::VARCHAR AS id, o_orderdate::DATE AS d, o_orderstatus AS st FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+pm AS (SELECT patient, id, row_number() OVER (PARTITION BY patient ORDER BY d DESC, id) AS n FROM m QUALIFY n <= 12),
+h AS (SELECT patient, id, row_number() OVER (PARTITION BY patient ORDER BY id) AS n FROM m WHERE st = 'F'),
+block AS (SELECT patient, 'G' || n AS label, rec_id AS memory_id FROM g UNION ALL SELECT patient, 'P' || n, id FROM pm UNION ALL SELECT patient, 'H' || n, id FROM h),
+cited AS (SELECT DISTINCT patient, memory_id FROM block WHERE label IN ('P2', 'G1', 'H3'))
+SELECT block.patient AS query_id, label, block.memory_id, cited.memory_id IS NOT NULL AS cited FROM block LEFT JOIN cited USING (patient, memory_id)""")
+def _patient_ask(t):
+    """Every customer asks: finished orders are the header, the latest orders the statements, brands the recommendations."""
+    records, relations = order_records(t), part_relations(t)
+    code = F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    brand = F.concat(F.lit("9"), F.regexp_extract("p_brand", r"(\d+)", 1))
+    codes = t.part.select("p_partkey", code.alias("code"), brand.alias("rec_id"))
+    item = lambda c: F.struct(F.concat(F.lit("sct:"), c).alias("key"), F.col(c).alias("term"))
+    recs = codes.groupBy("rec_id").agg(F.max("code").alias("last"), F.min("code").alias("first")).select(
+        "rec_id", F.array(item("rec_id"), item("last")).alias("conditions"), F.array(item("first")).alias("exclusions"), F.lit("text").alias("text"), F.lit("brands").alias("guideline"), F.lit("").alias("strength"))
+    lines = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(codes, F.col("p_partkey") == F.col("l_partkey"))
+    counts = lines.groupBy(F.col("o_custkey").alias("query_id"), "rec_id").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("query_id").agg(F.sum("n").alias("all"))
+    scored = counts.join(totals, "query_id").select("query_id", "rec_id", ((F.col("n") * 7 + F.col("rec_id").cast("int") % 5 + 1) / (7.0 * F.col("all") + 10)).alias("score"))
+    ranked = records.select(F.col("patient").alias("query_id"), "memory_id", F.unix_date("date").alias("score"))
+    finished = records.where("state = 'present'").withColumn("header", F.lit("results"))
+    header = clinical.patient_header(clinical.header_slots(finished, relations, [], []), [])
+    asked = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_custkey").alias("patient")).distinct()
+    block = cut_lineage(patients.patient_ask(asked, ranked, scored, header, records, recs, clinical.patient_facts(records, relations)))
+    answers = asked.select("query_id", F.lit("As P2 says, [G1] holds; so does H3, but not X1 or G77. P2 again.").alias("answer"))
+    cited = patients.cited_statements(answers, block).select("query_id", "memory_id", F.lit(True).alias("cited"))
+    return block.join(cited, ["query_id", "memory_id"], "left").select("query_id", "label", "memory_id", F.coalesce("cited", F.lit(False)).alias("cited"))
+
+
+@query("guideline_listing", """SELECT n_name AS document_id, n_regionkey % 2 AS failed_sections, count(s_suppkey) AS recommendations FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY ALL""")
+def _guidelines(t):
+    documents = t.nation.select(F.col("n_name").alias("document_id"), "n_nationkey", (F.col("n_regionkey") % 2).alias("failed_sections"))
+    recommendations = t.supplier.where("s_suppkey % 3 = 0").join(documents, F.col("s_nationkey") == F.col("n_nationkey")).select("document_id", "s_suppkey")
+    return patients.guideline_listing(documents.drop("n_nationkey"), recommendations)
