@@ -75,7 +75,7 @@ def evidence_texts(block: DataFrame) -> DataFrame:
     def part(number, title):
         return F.concat(F.array(F.lit(title)), F.transform(F.filter("l", lambda x: x["part"] == number), lambda x: x["line"]), F.array(F.lit("")))
     text = F.array_join(F.concat(part(1, "PATIENT HEADER"), part(2, "PATIENT MEMORIES (most relevant first)"), part(3, "GUIDELINE RECOMMENDATIONS (best fit first)")), "\n")
-    return lines.select("query_id", F.rtrim(text).alias("text"))
+    return lines.select("query_id", F.regexp_replace(text, r"\n$", "").alias("text"))
 
 
 def cited_statements(answers: DataFrame, block: DataFrame) -> DataFrame:
