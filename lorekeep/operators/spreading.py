@@ -23,7 +23,7 @@ SEED_SCALE = 12  # decimals at which activations count as equal
 
 @dataclass
 class SpreadParams:
-    """Defaults of associative recall; an arm of an evaluation overrides some of them."""
+    """Defaults of associative recall; an arm of an evaluation overrides some of them. Names and numbers that arm specs use."""
 
     hops: int = 2
     decay: float = 0.6

@@ -105,17 +105,23 @@ def _images(t):
 UUID_SQL = "left(d, 8) || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab', ('0x' || d[17])::INTEGER % 4 + 1, 1) || d[18:20] || '-' || d[21:32]"
 
 
-@query("recipe_lookup", f"""WITH r AS (SELECT doc_id, to_json({{'name': source, 'ingredients_text': [lang], 'instructions': [text], 'yield_servings': 4.0::DOUBLE, 'yield_text': '', 'image_url': ''}})::VARCHAR AS j,
-  sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('lorekeep:document:recipe:https://example.org/r/' || doc_id)) AS d FROM documents WHERE length(text) BETWEEN 1 AND 6000),
+@query("recipe_lookup", f"""WITH parts AS (SELECT doc_id, source, lang, chunk, list_transform(range(100 * chunk, least(100 * (chunk + 1), (length(text) + 5999) // 6000)), lambda i: substr(text, 6000 * i + 1, 6000)) AS texts
+  FROM documents, unnest(range(0, (length(text) + 599999) // 600000)) AS u(chunk)),
+r AS (SELECT doc_id, to_json({{'name': source, 'ingredients_text': [lang], 'instructions': texts, 'yield_servings': 4.0::DOUBLE, 'yield_text': '', 'image_url': ''}})::VARCHAR AS j,
+  sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('lorekeep:document:recipe:https://example.org/r/' || doc_id || '/' || chunk)) AS d FROM parts),
 t AS (SELECT {UUID_SQL} AS id, unnest(list_filter({WORDS_SQL.format('j')}, lambda x: x NOT IN ({STOP_SQL}))) AS term FROM r),
 w AS (SELECT item_id AS query_id, {WORDS_SQL.format('text')} AS w FROM benchmark), k AS (SELECT query_id, w, list_filter(w, lambda x: x NOT IN ({STOP_SQL})) AS kept FROM w),
 q AS (SELECT query_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE w END) AS term FROM k),
 s AS (SELECT query_id, id, count(*) AS shared FROM t JOIN q USING (term) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) AS rank FROM s)
 SELECT query_id, id, shared, rank FROM p WHERE rank <= 10""")
 def _recipes(t):
-    body = F.struct(F.col("source").alias("name"), F.array(F.col("lang")).alias("ingredients_text"), F.array(F.col("text")).alias("instructions"),
+    """Every document as recipes: its text in instructions of 6,000 characters, the most that one may have, a hundred to a recipe."""
+    parts = F.ceil(F.length("text") / 6000).cast("int")
+    rows = t.documents.where(F.length("text") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(parts / 100).cast("int") - 1)))
+    cut = F.transform(F.sequence(100 * F.col("chunk"), F.least(100 * (F.col("chunk") + 1), parts) - 1), lambda i: F.substring(F.col("text"), 6000 * i + 1, F.lit(6000)))
+    body = F.struct(F.col("source").alias("name"), F.array(F.col("lang")).alias("ingredients_text"), cut.alias("instructions"),
                     F.lit(4.0).alias("yield_servings"), F.lit("").alias("yield_text"), F.lit("").alias("image_url"))
-    recipes = t.documents.select(F.concat(F.lit("https://example.org/r/"), F.col("doc_id").cast("string")).alias("url"), body.alias("body"))
+    recipes = rows.select(F.concat(F.lit("https://example.org/r/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk").cast("string")).alias("url"), body.alias("body"))
     nodes, _ = media.recipe_graph(recipes)
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return media.recipe_lookup(queries, nodes.where("kind = 'Document'"), 10)
