@@ -112,7 +112,7 @@ def gold_recall(gold: Column, retrieved: Column) -> Column:
 
 
 def verdicts(answers: DataFrame, passageless=("closed_book",)) -> DataFrame:
-    """One verdict per answer: a win is correct, complete and fully sourced. Null when its sourcing check is pending.
+    """One verdict per answer: a win is correct, complete and fully sourced. Null when its sourcing check is pending. The sentences are fixed values.
 
     Columns: method, qid, correct, major_omission, reason, supported, grounded (the check has returned), fallback.
     """

@@ -105,10 +105,12 @@ def _provenance(t):
 
 
 @query("hard_delete", f"""WITH {ORDER_GRAPH_SQL},
-docs AS (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
-gone AS (SELECT id FROM docs UNION SELECT dst FROM links JOIN docs ON src = id WHERE relation = 'CONTAINS'
-  UNION SELECT src FROM links LEFT JOIN docs ON dst = id WHERE relation = 'PROVIDES' GROUP BY src HAVING count(*) = count(id))
-SELECT src, dst, relation FROM links ANTI JOIN gone a ON a.id = src ANTI JOIN gone b ON b.id = dst""")
+docs AS MATERIALIZED (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
+every AS MATERIALIZED (SELECT src, dst, relation FROM links),
+emptied AS MATERIALIZED (SELECT src AS id FROM every LEFT JOIN docs ON dst = id WHERE relation = 'PROVIDES' GROUP BY src HAVING count(*) = count(id)),
+inside AS MATERIALIZED (SELECT DISTINCT dst AS id FROM every JOIN docs ON src = id WHERE relation = 'CONTAINS'),
+gone AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT id FROM docs UNION ALL SELECT id FROM inside UNION ALL SELECT id FROM emptied))
+SELECT src, dst, relation FROM every LEFT JOIN gone a ON a.id = src LEFT JOIN gone b ON b.id = dst WHERE a.id IS NULL AND b.id IS NULL""")
 def _delete(t):
     edges = order_graph(t)
     documents = t.orders.where(F.col("o_orderstatus") == "F").select(key("o", "o_orderkey").alias("document_id"))
