@@ -1,10 +1,15 @@
 """License detection by ordered signature rules.
 
-Three phrases are counted in every text, word by word. On top of them a catalogue of signatures, one set per license made
-from its title, looks for identifiers, grants, later-version clauses, references and bare titles. An Aho-Corasick automaton finds which keywords occur, and only the signatures of those keywords are run; every title and every form holds
-one of its keywords, so nothing else decides which texts are looked at closer. Where detections overlap, one that lies inside another of the same or higher priority gives way, and so does one that
+Three phrases are counted in every text, word by word. On top of them stand hand-written rules for the notices, headers, grants,
+conditions and disclaimers of each license (`license_rules`) and a set of signatures made from each license's title, which look for
+identifiers, grants, later-version clauses, references and bare titles. An Aho-Corasick automaton finds which keywords occur, and only the
+signatures of those keywords are run; every wording, title and form holds one of its keywords, so nothing else decides which texts are
+looked at closer. `all rights reserved` right before a notice belongs to the notice. Where detections overlap, one that lies inside another of the same or higher priority gives way, and so does one that
 holds another of higher priority; what is left carries the license's label and the signature's confidence.
 
+Ties: detections of the same span and priority keep the first label by name; several labels of one text all stay. A very long text is searched
+whole; a wording reaches over at most 1,500 characters at each of its gaps, so the work grows with the text.
+
 Cases: a null or empty text has no words, places or detections; a text in capitals is found like any other (A-Z are lower-cased
 first); equal detections count once; repeated rows are scanned alike; an empty table gives no rows; null ids and other
 columns do no harm.
@@ -20,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import license_rules
 from .arrays import FOLD_CASE, flat, pieces, strings, word_bounds
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -108,6 +114,8 @@ FORMS = [
     ("reference", 2, 0.7, r"(?:see|read|copy of) the T(?: for)?"),
     ("title", 1, 0.6, r"T"),
 ]
+#: Kind of evidence of a hand-written rule, by priority.
+KINDS = {1: "sentence", 2: "clause", 3: "notice", 4: "body", 5: "body", 6: "body"}
 
 
 class Scanner:
@@ -120,6 +128,9 @@ class Scanner:
                 compiled = re.compile(pattern.replace("I", identifier).replace("T", title))
                 for gate in ["spdx"] if form == "identifier" else keywords.split("|"):
                     self.gated.setdefault(gate, []).append((label, form, priority, confidence, compiled))
+        for label, keywords, priority, confidence, wording in license_rules.RULES:
+            for gate in keywords.split("|"):
+                self.gated.setdefault(gate, []).append((label, KINDS[priority], priority, confidence, license_rules.compiled(wording)))
         self.keywords = ahocorasick.Automaton()
         for keyword in self.gated:
             self.keywords.add_word(keyword, keyword)
@@ -131,7 +142,11 @@ class Scanner:
         for keyword in {k for _, k in self.keywords.iter(text)}:
             for label, form, priority, confidence, pattern in self.gated[keyword]:
                 for hit in pattern.finditer(text):
-                    found[label, form, hit.start(), hit.end()] = (priority, confidence)
+                    start = hit.start()
+                    if form in KINDS.values():
+                        before = license_rules.RESERVED.search(text, max(0, start - license_rules.RESERVED_SPAN), start)
+                        start = before.start() if before else start
+                    found[label, form, start, hit.end()] = (priority, confidence)
         spans = [(start, end, priority, label, form, confidence) for (label, form, start, end), (priority, confidence) in found.items()]
         return [{"label": s[3], "form": s[4], "start": s[0], "end": s[1], "confidence": s[5]} for s in suppressed(spans)]
 
