@@ -238,12 +238,66 @@ def taxonomy_roots(nodes: DataFrame, edges: DataFrame, authority: str, limit: in
 
 
 def provenance(edges: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(node, ancestor): everything a node's origin runs through — containers and sources above it, and the leaves its
-    assertions rest on, to a fixpoint."""
+    """(node, ancestor): everything a node's origin runs through — itself, containers and sources above it, and the leaves its
+    assertions rest on, to a fixpoint.
+
+    Leaves of one container share all that lies above it, so only the distinct nodes one step from a leaf are closed; what they
+    reach is joined back to the leaves.
+    """
     up = edges.where(F.col("relation").isin("CONTAINS", "PROVIDES")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    support = edges.where(F.col("relation") == "SUPPORTED_BY").select("src", "dst")
-    return closure(leaves.select(F.col("id").alias("leaf"), F.col("id").alias("node")), up.unionByName(support), "leaf").select(
-        F.col("leaf").alias("node"), F.col("node").alias("ancestor"))
+    steps = up.unionByName(edges.where(F.col("relation") == "SUPPORTED_BY").select("src", "dst"))
+    own = leaves.select(F.col("id").alias("node")).distinct()
+    first = cut_lineage(own.join(steps, F.col("node") == F.col("src")).select("node", F.col("dst").alias("via")).distinct())
+    above = closure(first.select(F.col("via"), F.col("via").alias("node")), steps, "via").select("via", F.col("node").alias("ancestor"))
+    return own.select("node", F.col("node").alias("ancestor")).unionByName(first.join(above, "via").select("node", "ancestor")).distinct()
+
+
+def section_paths(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(node, path): the containers of each leaf, outermost first; a leaf in several containers has a row for each way up, one in none an empty path.
+
+    Pointer doubling over the containers alone: in every round a container's known stretch is joined with the stretch of its topmost node,
+    so a tree of depth d takes log2(d) rounds. A way up that would enter a node again ends below that node.
+    """
+    none = F.array().cast("array<string>")
+    links = edges.where((F.col("relation") == "CONTAINS") & (F.col("src") != F.col("dst"))).select(F.col("dst").alias("node"), F.col("src").alias("top")).distinct()
+    inner = links.select(F.col("top").alias("node")).distinct()
+    hops = cut_lineage(links.join(inner, "node", "left_semi").withColumn("path", F.array("top")).withColumn("ended", F.lit(False)))
+    done = hops.limit(0)
+    while not is_empty(hops):
+        stretches = hops.unionByName(done).select(F.col("node").alias("top"), F.col("top").alias("__top"), F.col("path").alias("__path"), F.col("ended").alias("__ended"))
+        above = F.coalesce("__path", none)
+        # Bound first: inside a lambda the new column `path` would stand for the old one.
+        grown = hops.drop("ended").join(stretches, "top", "left").withColumn("__again", _last_known(above, F.concat("path", F.array("node"))))
+        grown = grown.select("node", F.coalesce("__top", "top").alias("top"), F.concat(_after(above, F.col("__again")), "path").alias("path"),
+                             (F.coalesce("__ended", F.lit(True)) | (F.col("__again") > 0)).alias("ended"))
+        grown = cut_lineage(grown.distinct())
+        done, hops = done.unionByName(grown.where("ended")), grown.where("not ended")
+    near = F.when(F.col("top").isNull(), none).otherwise(F.array("top"))
+    outer = F.coalesce("__path", none)
+    placed = leaves.select(F.col("id").alias("node")).distinct().join(links, "node", "left").join(done.select(F.col("node").alias("top"), F.col("path").alias("__path")), "top", "left")
+    return placed.select("node", F.concat(_after(outer, _last_known(outer, F.concat(near, F.array("node")))), near).alias("path")).distinct()
+
+
+def _last_known(path: Column, known: Column) -> Column:
+    """Position (from 1) of the last entry of `path` that stands in `known`, else 0."""
+    return F.coalesce(F.array_max(F.transform(path, lambda x, i: F.when(F.array_contains(known, x), i + 1).otherwise(0))), F.lit(0))
+
+
+def _after(path: Column, position: Column) -> Column:
+    return F.slice(path, position + 1, F.size(path) - position)
+
+
+def contradicted(edges: DataFrame, leaves: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(node, path, other, other_path): each leaf with a leaf it contradicts, either way round, and where both stand.
+
+    paths: the section paths of both sides where they are known already.
+    """
+    pairs = contradictions(edges).select("node", F.col("neighbour").alias("other")).where("node <> other")
+    both = cut_lineage(pairs.join(leaves.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    if paths is None:
+        ends = both.select(F.col("node").alias("id")).unionByName(both.select(F.col("other").alias("id")))
+        paths = cut_lineage(section_paths(edges, ends))
+    return both.join(paths, "node").join(paths.select(F.col("node").alias("other"), F.col("path").alias("other_path")), "other").select("node", "path", "other", "other_path")
 
 
 def contradictions(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import token_count, truncate_tokens
 from ..functions.vectors import hash_embedding
@@ -62,17 +62,21 @@ def _branches(t):
     return found.select("query_id", "need_key", "node_id", "parent_id", "depth", F.round("score", 6).alias("score"), "action", "outcome")
 
 
-@query("model_view", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
-SELECT source AS query_id, 'e' || doc_id AS evidence_id, 'E' || place AS alias, 'doc ' || doc_id AS title, lang AS section FROM r WHERE place <= 10""")
+@query("model_view", """WITH d AS (SELECT source || '-' || doc_id // 10 AS query_id, doc_id, lang, row_number() OVER (PARTITION BY source, doc_id // 10 ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+SELECT d.query_id, 'e' || d.doc_id AS evidence_id, 'E' || d.place AS alias, 'doc ' || d.doc_id AS title, d.lang AS section,
+  concat_ws(',', 'E' || p.place, 'E' || n.place) AS contradicts FROM d LEFT JOIN d p ON p.query_id = d.query_id AND p.doc_id = d.doc_id - 2 LEFT JOIN d n ON n.query_id = d.query_id AND n.doc_id = d.doc_id + 1""")
 def _view(t):
-    from ..operators.skew import top_per_group
-    best = top_per_group(t.documents, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 10, "place")
+    """Every document in a context of at most ten of its source, longest first; it contradicts the one two before and the next one, where they are in the context."""
     none = F.lit(None).cast("string")
-    rows = best.select(F.col("source").alias("query_id"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("evidence_id"), F.col("doc_id").cast("string").alias("node_id"),
-                       "place", "text", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), none.alias("uri"), none.alias("author"), none.alias("published_at"),
-                       none.alias("retrieved_at"), F.array("lang").alias("section_path"), F.array().cast("array<string>").alias("contradictions"))
+    doc = F.col("doc_id").cast("string")
+    context_id = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 10).cast("string"))
+    others = F.transform(F.array(F.lit(-2), F.lit(1)), lambda step: (F.col("doc_id") + step).cast("string"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id"))
+    rows = t.documents.withColumn("query_id", context_id).withColumn("place", place).select(
+        "query_id", F.concat(F.lit("e"), doc).alias("evidence_id"), doc.alias("node_id"), "place", "text", F.concat(F.lit("doc "), doc).alias("title"), none.alias("uri"),
+        none.alias("author"), none.alias("published_at"), none.alias("retrieved_at"), F.array("lang").alias("section_path"), others.alias("contradictions"))
     view = context.model_view(rows)
-    return view.select("query_id", "evidence_id", "alias", F.col("source.title").alias("title"), F.col("source.section").alias("section"))
+    return view.select("query_id", "evidence_id", "alias", F.col("source.title").alias("title"), F.col("source.section").alias("section"), F.array_join("contradicts", ",").alias("contradicts"))
 
 
 @query("concept_lookup", """WITH k AS (SELECT p_partkey AS id, lower(p_name) AS label_key, p_size <= 10 AS imported FROM part UNION SELECT p_partkey, lower(p_brand), p_size <= 10 FROM part)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import edge_id, stable_id
 from ..operators import graph
+from ..session import cut_lineage
 from .registry import query
 
 
@@ -79,10 +80,14 @@ def _cycle(t):
     return graph.cyclic_nodes(tree_edges(t).unionByName(back))
 
 
+def line_node() -> Column:
+    return F.concat(F.lit("l:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
+                    F.lit("-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+
+
 def order_graph(t) -> DataFrame:
     """Suppliers provide orders, orders contain their lines."""
-    line = F.concat(F.lit("l:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
-                    F.lit("-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+    line = line_node()
     provides = t.lineitem.select(key("s", "l_suppkey").alias("src"), key("o", "l_orderkey").alias("dst"), F.lit("PROVIDES").alias("relation"))
     contains = t.lineitem.select(key("o", "l_orderkey").alias("src"), line.alias("dst"), F.lit("CONTAINS").alias("relation"))
     return provides.distinct().unionByName(contains.distinct())
@@ -93,15 +98,33 @@ ORDER_GRAPH_SQL = """links AS (SELECT DISTINCT 's:' || l_suppkey AS src, 'o:' ||
 
 
 @query("provenance", f"""WITH {ORDER_GRAPH_SQL},
-up AS (SELECT a.dst AS node, a.src AS doc, b.src AS source FROM links a LEFT JOIN links b ON b.dst = a.src AND b.relation = 'PROVIDES' WHERE a.relation = 'CONTAINS')
-SELECT node, count(DISTINCT source) AS sources, count(DISTINCT doc) AS documents, min(source) AS first_source FROM up GROUP BY node""")
+up AS (SELECT a.dst AS node, a.src AS doc, b.src AS source FROM links a LEFT JOIN links b ON b.dst = a.src AND b.relation = 'PROVIDES' WHERE a.relation = 'CONTAINS'),
+section AS (SELECT a.dst AS node, min(concat_ws(' > ', 'r:' || n_regionkey, 'n:' || c_nationkey, 'c:' || o_custkey, a.src)) AS section FROM links a
+  LEFT JOIN orders ON a.src = 'o:' || o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE a.relation = 'CONTAINS' GROUP BY 1),
+line AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_returnflag AS f, 'l:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS node FROM lineitem),
+against AS (SELECT DISTINCT a.node AS a, b.node AS b FROM line a JOIN line b ON a.o = b.o AND b.n = a.n + 1 WHERE a.f = 'A' AND b.f = 'R' AND a.node <> b.node),
+other AS (SELECT x.node, count(DISTINCT x.other) AS contradictions, min(x.other) AS first_other, arg_min(s.section, x.other) AS other_section
+  FROM (SELECT a AS node, b AS other FROM against UNION SELECT b, a FROM against) x JOIN section s ON s.node = x.other GROUP BY x.node),
+counted AS (SELECT node, count(DISTINCT source) AS sources, count(DISTINCT doc) AS documents, min(source) AS first_source FROM up GROUP BY node)
+SELECT node, sources, documents, first_source, section, coalesce(contradictions, 0) AS contradictions, first_other, other_section FROM counted JOIN section USING (node) LEFT JOIN other USING (node)""")
 def _provenance(t):
-    edges = order_graph(t)
-    leaves = edges.where(F.col("relation") == "CONTAINS").select(F.col("dst").alias("id")).distinct()
-    found = graph.provenance(edges, leaves)
+    """Where each line comes from: suppliers, order, the way from its region down, and lines next to it that say the opposite."""
+    places = tree_edges(t).withColumn("relation", F.lit("CONTAINS"))
+    line = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f"), line_node().alias("node")).distinct()
+    following = line.where("f = 'R'").select("o", (F.col("n") - 1).alias("n"), F.col("node").alias("dst"))
+    against = line.where("f = 'A'").join(following, ["o", "n"]).select(F.col("node").alias("src"), "dst", F.lit("CONTRADICTS").alias("relation")).distinct()
+    orders = order_graph(t)
+    leaves = orders.where(F.col("relation") == "CONTAINS").select(F.col("dst").alias("id")).distinct()
+    edges = orders.unionByName(places).unionByName(against)
     source, document = F.col("ancestor").startswith("s:"), F.col("ancestor").startswith("o:")
-    return found.groupBy("node").agg(F.count_if(source).alias("sources"), F.count_if(document).alias("documents"),
-                                     F.min(F.when(source, F.col("ancestor"))).alias("first_source"))
+    counted = graph.provenance(edges, leaves).groupBy("node").agg(
+        F.count_if(source).alias("sources"), F.count_if(document).alias("documents"), F.min(F.when(source, F.col("ancestor"))).alias("first_source"))
+    paths = cut_lineage(graph.section_paths(edges, leaves))
+    section = paths.groupBy("node").agg(F.min(F.array_join("path", " > ")).alias("section"))
+    other = graph.contradicted(edges, leaves, paths).groupBy("node").agg(
+        F.count_distinct("other").alias("contradictions"), F.min(F.struct("other", F.array_join("other_path", " > ").alias("section"))).alias("first"))
+    return counted.join(section, "node").join(other, "node", "left").select(
+        "node", "sources", "documents", "first_source", "section", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), F.col("first.other").alias("first_other"), F.col("first.section").alias("other_section"))
 
 
 @query("hard_delete", f"""WITH {ORDER_GRAPH_SQL},

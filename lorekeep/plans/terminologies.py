@@ -170,16 +170,24 @@ def _apply(t):
     return judged.select("patient", "rec_id", F.round("factor", 6).alias("factor"))
 
 
-@query("patient_header", """WITH m AS (SELECT o_custkey AS patient, o_orderkey::VARCHAR AS id, o_orderdate::DATE AS d FROM orders WHERE o_orderstatus IN ('F') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-c AS (SELECT DISTINCT patient, id, d, 'sct:1' || lpad(min(l_partkey) OVER (PARTITION BY id)::VARCHAR, 9, '0') AS item FROM m JOIN lineitem ON l_orderkey::VARCHAR = id)
-SELECT patient, 'results' AS slot, item, arg_max(id, (d, id)) AS memory_id FROM c GROUP BY ALL""")
+# Every tenth of the first parts is a result the header shows, kinds of one brand are allergies, every third part is a disorder.
+HEADER_CODES = [f"sct:1{n:09d}" for n in range(10, 1001, 10)]
+ALLERGY_ROOT = "911"
+
+
+@query("patient_header", f"""WITH {RF2_BASE}, m AS (SELECT o_custkey AS patient, o_orderkey::VARCHAR AS id, o_orderdate::DATE AS d, CASE o_orderstatus WHEN 'F' THEN 'present' ELSE 'possible' END AS state, o_orderkey % 7 = 0 AS stored
+  FROM orders WHERE o_orderstatus IN ('F', 'O')),
+c AS (SELECT l_orderkey::VARCHAR AS id, bool_or(coalesce(brand = '{ALLERGY_ROOT}', false)) AS allergy, min('sct:1' || lpad(l_partkey::VARCHAR, 9, '0')) FILTER (l_partkey % 3 = 0) AS disorder,
+  min('sct:1' || lpad(l_partkey::VARCHAR, 9, '0')) FILTER (l_partkey % 10 = 0 AND l_partkey <= 1000) AS result FROM lineitem LEFT JOIN p ON p_partkey = l_partkey GROUP BY 1),
+s AS (SELECT *, CASE WHEN stored THEN 'medications' WHEN allergy THEN 'allergies' WHEN disorder IS NOT NULL THEN 'problems' WHEN result IS NOT NULL THEN 'results' END AS slot FROM m JOIN c USING (id)),
+i AS (SELECT *, CASE slot WHEN 'results' THEN coalesce(result, id) WHEN 'problems' THEN coalesce(disorder, id) ELSE id END AS item FROM s WHERE slot IS NOT NULL AND (state <> 'possible' OR slot = 'problems'))
+SELECT patient, slot, item, arg_max(id, (d, id)) AS memory_id, arg_max(state, (d, id)) AS state FROM i GROUP BY ALL""")
 def _header(t):
-    records = order_records(t).where("state = 'present'").withColumn("header", F.lit("results"))
-    first = F.element_at("concepts", 1)["key"]
-    # Every part is a header code here, so the first concept names the result.
-    rows = clinical.header_slots(records, part_relations(t), [], [])
-    latest = rows.withColumn("item", first).groupBy("patient", "slot", "item").agg(F.max_by("memory_id", F.struct("doc_date", "memory_id")).alias("memory_id"))
-    return latest
+    tagged = F.transform("concepts", lambda c: F.struct(c["key"].alias("key"), c["term"].alias("term"),
+                                                        F.when(F.substring(c["key"], 6, 9).cast("long") % 3 == 0, F.lit("disorder")).otherwise(c["tag"]).alias("tag")))
+    records = order_records(t).withColumn("concepts", tagged).withColumn("header", F.when(F.col("memory_id").cast("long") % 7 == 0, F.lit("medications")))
+    slots = clinical.header_slots(records, part_relations(t), [ALLERGY_ROOT], HEADER_CODES)
+    return clinical.patient_header(slots, HEADER_CODES).select("patient", "slot", "item", "memory_id", "state")
 
 
 @query("concept_expansion", f"""WITH {RF2_BASE} SELECT 'e:sct:' || code AS src, 'e:sct:' || brand AS dst, 'sct:' || t AS kind FROM p, (VALUES ('116680003'), ('246075003')) v(t)""")

@@ -27,24 +27,18 @@ def order_trace(t) -> DataFrame:
                        "s.evidence_id", F.when(F.col("s.evidence_id").isNotNull(), F.col("part")).alias("evidence_node"), text.alias("url"), text.alias("document_id"))
 
 
-LAST_SQL = """o AS (SELECT l_orderkey::VARCHAR AS query_id, 'p' || l_partkey AS part, l_linenumber AS ln, CASE WHEN l_linenumber % 4 = 1 THEN 'CANDIDATE' WHEN l_linenumber % 4 = 2 THEN 'ACTIVE' WHEN l_returnflag = 'R' THEN 'PRUNED' ELSE 'EVIDENCE' END AS st FROM lineitem),
-n AS (SELECT query_id, part, bool_or(st = 'EVIDENCE') AS ev, arg_max(st, ln) AS last FROM o WHERE (query_id, part) NOT IN (SELECT query_id, part FROM o GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)"""
-
-
-@query("trace_states", f"""WITH {LAST_SQL} SELECT state, count(*) AS n FROM (SELECT CASE WHEN ev THEN 'EVIDENCE' ELSE last END AS state FROM n UNION ALL
-SELECT 'EVIDENCE' FROM n WHERE ev) GROUP BY state""")
+@query("trace_states", """WITH o AS (SELECT l_orderkey::VARCHAR AS query_id, 'p' || l_partkey AS part, l_linenumber AS ln, CASE WHEN l_linenumber % 4 = 1 THEN 'CANDIDATE' WHEN l_linenumber % 4 = 2 THEN 'ACTIVE' WHEN l_returnflag = 'R' THEN 'PRUNED' ELSE 'EVIDENCE' END AS st FROM lineitem),
+n AS (SELECT query_id, part, bool_or(st = 'EVIDENCE') AS ev, arg_max(st, ln) AS last FROM o GROUP BY ALL)
+SELECT query_id, part AS node, CASE WHEN ev THEN 'EVIDENCE' ELSE last END AS state FROM n UNION ALL SELECT query_id, 'e:' || part, 'EVIDENCE' FROM n WHERE ev""")
 def _states(t):
-    events = order_trace(t)
-    single = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).agg(F.count(F.lit(1)).alias("c")).where("c = 1")
-    found = traces.node_states(events).withColumn("p", F.regexp_replace("node", "^e:", ""))
-    return found.join(single, ["query_id", "p"], "left_semi").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return traces.node_states(order_trace(t))
 
 
 @query("trace_edges", """WITH o AS (SELECT l_orderkey::VARCHAR AS query_id, 'p' || l_partkey AS part, l_linenumber % 4 AS m, l_returnflag AS f FROM lineitem),
 e AS (SELECT query_id, 'need:N1' AS src, part AS dst, CASE WHEN m = 2 THEN 'route' ELSE 'candidate' END AS caption FROM o UNION ALL SELECT query_id, part, 'e:' || part, 'supports' FROM o WHERE m IN (3, 0) AND f <> 'R')
-SELECT caption, count(*) AS n FROM (SELECT query_id, src, dst, max(caption) AS caption FROM e GROUP BY ALL) GROUP BY caption""")
+SELECT query_id, src, dst, max(caption) AS caption, CASE WHEN max(caption) = 'route' THEN 'b' || dst END AS branch_id, false AS active FROM e GROUP BY query_id, src, dst""")
 def _edges(t):
-    return traces.edge_states(order_trace(t)).groupBy("caption").agg(F.count(F.lit(1)).alias("n"))
+    return traces.edge_states(order_trace(t))
 
 
 @query("recall_funnel", """WITH m AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id FROM orders), c AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS node FROM lineitem),
