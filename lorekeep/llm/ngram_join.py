@@ -309,31 +309,39 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
 
 
 def _packed(entry: np.ndarray) -> bytes:
-    """Entries in document order, column by column; each document and its set once, with the number of its entries."""
+    """Entries in document order, column by column: documents as steps from one to the next, each with its set and the number of its
+    entries once. Columns are as wide as their values need."""
     first = np.flatnonzero(np.concatenate([[True], entry["doc"][1:] != entry["doc"][:-1]]))
-    wide = int(entry["part"].max()) >= 1 << 16
-    head = np.array([len(entry), len(first), wide], "<i8")
-    # 48 bits of the signature: a chance meeting beyond that only costs a check.
-    return b"".join([head.tobytes(), entry["doc"][first].tobytes(), entry["set"][first].tobytes(), np.diff(np.append(first, len(entry))).astype("<u4").tobytes(),
-                     (entry["sig"] >> np.uint64(32)).astype("<u4").tobytes(), (entry["sig"] >> np.uint64(16)).astype("<u2").tobytes(),
-                     entry["part"].astype("<u4" if wide else "<u2").tobytes(), entry["hot"].tobytes()])
+    docs = entry["doc"][first].view(np.uint64)
+    steps, many, part = np.diff(docs), np.diff(np.append(first, len(entry))), entry["part"]
+    width = [4 if values.max(initial=0) >= limit else 2 for values, limit in ((part, 1 << 16), (many, 1 << 8))] + [8 if steps.max(initial=0) >= 1 << 32 else 4]
+    head = np.array([len(entry), len(first), docs[0], *width], np.uint64)
+    # 40 bits of a signature and 48 of a set's key: a signature that meets another by chance only costs a check, keys are compared under one signature only.
+    sig = entry["sig"]
+    return b"".join([head.tobytes(), steps.astype("<u8" if width[2] == 8 else "<u4").tobytes(), entry["set"][first].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                     many.astype("<u4" if width[1] == 4 else "u1").tobytes(), (sig >> np.uint64(32)).astype("<u4").tobytes(), (sig >> np.uint64(24)).astype("u1").tobytes(),
+                     part.astype("<u4" if width[0] == 4 else "<u2").tobytes(), np.packbits(entry["hot"]).tobytes()])
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    count, docs, wide = np.frombuffer(blob, "<i8", 3).tolist()
-    at = 24
+    count, docs, start, part, many, step = np.frombuffer(blob, np.uint64, 6).tolist()
+    at = 48
 
-    def take(kind: str, many: int) -> np.ndarray:
+    def take(kind: str, number: int) -> np.ndarray:
         nonlocal at
-        found = np.frombuffer(blob, kind, many, at)
+        found = np.frombuffer(blob, kind, number, at)
         at += found.nbytes
         return found
 
-    ids, sets, many = take("<i8", docs), take("<i8", docs), take("<u4", docs)
+    ids = np.cumsum(np.concatenate([np.array([start], np.uint64), take("<u8" if step == 8 else "<u4", docs - 1).astype(np.uint64)]), dtype=np.uint64)
+    sets = np.zeros((docs, 8), np.uint8)
+    sets[:, :6] = take("u1", 6 * docs).reshape(-1, 6)
+    times = take("<u4" if many == 4 else "u1", docs)
     entry = np.zeros(count, ENTRY)
-    entry["sig"] = take("<u4", count).astype(np.uint64) << np.uint64(16) | take("<u2", count)
-    entry["doc"], entry["set"] = np.repeat(ids, many), np.repeat(sets, many)
-    entry["part"], entry["hot"] = take("<u4" if wide else "<u2", count), take("u1", count)
+    entry["sig"] = take("<u4", count).astype(np.uint64) << np.uint64(8) | take("u1", count)
+    entry["doc"], entry["set"] = np.repeat(ids.view(np.int64), times), np.repeat(sets.reshape(-1).view("<i8"), times)
+    entry["part"] = take("<u4" if part == 4 else "<u2", count)
+    entry["hot"] = np.unpackbits(take("u1", (count + 7) // 8), count=count)
     return entry
 
 
@@ -345,10 +353,14 @@ def linked_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int,
             keep = [not far_apart(x, y, s, similar) for x, y, s in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), size.tolist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    sketches = sets.where("n > 0").select("id", "n", "sketch")
-    left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar)
+    # Sizes rule out most pairs; sketches travel only for the documents of those left.
+    sizes = sets.where("n > 0").select("id", "n")
+    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    sized = cut_lineage(sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar))
+    asked = sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id"))).distinct()
+    sketches = cut_lineage(sets.select("id", "sketch").join(asked, "id", "left_semi"))
+    sized = (sized.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a")
+             .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b"))
     close = cut_lineage(sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(near, "a long, b long").distinct())
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     content = hashed_sets(docs.join(ids, "id", "left_semi"), words)

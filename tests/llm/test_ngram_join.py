@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lorekeep.llm import ngram_join
@@ -93,3 +94,17 @@ def test_similar_sets_share_a_signature(sizes):
         left, right = np.sort(pool[:a]), np.sort(pool[len(pool) - b:])
         sig, text, *_ = ngram_join.signatures(np.concatenate([left, right]), np.array([0, a, a + b]), 80)
         assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
+
+
+def test_entries_survive_packing():
+    rng = np.random.default_rng(9)
+    for count, span, parts in ((1, 5, 3), (40, 8, 300), (3000, 900, 70_000), (700, 2, 10), (50, 2**62, 9)):
+        entry = np.zeros(count, ngram_join.ENTRY)
+        entry["sig"] = rng.integers(0, 2**64, count, dtype=np.uint64)
+        entry["doc"] = np.sort(rng.integers(-span, span, count))
+        entry["set"] = entry["doc"] * 7919
+        entry["part"], entry["hot"] = rng.integers(0, parts, count), rng.integers(0, 2, count)
+        got = ngram_join._unpacked(ngram_join._packed(entry))
+        assert (got["sig"] == entry["sig"] >> np.uint64(24)).all()
+        assert all((got[c] == entry[c]).all() for c in ("doc", "part", "hot"))
+        assert (got["set"] == entry["set"] & ((1 << 48) - 1)).all()
