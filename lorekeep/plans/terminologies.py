@@ -190,13 +190,14 @@ def _header(t):
     return clinical.patient_header(slots, HEADER_CODES).select("patient", "slot", "item", "memory_id", "state")
 
 
-@query("concept_expansion", f"""WITH {RF2_BASE} SELECT 'e:sct:' || code AS src, 'e:sct:' || brand AS dst, 'sct:' || t AS kind FROM p, (VALUES ('116680003'), ('246075003')) v(t)""")
+@query("concept_expansion", f"""WITH {RF2_BASE} SELECT 'e:sct:' || code AS src, 'e:sct:' || brand AS dst, 'sct:' || t AS kind FROM p, (VALUES ('116680003'), ('246075003')) v(t) UNION ALL
+SELECT DISTINCT 'e:sct:' || brand, 'e:sct:138875005', 'sct:116680003' FROM p""")
 def _expansion(t):
-    """Targets nearer the root than depth 1, here the root alone, are too generic."""
+    """The whole neighbourhood, the root included."""
     concepts, descriptions, _, relationships = part_release(t)
     concept, _, relation = taxonomies.terminology(concepts, descriptions, relationships)
     codes = concepts.where(F.col("id").startswith("1") & (F.length("id") == 10)).select(F.col("id").alias("code"))
-    return clinical.expansion_links(codes, relation, concept, spreading.clinical_params().edge_weights, 3, 1)
+    return clinical.expansion_links(codes, relation, concept, spreading.clinical_params().edge_weights, 3, 0)
 
 
 @query("fhir_memories", """SELECT o_orderkey::VARCHAR AS resource_id, CASE o_orderstatus WHEN 'F' THEN 'order value: ' || o_totalprice::VARCHAR || ' EUR (H)' WHEN 'O' THEN o_orderpriority || ' (active)' ELSE 'Medication: ' || o_orderpriority || ' (status unknown)' END AS text,
