@@ -1,10 +1,13 @@
 """Whole results of queries and operators that once did less, and work that grows with the input only."""
 
+import math
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lorekeep.operators import clinical
+from lorekeep.operators import clinical, nearest
 from lorekeep.plans import catalog
 from tests.oracle import TESTDATA
 
@@ -27,3 +30,36 @@ def test_expansion_leaves_out_what_is_nearer_the_root_than_asked(spark):
     def targets(depth):
         return sorted(r.dst for r in clinical.expansion_links(codes, relations, concepts, {f"sct:{clinical.IS_A}": 1.0}, 3, depth).collect())
     assert targets(0) == ["e:sct:b", "e:sct:r"] and targets(1) == ["e:sct:b"] and targets(2) == []
+
+
+def test_blocks_of_a_grid_give_what_all_pairs_give(spark, monkeypatch):
+    # More blocks than cells a side, many ties, odd ids; what a task holds is handed on early too.
+    for name, value in (("BLOCK_ROWS", 4), ("BLOCK_QUERIES", 3), ("SPREAD", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    random.seed(5)
+    vectors = {f"d{i}": [float(random.randint(-2, 2)) for _ in range(3)] for i in range(61)} | {"none": None, "short": [1.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "doc_id string, vec array<double>")
+    asked = rows.withColumnRenamed("doc_id", "query_id")
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        size = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / size, 9) + 0.0 if size else 0.0
+    expected = {q: sorted((-cosine(a, b), d) for d, b in vectors.items() if d != q)[:4] for q, a in vectors.items()}
+    for held in (nearest.HELD, 1):
+        monkeypatch.setattr(nearest, "HELD", held)
+        got = nearest.vector_topk(rows, asked, 4, exclude_same=True).collect()
+        found = {q: [(-r.score + 0.0, r.doc_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in vectors}
+        assert {q: [d for _, d in x] for q, x in found.items()} == {q: [d for _, d in x] for q, x in expected.items()}
+
+
+def test_a_block_travels_no_more_often_with_more_queries(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("BLOCK_QUERIES", 2), ("SPREAD", 3)):
+        monkeypatch.setattr(nearest, name, value)
+    rows = spark.range(64).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    seen = []
+    join = type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, other, *a, **k: (seen.append(self.count()) if "__part" in self.columns else None, join(self, other, *a, **k))[1])
+    nearest.vector_topk(rows, rows.withColumnRenamed("doc_id", "query_id"), 2)
+    blocks = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(8))).distinct().count()
+    assert seen == [3 * blocks]
