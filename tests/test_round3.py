@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import clinical, nearest
+from lorekeep.operators import clinical, graph, nearest
 from lorekeep.plans import catalog
 from tests.oracle import TESTDATA
 
@@ -63,3 +63,30 @@ def test_a_block_travels_no_more_often_with_more_queries(spark, monkeypatch):
     nearest.vector_topk(rows, rows.withColumnRenamed("doc_id", "query_id"), 2)
     blocks = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(8))).distinct().count()
     assert seen == [3 * blocks]
+
+
+def test_provenance_climbs_shared_steps_only_and_reaches_what_a_walk_reaches(spark, monkeypatch):
+    random.seed(9)
+    names = [f"n{i}" for i in range(14)]
+    links = {(random.choice(names), random.choice(names), r) for r in ("CONTAINS", "PROVIDES", "SUPPORTED_BY") for _ in range(7)}  # with circles
+    links |= {(random.choice(names), f"leaf{i}", "CONTAINS") for i in range(30) for _ in range(1 + i % 2)}
+    edges = spark.createDataFrame(sorted(links), "src string, dst string, relation string")
+    up = {}
+    for a, b, r in links:
+        x, y = (a, b) if r == "SUPPORTED_BY" else (b, a)
+        up.setdefault(x, set()).add(y)
+    def walk(node):
+        seen, left = {node}, [node]
+        while left:
+            for x in up.get(left.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    left.append(x)
+        return seen
+    asked = names + [f"leaf{i}" for i in range(30)] + ["alone"]
+    climbed = []
+    plain = graph.closure
+    monkeypatch.setattr(graph, "closure", lambda starts, steps, *a, **k: (climbed.append({r.src for r in steps.collect()}), plain(starts, steps, *a, **k))[1])
+    got = graph.provenance(edges, spark.createDataFrame([(x,) for x in asked], "id string")).collect()
+    assert len(got) == len(set(got)) and {(r.node, r.ancestor) for r in got} == {(x, y) for x in asked for y in walk(x)}
+    assert climbed and not any(x.startswith("leaf") for x in climbed[0])
