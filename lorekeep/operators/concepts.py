@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import casefold, taxonomy_forms, terms, words
@@ -33,8 +33,11 @@ def rare_forms(queries: DataFrame, frequency: DataFrame, size: Column) -> DataFr
     """(query_id, form): a query's words that label few concepts (the rarest when all are common), with their other number."""
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).join(frequency, "term", "left").fillna(0, ["df"])
     limit = F.greatest(F.lit(5.0), size / 200)
-    first = asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("rarest"), F.bool_or(F.col("df") <= limit).alias("any"))
-    kept = asked.join(first, "query_id").where((F.col("df") <= limit) | (~F.col("any") & (F.col("term") == F.col("rarest"))))
+    # Windows, not a join with the rarest words: the texts are read and taken apart once.
+    own = Window.partitionBy("query_id")
+    judged = asked.withColumn("rare", F.col("df") <= limit).withColumns({
+        "rarest": F.min_by("term", F.struct("df", "term")).over(own), "any": F.bool_or("rare").over(own)})
+    kept = judged.where(F.col("rare") | (~F.col("any") & (F.col("term") == F.col("rarest"))))
     return kept.select("query_id", F.explode(taxonomy_forms(F.col("term"))).alias("form")).distinct()
 
 
@@ -46,16 +49,38 @@ def lexical_candidates(queries: DataFrame, concepts: DataFrame, limit: int) -> D
     frequency = labelled.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     forms = rare_forms(queries, frequency, concepts.agg(F.count(F.lit(1))).scalar())
     # The wanted list is searched as a query of its own, so stop words among the forms fall away again.
-    wanted = forms.groupBy("query_id").agg(F.concat_ws(" ", F.collect_set("form")).alias("text")).select("query_id", F.explode(terms(F.col("text"))).alias("term"))
-    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    held = labelled.withColumn("in_label", F.lit(1)).unionByName(
+    wanted = forms.groupBy("query_id").agg(F.concat_ws(" ", F.collect_set("form")).alias("text")).select("query_id", terms(F.col("text")).alias("words"))
+    wanted = wanted.select("query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
+    held = (labelled.withColumn("in_label", F.lit(1)).unionByName(
         concepts.select("id", F.explode(words(content)).alias("term")).withColumn("in_label", F.lit(0)))
-    found = (held.join(wanted, "term").groupBy("query_id", "id", "term").agg(F.max("in_label").alias("in_label"))
-             .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("found"), F.sum("in_label").alias("labelled")))
+        .groupBy("id", "term").agg(F.max("in_label").alias("in_label")))
+    # Written once: only words that some concept holds, with the number of all the query's words.
+    matched = cut_lineage(wanted.join(held.select("term").distinct(), "term", "left_semi"))
+    found, sizes = _found(matched, held, limit), matched.select("query_id", "n").distinct()
     scored = found.join(sizes, "query_id").select("query_id", "id", (0.5 * F.col("found") / F.col("n") + 0.1 * F.col("labelled") / F.col("n")).alias("score"))
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], limit)
 
 
+def _found(wanted: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, found, labelled): how many wanted words a concept holds, and in its label, for every concept that can be among a query's best `limit`.
+
+    wanted: query_id, term; held: id, term, in_label, each (id, term) once. Of a query's most frequent word only the best `limit` concepts are taken, label first,
+    then by id: any other concept that holds this word alone stands behind all of those, and one that holds another word as well is found by that.
+    """
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("many"))
+    most_first = Window.partitionBy("query_id").orderBy(F.col("many").desc(), "term")
+    matched = wanted.join(frequency, "term").withColumn("place", F.row_number().over(most_first)).select("query_id", "term", "place")
+    frequent = matched.where("place = 1").select("query_id", "term")
+    others = (matched.where("place > 1").join(held, "term").groupBy("query_id", "id")
+              .agg(F.count(F.lit(1)).alias("found"), F.sum("in_label").alias("labelled")))
+    # Concepts found by another word may hold the most frequent one, too.
+    whole = others.join(frequent, "query_id").join(held, ["id", "term"], "left").select(
+        "query_id", "id", (F.col("found") + F.col("in_label").isNotNull().cast("int")).alias("found"), (F.col("labelled") + F.coalesce("in_label", F.lit(0))).alias("labelled"))
+    first = top_per_group(held, ["term"], [F.col("in_label").desc(), F.col("id")], limit).drop("rank")
+    alone = frequent.join(first, "term").select("query_id", "id", F.lit(1).cast("long").alias("found"), F.col("in_label").cast("long").alias("labelled"))
+    return whole.unionByName(alone).groupBy("query_id", "id").agg(F.max("found").alias("found"), F.max("labelled").alias("labelled"))
+
+
 def taxonomy_candidates(queries: DataFrame, concepts: DataFrame, limit: int = 20, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank): semantic and lexical candidates interleaved. vectors: (id, vec); queries carry vec then."""
     lexical = lexical_candidates(queries, concepts, limit)

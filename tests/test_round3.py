@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import clinical, graph, nearest
+from lorekeep.operators import clinical, concepts, graph, nearest
 from lorekeep.plans import catalog
 from tests.oracle import TESTDATA
 
@@ -90,3 +90,28 @@ def test_provenance_climbs_shared_steps_only_and_reaches_what_a_walk_reaches(spa
     got = graph.provenance(edges, spark.createDataFrame([(x,) for x in asked], "id string")).collect()
     assert len(got) == len(set(got)) and {(r.node, r.ancestor) for r in got} == {(x, y) for x in asked for y in walk(x)}
     assert climbed and not any(x.startswith("leaf") for x in climbed[0])
+
+
+def test_candidates_by_words_are_those_of_all_pairs(spark):
+    random.seed(3)
+    terms = "abcdefgh"
+    held = {(i, t): random.randint(0, 1) for i in range(60) for t in terms if random.random() < (0.8 if t == "a" else 0.2)}
+    wanted = {q: set(random.sample(terms + "xyz", random.randint(1, 5))) for q in range(40)}
+    found = concepts._found(spark.createDataFrame([(q, t) for q, ts in wanted.items() for t in ts], "query_id int, term string"),
+                            spark.createDataFrame([(i, t, n) for (i, t), n in held.items()], "id int, term string, in_label int"), 3)
+    got = {(r.query_id, r.id): (r.found, r.labelled) for r in found.collect()}
+    every = {(q, i): (sum((i, t) in held for t in ts), sum(held.get((i, t), 0) for t in ts)) for q, ts in wanted.items() for i in range(60)}
+    assert all(every[k] == v for k, v in got.items() if k in best(every, 3)) and best(got, 3) == best(every, 3)
+
+
+def best(scores, limit):
+    chosen = set()
+    for q in {q for q, _ in scores}:
+        chosen |= {(q, i) for _, i in sorted((-0.5 * f - 0.1 * n, i) for (p, i), (f, n) in scores.items() if p == q and f)[:limit]}
+    return chosen
+
+
+def test_a_word_that_most_concepts_hold_meets_few_of_them(spark):
+    held = spark.range(500).select("id", F.lit("common").alias("term"), F.lit(1).alias("in_label"))
+    wanted = spark.range(20).select(F.col("id").alias("query_id"), F.lit("common").alias("term"))
+    assert concepts._found(wanted, held, 5).count() == 20 * 5
