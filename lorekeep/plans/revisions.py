@@ -83,12 +83,12 @@ def order_sessions(t):
 @query("session_graph", f"WITH {SESSION_SQL} SELECT g.scope, g.a, g.b, g.kind, da.degree AS degree_a, db.degree AS degree_b FROM g JOIN d da ON da.scope = g.scope AND da.node = a JOIN d db ON db.scope = g.scope AND db.node = b")
 def _graph(t):
     """Links of all sessions, then of a second delivery that cuts every fourth session to two lines; degrees follow by difference."""
-    first = order_sessions(t)
-    links = sessions.session_links(first)
+    first = cut_lineage(order_sessions(t))
+    links = cut_lineage(sessions.session_links(first))  # the stored table that the second delivery changes
     degrees = sessions.node_degrees(sessions.session_graph(links))
     again = first.where("session % 4 = 1").withColumn("memories", F.filter("memories", lambda m: m["n"] <= 2)).withColumn("entities", F.filter("entities", lambda e: e["n"] <= 2))
     links, shift = sessions.replaced_links(links, again)
-    after = sessions.shifted(degrees, shift).select("scope", "node", "degree")
+    after = cut_lineage(sessions.shifted(degrees, shift).select("scope", "node", "degree"))
     graph = sessions.session_graph(links)
     for end in ("a", "b"):
         graph = graph.join(after.select("scope", F.col("node").alias(end), F.col("degree").alias(f"degree_{end}")), ["scope", end], "left")

@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import clinical, concepts, graph, nearest
+from lorekeep.operators import clinical, concepts, graph, nearest, sessions
 from lorekeep.plans import catalog
+from lorekeep.session import cut_folder
 from tests.oracle import TESTDATA
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -115,3 +116,13 @@ def test_a_word_that_most_concepts_hold_meets_few_of_them(spark):
     held = spark.range(500).select("id", F.lit("common").alias("term"), F.lit(1).alias("in_label"))
     wanted = spark.range(20).select(F.col("id").alias("query_id"), F.lit("common").alias("term"))
     assert concepts._found(wanted, held, 5).count() == 20 * 5
+
+
+@shared
+def test_session_links_of_the_first_delivery_are_made_once(spark, monkeypatch):
+    given = []
+    plain = sessions.replaced_links
+    monkeypatch.setattr(sessions, "replaced_links", lambda links, again: (given.extend([links, again]), plain(links, again))[1])
+    catalog.QUERIES["session_graph"](spark, FOLDER)
+    folder = cut_folder(spark).split(":")[-1].rsplit("/", 1)[-1]
+    assert len(given) == 2 and all(folder in path for rows in given for path in rows.inputFiles())
