@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labels of all documents; a missing `lang` is filled in."""
     labelled = queries.table(spark, sf_dir, "documents").where(queries.id_crc(3) != 1)
-    model = language.learn_sample(labelled)
+    model = language.learn(labelled, "text", "lang")  # all labelled rows, as for the least cosines
     found = language.predict(docs, model, keep=tuple(COLUMNS), least=language.least_cosines(labelled, model))
     known = found.where(F.col("lang_pred") != language.UNKNOWN)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)

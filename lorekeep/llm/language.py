@@ -13,7 +13,7 @@ prototypes (languages x dimensions numbers) are all that is passed to the driver
 
 The cosine of a text in no language is noise, and how far a clean text rises above it depends on its evidence: the number of n-grams that
 count, which is small for short and for repetitive texts. `least_cosines` learns a threshold per power of two of the evidence
-from starts of labelled texts and the same starts with their letters shuffled: what hardly a shuffled start reaches, but no more than
+from all labelled texts, starts of them and the same with their letters shuffled: what hardly a shuffled start reaches, but no more than
 what nearly all clean ones do. Below about 32 n-grams the two overlap, and such texts stay.
 
 Cases: a null text or a text without a letter gets `und` with score 0; without any labelled row every text gets `und`;
@@ -36,8 +36,7 @@ UNKNOWN = "und"
 DIMENSIONS = 512
 GRAM = 3
 SAMPLE_ROWS = 20_000
-#: Labelled rows of each language that the least cosines are learned from, about, and the lengths of the starts taken of them.
-CONTRAST_ROWS = 500
+#: Texts compared at once while the least cosines are learned, and the lengths of the starts taken of them.
 CONTRAST_SLICE = 256
 STARTS = (4, 8, 16, 32, 64, 128, 256, 512)
 #: Powers of two of the evidence that have a least cosine of their own; the share of clean texts below it and of shuffled ones above.
@@ -201,8 +200,8 @@ def shuffled(text: str) -> str:
 
 
 def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-                  gram: int = GRAM, seed: int = 7, sample_rows: int = CONTRAST_ROWS) -> np.ndarray:
-    """Per level of evidence the least cosine of a text in a known language."""
+                  gram: int = GRAM, seed: int = 7) -> np.ndarray:
+    """Per level of evidence the least cosine of a text in a known language, from all labelled texts."""
     kinds = 3  # whole texts, starts, shuffled texts and starts
     compare = comparer(model, gram, seed)
 
@@ -218,7 +217,7 @@ def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray], id_c
                         _, best, level = compare(some[at:at + CONTRAST_SLICE])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), kind)), pa.array(level), pa.array(best.astype(float))], ["kind", "level", "score"])
 
-    known = bounded_sample(examples(labelled, id_column, text_column, lang_column), id_column, lang_column, sample_rows)
+    known = examples(labelled, id_column, text_column, lang_column)
     found = known.select(text_column).mapInArrow(run, "kind long, level long, score double").groupBy("kind", "level").agg(
         F.percentile_approx("score", [SPARED, 1 - PASSED], 10_000).alias("scores"))
     at = {(r["kind"], r["level"]): r["scores"][r["kind"] == kinds - 1] for r in found.collect()}
