@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import BM25_STOP_WORDS, let, terms
-from .skew import top_per_group
+from ..session import cut_lineage
+from .nearest import blocked_topk
 
 K1, B = 1.2, 0.75  # fixed values: BM25 saturation and length normalisation
+#: Cells of a dense part of a block's term weights.
+CELLS = 4_000_000
 
 
 def tokens_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,45 +42,109 @@ def postings(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", tex
             .groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                query_col: str = "query_id", query_text: str = "text") -> DataFrame:
-    """(query, document, score) for every document that shares a term with a query.
+def _weighed(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, numbers, weights) and queries (id, numbers, weights): the numbers of their terms in the queries' vocabulary, the weights as arrays of
+    the same length. A score is the sum over common terms of the products of both weights.
 
-    Statistics and scores read the same shuffled postings, so the collection is scanned once. Postings are keyed by
-    (document, term): a term held by a third of the documents is spread over those documents.
+    The collection is read once: its postings are written as one row per document, from which statistics and weights are made.
     """
-    wanted = query_terms(queries, query_col, query_text)
-    counted = postings(docs, wanted.select("term").distinct(), id_col, text_col)
-    totals = counted.where(F.col("term").isNull()).agg(
-        F.sum("tf").alias("n"), F.sum(F.col("length") * F.col("tf")).alias("total"))
-    frequency = (counted.where(F.col("term").isNotNull())
-                 .groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")))
+    wanted = cut_lineage(query_terms(queries, query_col, query_text))
+    vocabulary = cut_lineage(wanted.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    counted = postings(docs, vocabulary, id_col, text_col).join(vocabulary, "term", "left")
+    whole = F.col("term").isNull()
+    entry = F.when(~whole, F.struct("number", "tf", "length"))
+    held = cut_lineage(counted.groupBy(id_col).agg(
+        F.collect_list(entry).alias("entries"), F.sum(F.when(whole, F.col("tf"))).alias("copies"),
+        F.sum(F.when(whole, F.col("length") * F.col("tf"))).alias("size")))
+    totals = held.agg(F.sum("copies").alias("n"), F.sum("size").alias("total"))
     n, average = totals.select("n").scalar(), totals.select(F.col("total") / F.col("n")).scalar()
-    weighted = wanted.join(frequency, "term").select(
-        query_col, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        average.alias("average"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    frequency = held.select(F.explode("entries.number").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = (wanted.join(vocabulary, "term").join(frequency, "number").select(query_col, "number", idf.alias("weight"))
+             .groupBy(query_col).agg(F.collect_list(F.struct("number", "weight")).alias("entries"))
+             .select(query_col, F.col("entries.number").alias("numbers"), F.col("entries.weight").alias("weights")))
+
+    def part(e):
+        return e["tf"] * (K1 + 1) / (e["tf"] + K1 * (1 - B + B * e["length"] / F.col("__average")))
+
+    rows = held.where(F.size("entries") > 0).withColumn("__average", average).select(
+        id_col, F.col("entries.number").alias("numbers"), F.transform("entries", part).alias("weights"))
+    return rows, asked
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                query_col: str = "query_id", query_text: str = "text") -> DataFrame:
+    """(query, document, score) for every document that shares a term with a query. Whoever wants the best ones only takes `bm25_topk`, which makes no pairs."""
+    rows, asked = _weighed(docs, queries, id_col, text_col, query_col, query_text)
+
+    def flat(df, key, name):
+        return df.select(key, F.explode(F.arrays_zip("numbers", "weights")).alias("e")).select(key, F.col("e.numbers").alias("number"), F.col("e.weights").alias(name))
+
     # A frequent term's postings stay spread over their documents; the few weights are copied to every part.
     parts = 16
-    dealt = counted.where(F.col("term").isNotNull()).withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
-    weighted = weighted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return (dealt.join(weighted, ["term", "__part"])
-            .groupBy(query_col, id_col).agg(F.sum(part).alias("score")))
+    dealt = flat(rows, id_col, "tf_weight").withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    weighted = flat(asked, query_col, "idf").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return (dealt.join(weighted, ["number", "__part"])
+            .groupBy(query_col, id_col).agg(F.sum(F.col("idf") * F.col("tf_weight")).alias("score")))
+
+
+def _entries(block: dict, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the block, term number, weight) of all entries, of terms of the vocabulary when one is given."""
+    numbers = np.concatenate([np.asarray(x, dtype=np.int64) for x in block["numbers"]])
+    weights = np.concatenate([np.asarray(x, dtype=np.float64) for x in block["weights"]])
+    owner = np.repeat(np.arange(len(block["numbers"])), [len(x) for x in block["numbers"]])
+    if vocabulary is not None:
+        known = np.isin(numbers, vocabulary)
+        owner, numbers, weights = owner[known], numbers[known], weights[known]
+    return owner, numbers, weights
+
+
+def weight_products(query_key: str):
+    """Score of every query of a block with every row of another: -inf without a common term, or where the row names the query in `apart`."""
+
+    def score(queries: dict, rows: dict) -> np.ndarray:
+        owner, numbers, weights = _entries(queries)
+        vocabulary, place = np.unique(numbers, return_inverse=True)
+        asked = np.zeros((len(queries["numbers"]), len(vocabulary)))
+        asked[owner, place] = weights
+        owner, numbers, weights = _entries(rows, vocabulary)
+        place = np.searchsorted(vocabulary, numbers)
+        n = len(rows["numbers"])
+        out = np.zeros((len(asked), n))
+        # Rows become dense some at a time, so that the size of the queries' vocabulary bounds no memory.
+        step = max(1, CELLS // max(len(vocabulary), 1))
+        for start in range(0, n, step):
+            a, b = np.searchsorted(owner, [start, start + step])
+            size = min(step, n - start)
+            dense = np.bincount((owner[a:b] - start) * len(vocabulary) + place[a:b], weights[a:b], minlength=size * len(vocabulary))
+            out[:, start:start + size] = asked @ dense.reshape(size, len(vocabulary)).T
+        out[out <= 0] = -np.inf
+        if "apart" in rows:
+            at = {x: i for i, x in enumerate(list(queries[query_key]))}
+            for i, names in enumerate(rows["apart"]):
+                out[[at[x] for x in names if x in at], i] = -np.inf
+        return out
+
+    return score
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
               query_col: str = "query_id", query_text: str = "text") -> DataFrame:
-    scored = bm25_scores(docs, queries, id_col, text_col, query_col, query_text)
-    return top_per_group(scored, [query_col], [F.round("score", 9).desc(), F.col(id_col)], k)
+    """The k best documents per query. Blocks of documents meet blocks of queries in one matrix product, so no (query, document) pair ever moves."""
+    rows, asked = _weighed(docs, queries, id_col, text_col, query_col, query_text)
+    fields = ["numbers", "weights"]
+    return blocked_topk(rows, asked, k, weight_products(query_col), fields, fields, id_col, query_col, unrounded=True)
 
 
 def hard_negatives(docs: DataFrame, queries: DataFrame, gold: DataFrame, k: int = 4, id_col: str = "doc_id",
                    text_col: str = "text", query_col: str = "query_id", query_text: str = "text") -> DataFrame:
     """The best-scoring documents per query that are not its gold; ties go to the larger id text."""
-    scored = bm25_scores(docs, queries, id_col, text_col, query_col, query_text).where(F.col("score") > 0)
-    missed = scored.join(gold.select(query_col, id_col).distinct(), [query_col, id_col], "left_anti")
-    return top_per_group(missed, [query_col], [F.round("score", 9).desc(), F.col(id_col).cast("string").desc()], k)
+    rows, asked = _weighed(docs, queries, id_col, text_col, query_col, query_text)
+    apart = gold.groupBy(id_col).agg(F.collect_set(query_col).alias("apart"))
+    none = F.array().cast(apart.schema["apart"].dataType)
+    rows = rows.join(apart, id_col, "left").withColumn("apart", F.coalesce("apart", none))
+    return blocked_topk(rows, asked, k, weight_products(query_col), ["numbers", "weights", "apart"], ["numbers", "weights"], id_col, query_col,
+                        unrounded=True, last_text=True)
 
 
 def missing_gold(gold: DataFrame, corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
