@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import BM25_STOP_WORDS, STOP_WORDS, words
 from ..functions.vectors import hash_embedding
 from ..operators import evaluation, fusion, lexical, nearest
+from ..session import cut_lineage
 from .registry import query, sql_list
 
 
@@ -217,8 +218,9 @@ m AS (SELECT a.arm, a.query_id, (coalesce(h5, 0) > 0)::DOUBLE AS any5, (coalesce
 
 def rankings(t):
     queries, docs = embedded(_queries(t)), embedded(_docs(t))
-    sparse = lexical.bm25_topk(docs, queries, 10)
-    dense = nearest.vector_topk(docs.select("doc_id", "vec"), queries.select("query_id", "vec"), 10)
+    # Each list is an arm and a part of the fused one; written once, it is not made again.
+    sparse = cut_lineage(lexical.bm25_topk(docs, queries, 10))
+    dense = cut_lineage(nearest.vector_topk(docs.select("doc_id", "vec"), queries.select("query_id", "vec"), 10))
     fused = fusion.reciprocal_rank_fusion([sparse, dense], limit=10)
     named = [x.select(F.lit(arm).alias("arm"), "query_id", "doc_id", "rank")
              for arm, x in (("bm25", sparse), ("dense", dense), ("hybrid", fused))]
@@ -228,7 +230,7 @@ def rankings(t):
 @query("retrieval_metrics", METRICS_SQL + """ SELECT arm, count(*) AS n, round(avg(any5), 6) AS any_at_5, round(avg(all5), 6) AS all_at_5,
   round(avg(any10), 6) AS any_at_10, round(avg(all10), 6) AS all_at_10, round(avg(ndcg10), 6) AS ndcg_at_10 FROM m GROUP BY arm""")
 def _metrics(t):
-    gold = lexical.containing(_docs(t), _queries(t), passage_col="query_id")
+    gold = cut_lineage(lexical.containing(_docs(t), _queries(t), passage_col="query_id"))
     scores = evaluation.retrieval_scores(rankings(t), gold)
     names = ["any_at_5", "all_at_5", "any_at_10", "all_at_10", "ndcg_at_10"]
     return evaluation.mean_report(scores, names).select("arm", "n", *[F.round(c, 6).alias(c) for c in names])
