@@ -151,7 +151,8 @@ def order_concepts(t):
 def _recoded(t):
     release, descriptions, _, relationships = part_release(t)
     concept, term, relation = taxonomies.terminology(release, descriptions, relationships)
-    memories = order_concepts(t)
+    # Wordings, changes, links and codes all read the memories: written once, the order lines are joined and grouped once.
+    memories = cut_lineage(order_concepts(t))
     after, touched = recoding.recode(memories, recoding.recodable(memories, term, concept))
     return memories, after, touched, relation
 
@@ -167,7 +168,7 @@ def _recode_degrees(t):
     """Degrees of memories and concepts, shifted by what the re-coding changes only."""
     memories, after, touched, _ = _recoded(t)
     named = memories.withColumn("memory_id", F.col("memory_id").cast("string"))
-    links = recoding.concept_links(named)
+    links = cut_lineage(recoding.concept_links(named))
     before = links.select(F.explode(F.array("memory", "concept")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     shift = recoding.relinked(links, after.withColumn("memory_id", F.col("memory_id").cast("string")), touched.select(F.col("memory_id").cast("string")))[1]
     return recoding.shifted_degrees(before, shift).select("node", "degree")
