@@ -121,7 +121,7 @@ def _forget(t):
 @query("clinical_erasure", f"WITH {APPLY_SQL.replace('ON p_partkey = l_partkey)', 'ON p_partkey = l_partkey WHERE o_custkey % 7 <> 0 AND o_orderkey % 5 <> 0)')} SELECT patient, state, code FROM facts")
 def _erase(t):
     """Every seventh patient and every fifth document of the others is erased, and the guidelines of some brands."""
-    records, relations = order_records(t), part_relations(t)
+    records, relations = cut_lineage(order_records(t)), part_relations(t)
     own = records.withColumn("scope", F.concat(F.lit("patient:"), F.col("patient").cast("string"))).withColumn("document_id", F.col("memory_id"))
     guideline = (t.part.select(F.col("p_brand").alias("document_id")).distinct().withColumns(
         {"scope": F.lit("shared"), "source": F.lit("guideline")}))
