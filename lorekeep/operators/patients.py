@@ -99,6 +99,7 @@ def patient_ask(questions: DataFrame, ranked: DataFrame, scored: DataFrame, head
     """
     shown = top_per_group(ranked, ["query_id"], [F.desc("score"), F.col("memory_id")], MEMORIES).join(
         statements.where("source <> 'guideline'").select("memory_id", "text", "date", "source", "state"), "memory_id")
+    facts = cut_lineage(facts)  # each round reads them
     best = best_applicable(scored.join(questions.select("query_id", "patient"), "query_id"), recommendations, facts, statements)
     best = best.join(recommendations.select("rec_id", "text", "guideline", "strength"), "rec_id")
     return evidence(header.join(questions.select("query_id", "patient"), "patient"), shown, best)
