@@ -115,11 +115,12 @@ def patient_facts(memories: DataFrame, relations: DataFrame) -> DataFrame:
     memories: patient, memory_id, text, state, subject, source, concepts array<struct<key,term,tag>>.
     """
     coded = (own_statements(memories).where(F.col("state").isin("present", "possible", "absent"))
-             .select("patient", "state", F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:"))
-             .select("patient", "state", code_of("c.key").alias("code")).distinct())
+             .select("patient", "state", F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:")).select("patient", "state", code_of("c.key").alias("code")))
     up = ancestor_closure(relations, coded.where("state <> 'absent'").select("code").distinct())
-    closed = coded.where("state <> 'absent'").join(up, "code").select("patient", "state", F.col("ancestor").alias("code"))
-    return closed.unionByName(coded.where("state = 'absent'").select("patient", "state", "code")).distinct()
+    # Rows meet their ancestors as they are read and are made distinct once, behind that.
+    above = up.groupBy("code").agg(F.collect_list("ancestor").alias("above"))
+    closed = F.when(F.col("state") == "absent", F.array("code")).otherwise(F.col("above"))
+    return coded.join(above, "code", "left").select("patient", "state", F.explode(closed).alias("code")).distinct()
 
 
 def applicability(recommendations: DataFrame, patients: DataFrame, facts: DataFrame, memories: DataFrame) -> DataFrame:
@@ -132,46 +133,54 @@ def applicability(recommendations: DataFrame, patients: DataFrame, facts: DataFr
     def parts(column, role):
         items = F.transform(F.coalesce(column, empty), lambda c, i: F.struct(c["key"].alias("key"), c["term"].alias("term"), i.alias("n")))
         return recommendations.select("rec_id", F.lit(role).alias("role"), F.explode(items).alias("c")).select("rec_id", "role", "c.key", "c.term", "c.n")
-    wanted = parts("conditions", "condition").unionByName(parts("exclusions", "exclusion"))
-    asked = patients.join(wanted, "rec_id")
-    states = facts.groupBy("patient", F.concat(F.lit("sct:"), "code").alias("key")).agg(
-        F.bool_or(F.col("state") == "present").alias("present"), F.bool_or(F.col("state") == "absent").alias("absent"), F.bool_or(F.col("state") == "possible").alias("possible"))
-    coded = asked.where(F.col("key").startswith("sct:")).join(states, ["patient", "key"], "left").withColumn("state", F.when(F.col("present"), F.lit("met")).when(
-        F.col("absent"), F.lit("absent")).when(F.col("possible"), F.lit("possible")).otherwise(F.lit("unmet")))
+    wanted = parts("conditions", "condition").unionByName(parts("exclusions", "exclusion")).where(F.col("key").isNotNull())
+    coded = F.col("key").startswith("sct:")
+    # Only what a recommendation names is kept of a patient's facts.
+    named = facts.select("patient", "state", F.concat(F.lit("sct:"), "code").alias("key")).join(wanted.select("key").distinct(), "key", "left_semi")
+    strongest = F.min(F.when(F.col("state") == "present", 0).when(F.col("state") == "absent", 1).when(F.col("state") == "possible", 2))
+    states = named.groupBy("patient", "key").agg(strongest.alias("s")).where("s is not null").select(
+        "patient", "key", F.element_at(F.array(F.lit("met"), F.lit("absent"), F.lit("possible")), F.col("s") + 1).alias("state"))
 
     # A free-text item holds when one present finding has all its words: count shared words per (finding, item).
-    free = asked.where(~F.col("key").startswith("sct:")).withColumn("words", F.array_distinct(F.filter(F.split(code_of("key"), " "), lambda w: w != "")))
-    findings = own_statements(memories).where("state = 'present'").select("patient", "memory_id", F.explode(F.array_distinct(norm_words(F.col("text")))).alias("word"))
-    sought = free.select("patient", "key", F.size("words").alias("size"), F.explode("words").alias("word")).distinct()
+    free = wanted.where(~coded).withColumn("words", F.array_distinct(F.filter(F.split(code_of("key"), " "), lambda w: w != "")))
+    terms_ = free.select("rec_id", "key", F.size("words").alias("size"), F.explode("words").alias("word"))
+    findings = (own_statements(memories).where("state = 'present'").select("patient", "memory_id", F.explode(F.array_distinct(norm_words(F.col("text")))).alias("word"))
+                .join(terms_.select("word").distinct(), "word", "left_semi"))
+    sought = patients.join(terms_, "rec_id").select("patient", "key", "size", "word").distinct()
     held = (sought.join(findings, ["patient", "word"]).groupBy("patient", "key", "size", "memory_id").agg(F.count(F.lit(1)).alias("n"))
-            .where("n = size").select("patient", "key").distinct().withColumn("__held", F.lit(True)))
-    texts = free.join(held, ["patient", "key"], "left").withColumn("state", F.when(F.col("__held"), F.lit("text")).otherwise(F.lit("unknown")))
+            .where("n = size").select("patient", "key", F.lit("text").alias("state")).distinct())
 
-    columns = ["patient", "rec_id", "role", "term", "n", "state"]
-    judged = coded.select(columns).unionByName(texts.select(columns))
-    table = F.create_map(*[F.lit(x) for pair in STATE_FACTORS.items() for x in pair])
-    condition = F.col("role") == "condition"
-    def terms_of(states_, role=condition):
-        kept = F.collect_list(F.when(role & F.col("state").isin(states_), F.struct("n", "term")))
-        return F.transform(F.array_sort(kept), lambda x: x["term"])
-    rolled = judged.groupBy("patient", "rec_id").agg(
-        F.product(F.when(condition, F.element_at(table, F.col("state"))).otherwise(F.lit(1.0))).alias("product"), F.count_if(condition).alias("conditions"),
-        terms_of(["met", "text"]).alias("met"), terms_of(["possible"]).alias("possible"), terms_of(["unknown"]).alias("unverified"), terms_of(["unmet", "absent"]).alias("not_met"),
-        terms_of(["met", "text"], ~condition).alias("excluded_by"))
+    # A patient's states of the named items in one row, beside the items of each recommendation: pairs are judged where they meet, no item travels.
+    known = states.unionByName(held).groupBy("patient").agg(F.map_from_entries(F.collect_list(F.struct("key", "state"))).alias("__known"))
+    items = wanted.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("n", "term", "key", "role"))).alias("__items"))
+    rows = patients.join(items, "rec_id", "left").join(known, "patient", "left")
     none = F.array().cast("array<string>")
-    rows = patients.join(rolled, ["patient", "rec_id"], "left")
-    excluded = F.size(F.coalesce("excluded_by", none)) > 0
-    factor = F.when(excluded, 0.0).when(F.coalesce("conditions", F.lit(0)) == 0, STATE_FACTORS["unknown"]).otherwise(F.col("product"))
-    def shown(c):
-        return F.when(excluded, none).otherwise(F.coalesce(c, none)).alias(c)
-    return rows.select("patient", "rec_id", factor.alias("factor"), shown("met"), shown("possible"), shown("unverified"), shown("not_met"), F.coalesce("excluded_by", none).alias("excluded_by"))
+    def state_of(c):
+        return F.coalesce(F.element_at("__known", c["key"]), F.when(c["key"].startswith("sct:"), "unmet").otherwise("unknown"))
+    asked = F.when(F.col("patient").isNotNull(), F.transform("__items", lambda c: F.struct(c["role"].alias("role"), c["term"].alias("term"), state_of(c).alias("state"))))
+    rows = rows.select("patient", "rec_id", F.coalesce(asked, F.array().cast("array<struct<role:string,term:string,state:string>>")).alias("__asked"))
+    def terms_of(states_, role="condition"):
+        return F.transform(F.filter("__asked", lambda c: (c["role"] == role) & c["state"].isin(states_)), lambda c: c["term"])
+    table = F.create_map(*[F.lit(x) for pair in STATE_FACTORS.items() for x in pair])
+    conditions = F.filter("__asked", lambda c: c["role"] == "condition")
+    product = F.aggregate(conditions, F.lit(1.0), lambda p, c: p * F.element_at(table, c["state"]))
+    rows = rows.withColumn("excluded_by", terms_of(["met", "text"], "exclusion"))
+    excluded = F.size("excluded_by") > 0
+    factor = F.when(excluded, 0.0).when(F.size(conditions) == 0, STATE_FACTORS["unknown"]).otherwise(product)
+    def shown(states_, name):
+        return F.when(excluded, none).otherwise(terms_of(states_)).alias(name)
+    return rows.select("patient", "rec_id", factor.alias("factor"), shown(["met", "text"], "met"), shown(["possible"], "possible"), shown(["unknown"], "unverified"),
+                       shown(["unmet", "absent"], "not_met"), "excluded_by")
 
 
 def header_slots(memories: DataFrame, relations: DataFrame, allergy_roots: list[str], header_codes: list[str]) -> DataFrame:
     """Adds `slot` to the patient's statements: a stored one, else allergies, results or problems by their concepts."""
     rows = memories.where((F.col("source") != "ai") & (F.col("subject") == "patient") & F.col("state").isin("present", "possible"))
-    codes = rows.select(F.explode("concepts").alias("c")).where(F.col("c.key").startswith("sct:")).select(code_of("c.key").alias("code")).distinct()
-    allergic = ancestor_closure(relations, codes).where(F.col("ancestor").isin(allergy_roots or [""])).select(F.concat(F.lit("sct:"), "code").alias("key")).distinct()
+    # What lies below the roots is fewer than what lies above all recorded codes.
+    listed = F.array(*[F.lit(r) for r in allergy_roots]).cast("array<string>")
+    roots = relations.sparkSession.range(1).select(F.explode(listed).alias("root")).withColumn("node", F.col("root"))
+    down = relations.where(F.col("type") == IS_A).select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    allergic = closure(roots, down, "root").select(F.concat(F.lit("sct:"), "node").alias("key")).distinct()
     flagged = (rows.select("memory_id", F.explode("concepts").alias("c")).select("memory_id", F.col("c.key").alias("key"))
                .join(allergic, "key", "left_semi").select("memory_id").distinct().withColumn("__allergy", F.lit(True)))
     disorder = F.exists("concepts", lambda c: c["tag"] == "disorder")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clinical, spreading
+from ..session import cut_lineage
 from ..sources import fhir, taxonomies
 from .registry import query
 
@@ -124,8 +125,9 @@ def _resolve(t):
 
 def order_records(t) -> DataFrame:
     """Orders as statements about customers: finished ones present, open ones possible, pending ones absent; parts as concepts."""
-    parts = (t.lineitem.select("l_orderkey", F.concat(F.lit("sct:1"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("key")).distinct()
-             .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("key", F.col("key").alias("term"), F.lit("product").alias("tag")))).alias("concepts")))
+    code = F.struct(F.concat(F.lit("sct:1"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("key"))
+    parts = (t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(code)).alias("c"))
+             .select("o_orderkey", F.transform("c", lambda c: F.struct(c["key"].alias("key"), c["key"].alias("term"), F.lit("product").alias("tag"))).alias("concepts")))
     state = F.when(F.col("o_orderstatus") == "F", F.lit("present")).when(F.col("o_orderstatus") == "O", F.lit("possible")).otherwise(F.lit("absent"))
     return t.orders.join(parts, "o_orderkey").select(
         F.col("o_custkey").alias("patient"), F.col("o_orderkey").cast("string").alias("memory_id"), F.lower("o_orderpriority").alias("text"), state.alias("state"), F.lit("patient").alias("subject"),
@@ -142,7 +144,7 @@ facts AS (SELECT DISTINCT patient, CASE st WHEN 'F' THEN 'present' WHEN 'O' THEN
 
 @query("patient_facts", f"WITH {APPLY_SQL} SELECT patient, state, code FROM facts")
 def _facts(t):
-    return clinical.patient_facts(order_records(t), part_relations(t))
+    return clinical.patient_facts(cut_lineage(order_records(t)), part_relations(t))
 
 
 @query("applicability", f"""WITH {APPLY_SQL},
@@ -157,7 +159,7 @@ j AS (SELECT a.patient, a.rec_id, b.pr, b.po, b.ab, coalesce(e.pr, false) AS exc
 SELECT patient, rec_id, round(CASE WHEN excluded THEN 0.0 ELSE (CASE WHEN pr THEN 1.0 WHEN ab THEN 0.05 WHEN po THEN 0.6 ELSE 0.2 END) * (CASE WHEN urgent THEN 0.9 ELSE 0.35 END)
   * (CASE WHEN cp THEN 1.0 WHEN ca THEN 0.05 WHEN co THEN 0.6 ELSE 0.2 END) END::DOUBLE, 6) AS factor FROM j""")
 def _apply(t):
-    records, relations = order_records(t), part_relations(t)
+    records, relations = cut_lineage(order_records(t)), part_relations(t)  # read by pairs, facts and findings
     part = F.concat(F.lit("1"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     brand = F.concat(F.lit("9"), F.regexp_extract("p_brand", r"(\d+)", 1))
     codes = t.part.select(part.alias("part"), brand.alias("rec_id"))
