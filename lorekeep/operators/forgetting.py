@@ -1,7 +1,7 @@
 """Forgetting: what goes with deleted memories, documents, patients and guidelines, and nothing else.
 
-Support counting: a node that others name goes when its last remaining namer goes. Each round reads only the links of what fell in the round
-before, and counts the namers only of nodes that lost one, so the work follows what is deleted and not what is stored.
+Support counting: a node that others name goes when its last remaining namer goes. Namers are counted once; the first round reads all links, each
+later one only those between nodes that are named themselves, so stored memories are not read again.
 Nodes that only name each other in a circle keep each other.
 """
 
@@ -20,16 +20,19 @@ def fallen(supports: DataFrame, gone: DataFrame) -> DataFrame:
     supports: (namer, named). What nothing ever named stays unless it is in `gone`.
     """
     links = cut_lineage(supports.select("namer", "named").distinct())
+    totals = cut_lineage(links.groupBy("named").agg(F.count(F.lit(1)).alias("namers")))
     frontier = cut_lineage(gone.select("node").distinct().withColumn("round", F.lit(0)))
     out, lost, number = frontier, None, 0
     while not is_empty(frontier):
         number += 1
         hit = links.join(frontier.select(F.col("node").alias("namer")), "namer", "left_semi").groupBy("named").agg(F.count(F.lit(1)).alias("lost"))
         lost = cut_lineage(hit if lost is None else lost.unionByName(hit).groupBy("named").agg(F.sum("lost").alias("lost")))
-        namers = links.join(lost.select("named"), "named", "left_semi").groupBy("named").agg(F.count(F.lit(1)).alias("namers"))
-        empty = lost.join(namers, "named").where("lost = namers").select(F.col("named").alias("node"))
+        empty = lost.join(totals, "named").where("lost = namers").select(F.col("named").alias("node"))
         frontier = cut_lineage(empty.join(out.select("node"), "node", "left_anti").withColumn("round", F.lit(number)))
         out = out.unionByName(frontier)
+        if number == 1:
+            # What falls from here on was named by something, so only links from such nodes are followed.
+            links = cut_lineage(links.join(totals.select(F.col("named").alias("namer")), "namer", "left_semi"))
     return out
 
 
@@ -42,13 +45,14 @@ def forget_memories(memories: DataFrame, entities: DataFrame, wanted: DataFrame)
     def node(kind: str, name):
         return F.concat_ws("\x1f", F.lit(kind), F.col("scope"), name)
 
-    named = memories.select("scope", "id", F.explode("entities").alias("n"))
+    asked = wanted.select("scope", "id", F.lit(True).alias("__wanted")).distinct()
+    marked = cut_lineage(memories.join(asked, ["scope", "id"], "left"))
+    held, kept = marked.where("__wanted"), marked.where("__wanted is null").select(memories.columns)
+    named = marked.select("scope", "id", F.explode("entities").alias("n"))
     supports = named.select(node("m", F.col("id").cast("string")).alias("namer"), node("e", norm(F.col("n"))).alias("named"))
     classes = entities.select("scope", "name", F.explode("is_a").alias("n"))
     supports = supports.unionByName(classes.select(node("e", norm(F.col("name"))).alias("namer"), node("e", norm(F.col("n"))).alias("named")))
-    held = memories.join(wanted.select("scope", "id").distinct(), ["scope", "id"], "left_semi")
     gone = cut_lineage(fallen(supports, held.select(node("m", F.col("id").cast("string")).alias("node"))))
-    kept = memories.join(wanted.select("scope", "id").distinct(), ["scope", "id"], "left_anti")
     left = entities.withColumn("__node", node("e", norm(F.col("name")))).join(gone.select(F.col("node").alias("__node")), "__node", "left_anti").select(entities.columns)
     return kept, left, held.groupBy("scope").agg(F.count(F.lit(1)).alias("forgotten"))
 

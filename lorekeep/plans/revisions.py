@@ -105,7 +105,7 @@ def _forget(t):
     """All but every fortieth order is forgotten; parts fall with their last order, boxes with their last part, containers with their last box."""
     scope = F.concat(F.lit("u"), (F.col("o_custkey") % 3).cast("string")).alias("scope")
     part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
-    ordered = t.orders.select(scope, F.col("o_orderkey").alias("id")).join(t.lineitem.select(F.col("l_orderkey").alias("id"), "l_partkey", part.alias("part")), "id")
+    ordered = cut_lineage(t.orders.select(scope, F.col("o_orderkey").alias("id")).join(t.lineitem.select(F.col("l_orderkey").alias("id"), "l_partkey", part.alias("part")), "id"))
     memories = ordered.groupBy("scope", "id").agg(F.collect_set("part").alias("entities"))
     box = F.concat(F.lit("box "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand"))
     container = F.concat(F.lit("container "), F.col("p_brand"))
@@ -113,7 +113,7 @@ def _forget(t):
     entities = (parts.select("scope", F.col("part").alias("name"), F.array("box").alias("is_a"))
                 .unionByName(parts.select("scope", F.col("box").alias("name"), F.array("container").alias("is_a")).distinct())
                 .unionByName(parts.select("scope", F.col("container").alias("name"), F.array().cast("array<string>").alias("is_a")).distinct()))
-    kept, left, count = forgetting.forget_memories(memories, entities, memories.where("id % 40 <> 1").select("scope", "id"))
+    kept, left, count = forgetting.forget_memories(memories, cut_lineage(entities), ordered.where("id % 40 <> 1").select("scope", "id"))
     return (kept.select("scope", F.lit("memory").alias("kind"), F.col("id").cast("string").alias("name")).unionByName(left.select("scope", F.lit("entity").alias("kind"), "name"))
             .unionByName(count.select("scope", F.lit("forgotten").alias("kind"), F.col("forgotten").cast("string").alias("name"))))
 
