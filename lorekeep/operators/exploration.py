@@ -41,13 +41,14 @@ def pair_scores(pairs: DataFrame, nodes: DataFrame, needs: DataFrame, lexical: f
 
 def root_candidates(needs: DataFrame, questions: DataFrame, inputs: DataFrame, limit: int) -> DataFrame:
     """(need_key, node_id, score, rank): index hits for the need and for the question, best score per node."""
-    own = hybrid_topk(inputs, needs.select(F.col("need_key").alias("query_id"), F.col("description").alias("text"), "vec"), limit)
-    asked = hybrid_topk(inputs, questions.select("query_id", "text", "vec"), limit)
-    # A need that restates the question shares its search.
+    # A need that restates the question shares its search; both kinds are searched together, so the nodes are read once.
     same = F.lower(F.trim("description")) == F.lower(F.trim("text"))
-    differing = needs.join(questions.select("query_id", "text"), "query_id").where(~same).select("need_key", "query_id")
-    lists = [own.select(F.col("query_id").alias("need_key"), "node_id", "score"),
-             asked.join(differing, "query_id").select("need_key", "node_id", "score")]
+    differing = needs.join(questions.select("query_id", "text"), "query_id").where(~same).select("need_key", F.concat(F.lit("q:"), F.col("query_id").cast("string")).alias("query_id"))
+    other = questions.select(F.concat(F.lit("q:"), F.col("query_id").cast("string")).alias("query_id"), "text", "vec").join(differing.select("query_id").distinct(), "query_id", "left_semi")
+    searched = needs.select(F.concat(F.lit("n:"), "need_key").alias("query_id"), F.col("description").alias("text"), "vec").unionByName(other)
+    found = cut_lineage(hybrid_topk(inputs, searched, limit))
+    own = found.where(F.col("query_id").startswith("n:")).withColumn("need_key", F.substring("query_id", F.lit(3), F.length("query_id")))
+    lists = [own.select("need_key", "node_id", "score"), found.join(differing, "query_id").select("need_key", "node_id", "score")]
     return fusion.best_per_need(lists, limit, "need_key", "node_id")
 
 
@@ -95,10 +96,12 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     relevance = relevance or lexical_check
     needs = cut_lineage(needs.withColumn("need_key", F.concat_ws("|", "query_id", "need_id")).withColumn("terms", terms(F.col("description"))))
     inputs = cut_lineage(rank_inputs(nodes.withColumnRenamed("id", "node_id")))
-    # Every leaf's words are cut once; the checks only intersect them.
-    leaves = cut_lineage(nodes.where(F.col("kind").isin("Chunk", "Assertion", "Document") & (F.length("text") > 0)).select(
-        F.col("id").alias("node_id"), "kind", "text", words(F.col("text")).alias("text_words")))
-    kinds = nodes.select(F.col("id").alias("node_id"), graph.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_leaf")).alias("retrievable"))
+    def leaves(branches):
+        """The leaves that branches name; their words are cut once and the checks only intersect them."""
+        rows = nodes.where(F.col("kind").isin("Chunk", "Assertion", "Document") & (F.length("text") > 0)).select(F.col("id").alias("node_id"), "kind", "text")
+        rows = rows.join(branches.select("node_id").distinct(), "node_id", "left_semi")
+        return rows.withColumn("text_words", words(F.col("text")))
+    kinds = cut_lineage(nodes.select(F.col("id").alias("node_id"), graph.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_leaf")).alias("retrievable")))
     owner = needs.select("need_key", "query_id")
 
     if starts is None:
@@ -111,7 +114,8 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     root = cut_lineage(root.select("query_id", "need_key", "node_id", "score", "rank", "retrievable", "action", "reason"))
 
     selected = within_budget(root.where("action = 'SELECT'"), p.nodes)
-    first = cut_lineage(check(selected, needs, leaves, provenance, relevance))
+    near_root = cut_lineage(leaves(root.where("action <> 'PRUNE'")))
+    first = cut_lineage(check(selected, needs, near_root, provenance, relevance))
 
     # One hop of expansion, only for needs the leaves left without evidence (every need in a dossier).
     waiting = root.where("action = 'EXPAND'")
@@ -120,7 +124,7 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     asked = needs.select("query_id").distinct()
     expanded = cut_lineage(within_budget(waiting, budget_left(asked, p.nodes, selected)))
     # A node that is opened is read as well: leaves chosen for expansion are evidence like selected ones.
-    first = cut_lineage(first.unionByName(check(expanded, needs, leaves, provenance, relevance)))
+    first = cut_lineage(first.unionByName(check(expanded, needs, near_root, provenance, relevance)))
     near = (graph.both_directions(edges).join(expanded.select(F.col("node_id").alias("node"), "need_key").distinct(), "node")
             .select("need_key", F.col("node").alias("parent_id"), F.col("neighbour").alias("node_id")).distinct()
             .join(root.where("action <> 'PRUNE'").select("need_key", "node_id"), ["need_key", "node_id"], "left_anti")
@@ -130,7 +134,7 @@ def explore(needs: DataFrame, questions: DataFrame, nodes: DataFrame, edges: Dat
     best = Window.partitionBy("need_key", "node_id").orderBy(F.col("score").desc(), "parent_id")
     children = cut_lineage(children.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r"))
     chosen = within_budget(children.where("action = 'SELECT'"), budget_left(asked, p.nodes, selected, expanded))
-    second = check(chosen, needs, leaves, provenance, relevance)
+    second = check(chosen, needs, leaves(chosen), provenance, relevance)
 
     hits = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
     evidence = merge_evidence(hits, needs)
