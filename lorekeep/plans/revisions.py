@@ -267,6 +267,7 @@ def _fuzzy(t):
     """Parts by name and brand against a tenth of them as stored concepts, some with the brand among their aliases."""
     vectors = t.embeddings.agg(F.count(F.lit(1))).scalar()
     rows = t.part.withColumn("vec_id", F.col("p_partkey") % vectors).join(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
+    rows = cut_lineage(rows)  # specs and stored concepts, each read by several steps
     label, none = F.concat_ws(" ", "p_name", "p_brand"), F.array().cast("array<string>")
     specs = rows.select(F.col("p_partkey").cast("string").alias("spec_id"), label.alias("label"), none.alias("aliases"), F.col("p_type").alias("description"), "vec")
     stored = rows.where("p_size <= 10 and p_partkey % 4 = 0").select(
