@@ -9,7 +9,8 @@ share at least one. That is exact, so every link is found; links are then checke
 
 What keeps this linear:
 
-- Equal sets meet by their key first. Only one of them per task signs, and only one per signature is paired.
+- Equal sets meet by their key first. Only one of them per task signs, and only one per signature is paired. A set goes by
+  48 bits of its key until pairs are found, so neither document ids nor whole keys travel with signatures.
 - Signatures travel as packed arrays, cut into buckets by their value; the number of buckets follows their number. Each
   task hands on one entry per frequent signature (more than `CROWD` sets) and the chain that joins its holders, so a hot
   signature never gathers in one place.
@@ -197,13 +198,15 @@ def _chains(order: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return order[np.repeat(first, size)], order[np.repeat(first, size) + inside]
 
 
+#: Bits of a set's key that name the set where its signatures meet.
+NAME = (1 << 48) - 1
 #: An entry of a bucket: signature, document, its set's key, band side and part, and whether the signature is frequent.
 ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("set", "<i8"), ("part", "<i4"), ("hot", "u1")])
 
 
 def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) -> DataFrame:
-    """(a, b, side, part): pairs of documents that share a rare signature (side -1) or are chained by a frequent one (-2), all
-    to be checked, and parts of document a (side 0 or 1) that a frequent signature spoils."""
+    """(a, b, side, part) of set names: pairs that share a rare signature (side -1) or are chained by a frequent one (-2), all to
+    be checked, and parts of set a (side 0 or 1) that a frequent signature spoils."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         spoiled: list[tuple] = []
@@ -211,7 +214,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
         count = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            sig, doc, key, part = (np.concatenate(x) for x in zip(*held))
+            sig, doc, part = (np.concatenate(x) for x in zip(*held))
             order, first, size = _crowds(sig)
             keep, hot = np.ones(len(sig), bool), np.zeros(len(sig), np.uint8)
             crowd = size > CROWD
@@ -219,9 +222,11 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
             keep[member[member != head]] = False
             hot[head] = 1
             entry = np.zeros(int(keep.sum()), ENTRY)
-            for name, values in (("sig", sig), ("doc", doc), ("set", key), ("part", part), ("hot", hot)):
+            # 24 bits of a signature: its bucket and part tell it too, and one that meets another by chance only costs a check.
+            short = sig >> np.uint64(40) << np.uint64(24)
+            for name, values in (("sig", short), ("doc", doc), ("set", doc), ("part", part), ("hot", hot)):
                 entry[name] = values[keep]
-            bucket = (entry["sig"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (sig[keep] % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((entry["doc"], bucket))
             entry, bucket = entry[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -250,9 +255,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
             texts = strings(batch.column(1))
             for low, high in pieces(texts):
                 hashes, offsets = shingles(texts.slice(low, high - low), words)
-                ids = batch.column(0).slice(low, high - low)
-                known = np.asarray(ids.is_valid())
-                ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                known = np.array(batch.column(0).slice(low, high - low).is_valid())
                 sums = np.zeros(len(hashes) + 1, np.uint64)
                 np.cumsum(mix(hashes), out=sums[1:])
                 keys = mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
@@ -263,7 +266,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
                 sig, text, lower, filled, part, whole, needed = signatures(hashes, offsets, similar)
                 use = known[text] & (filled | (whole < needed)[text, lower])
                 text = text[use]
-                held.append((sig[use], ids[text], keys[text], (part[use] << 1 | lower[use]).astype(np.int64)))
+                held.append((sig[use], (keys & NAME)[text], (part[use] << 1 | lower[use]).astype(np.int64)))
                 count += len(text)
                 if count >= HELD_SIGNATURES:
                     yield from hand_on()
@@ -275,6 +278,7 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
         blobs = [x for x in table.column("entries").to_pylist() if x is not None]
         entry = np.concatenate([_unpacked(x) for x in blobs]) if blobs else np.zeros(0, ENTRY)
         done = [np.frombuffer(x, "<i8").reshape(-1, 4) for x in table.column("facts").to_pylist() if x is not None]
+        entry["sig"] |= (entry["part"] >> 1).astype(np.uint64) << np.uint64(24)
         entry = entry[np.lexsort((entry["doc"], entry["sig"]))]
         sig, doc, key = entry["sig"], entry["doc"], entry["set"]
         order, first, size = _crowds(sig)
@@ -308,60 +312,72 @@ def first_candidates(docs: DataFrame, words: int, similar: int, buckets: int) ->
     return signed.groupBy("bucket").applyInArrow(meet, "a long, b long, side long, part long").distinct()
 
 
+def _planes(values: np.ndarray, least: int = 0) -> tuple[int, bytes]:
+    """(bytes per value, the values' lowest bytes, then their next ones, ...): as many as the largest needs. Bytes that are mostly
+    zero lie together, where the shuffle's compression takes them."""
+    width = max(least, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return width, values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+#: What stands before the columns of packed entries: their number, the documents' and the first document, bytes per value of each column.
+HEAD = np.dtype([("entries", "<u4"), ("docs", "<u4"), ("least", "<u8"), ("width", "u1", 5)])
+
+
 def _packed(entry: np.ndarray) -> bytes:
-    """Entries in document order, column by column: documents as steps from one to the next, each with its set and the number of its
-    entries once. Columns are as wide as their values need."""
+    """Entries in document order, column by column: documents as steps from one to the next, each with the number of its entries and,
+    unless it goes by it, its set's name once. Columns are as wide as their values need."""
     first = np.flatnonzero(np.concatenate([[True], entry["doc"][1:] != entry["doc"][:-1]]))
-    docs = entry["doc"][first].view(np.uint64)
-    steps, many, part = np.diff(docs), np.diff(np.append(first, len(entry))), entry["part"]
-    width = [4 if values.max(initial=0) >= limit else 2 for values, limit in ((part, 1 << 16), (many, 1 << 8))] + [8 if steps.max(initial=0) >= 1 << 32 else 4]
-    head = np.array([len(entry), len(first), docs[0], *width], np.uint64)
-    # 40 bits of a signature and 48 of a set's key: a signature that meets another by chance only costs a check, keys are compared under one signature only.
-    sig = entry["sig"]
-    return b"".join([head.tobytes(), steps.astype("<u8" if width[2] == 8 else "<u4").tobytes(), entry["set"][first].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                     many.astype("<u4" if width[1] == 4 else "u1").tobytes(), (sig >> np.uint64(32)).astype("<u4").tobytes(), (sig >> np.uint64(24)).astype("u1").tobytes(),
-                     part.astype("<u4" if width[0] == 4 else "<u2").tobytes(), np.packbits(entry["hot"]).tobytes()])
+    docs, names = entry["doc"][first].view(np.uint64), entry["set"][first].view(np.uint64) & np.uint64(NAME)
+    own = (0, b"") if (names == docs).all() else _planes(names, 1)
+    columns = [_planes(np.diff(docs)), own, *[_planes(x) for x in (np.diff(np.append(first, len(entry))), entry["sig"] >> np.uint64(24), entry["part"])]]
+    head = np.array([(len(entry), len(first), docs[0], [width for width, _ in columns])], HEAD)
+    return b"".join([head.tobytes(), *[x for _, x in columns], np.packbits(entry["hot"]).tobytes()])
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    count, docs, start, part, many, step = np.frombuffer(blob, np.uint64, 6).tolist()
-    at = 48
+    head = np.frombuffer(blob, HEAD, 1)[0]
+    count, docs, width = int(head["entries"]), int(head["docs"]), head["width"].tolist()
+    at = HEAD.itemsize
 
-    def take(kind: str, number: int) -> np.ndarray:
+    def take(column: int, number: int) -> np.ndarray:
         nonlocal at
-        found = np.frombuffer(blob, kind, number, at)
-        at += found.nbytes
-        return found
-
-    ids = np.cumsum(np.concatenate([np.array([start], np.uint64), take("<u8" if step == 8 else "<u4", docs - 1).astype(np.uint64)]), dtype=np.uint64)
-    sets = np.zeros((docs, 8), np.uint8)
-    sets[:, :6] = take("u1", 6 * docs).reshape(-1, 6)
-    times = take("<u4" if many == 4 else "u1", docs)
+        found = np.zeros((number, 8), np.uint8)
+        found[:, :width[column]] = np.frombuffer(blob, np.uint8, number * width[column], at).reshape(width[column], number).T
+        at += number * width[column]
+        return found.reshape(-1).view("<u8")
+
+    ids = np.cumsum(np.concatenate([head["least"][None], take(0, docs - 1)]), dtype=np.uint64)
+    names = take(1, docs) if width[1] else ids & np.uint64(NAME)
+    times = take(2, docs).astype(np.int64)
     entry = np.zeros(count, ENTRY)
-    entry["sig"] = take("<u4", count).astype(np.uint64) << np.uint64(8) | take("u1", count)
-    entry["doc"], entry["set"] = np.repeat(ids.view(np.int64), times), np.repeat(sets.reshape(-1).view("<i8"), times)
-    entry["part"] = take("<u4" if part == 4 else "<u2", count)
-    entry["hot"] = np.unpackbits(take("u1", (count + 7) // 8), count=count)
+    entry["doc"], entry["set"] = np.repeat(ids.view(np.int64), times), np.repeat(names.view("<i8"), times)
+    entry["sig"], entry["part"] = take(3, count), take(4, count)
+    entry["hot"] = np.unpackbits(np.frombuffer(blob, np.uint8, (count + 7) // 8, at), count=count)
     return entry
 
 
-def linked_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, similar: int) -> DataFrame:
-    """Those of the (a, b) pairs whose sets reach the similarity, checked on the whole sets."""
+def close_candidates(sets: DataFrame, lead: DataFrame, pairs: DataFrame, similar: int) -> DataFrame:
+    """(a, b): documents that stand for the sets of the (a, b) pairs of names, where neither sizes nor sketches rule the pair out."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(2).to_numpy() + batch.column(4).to_numpy()
             keep = [not far_apart(x, y, s, similar) for x, y, s in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), size.tolist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    # Sizes rule out most pairs; sketches travel only for the documents of those left.
-    sizes = sets.where("n > 0").select("id", "n")
-    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    sized = cut_lineage(sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar))
-    asked = sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id"))).distinct()
-    sketches = cut_lineage(sets.select("id", "sketch").join(asked, "id", "left_semi"))
-    sized = (sized.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a")
-             .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b"))
-    close = cut_lineage(sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(near, "a long, b long").distinct())
+    sized = pairs
+    for end in ("a", "b"):
+        sized = sized.join(lead.select(F.col("name").alias(end), F.col("id").alias(f"id_{end}"), F.col("n").alias(f"n_{end}")), end)
+    sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar).where("id_a <> id_b")
+    sized = cut_lineage(sized.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b"))
+    # All sketches move once, for both joins: fewer bytes than to move them, and those asked for again, to pick these first.
+    sized = (sized.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a")
+             .join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b"))
+    return sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(near, "a long, b long").distinct()
+
+
+def linked_pairs(docs: DataFrame, close: DataFrame, words: int, similar: int) -> DataFrame:
+    """Those of the (a, b) pairs whose sets reach the similarity, checked on the whole sets."""
+    close = cut_lineage(close)
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     content = hashed_sets(docs.join(ids, "id", "left_semi"), words)
     both = (close.join(content.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
@@ -415,10 +431,11 @@ def close_pairs(left: dict, right: dict, similar: int) -> tuple[np.ndarray, np.n
 
 
 def second_candidates(sets: DataFrame, short: DataFrame, chained: DataFrame, found: DataFrame, similar: int) -> DataFrame:
-    """(a, b): pairs of the documents in `short` that frequent signatures chain together, whose components differ so far and
-    whose sketches do not rule them out."""
+    """(a, b): pairs of the documents in `short` whose sets frequent signatures chain together, whose components differ so far and
+    whose sizes and sketches do not rule them out."""
     family = connected_components(chained.select(F.col("a").alias("id")).union(chained.select(F.col("b").alias("id"))), chained)
-    rows = (sets.join(short, "id", "left_semi").select("id", "n", "sketch").join(family.withColumnRenamed("component", "family"), "id").join(found, "id"))
+    rows = (sets.join(short, ["id", "name"], "left_semi").select("id", "name", "n", "sketch")
+            .join(family.select(F.col("id").alias("name"), F.col("component").alias("family")), "name").join(found, "id"))
     lows, _ = bands(similar, int(rows.agg(F.max("n")).first()[0] or 1))
     # The bands of a set and, as the larger partner, the one below: similar sets have one in common.
     band = F.size(F.filter(F.array(*[F.lit(int(x)) for x in lows]), lambda x: x <= F.col("n")))
@@ -456,25 +473,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = cut_lineage(shingle_sets(docs, words, similar))
     total = sets.agg(F.sum(F.col("need_0") + F.col("need_1"))).first()[0] or 0
     buckets = max(64, 4 * total // BUCKET_SIGNATURES)
-    filled = sets.where("n > 0 and id is not null")
+    filled = sets.where("n > 0 and id is not null").withColumn("name", F.col("key_a").bitwiseAND(NAME))
     key = ["key_a", "key_b"]
-    lead = filled.groupBy(*key).agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("whole_0", "whole_1", "need_0", "need_1")])
-    copies = filled.join(lead.select(*key, F.col("id").alias("b")), key).where("id <> b").select(F.col("id").alias("a"), "b")
+    # The document with the smallest id stands for all with its set.
+    lead = cut_lineage(filled.groupBy(*key, "name").agg(F.min("id").alias("id"), (F.max("id") > F.min("id")).alias("copied"), *[
+        F.first(c).alias(c) for c in ("n", "whole_0", "whole_1", "need_0", "need_1")]))
+    copies = filled.join(lead.where("copied").select(*key, F.col("id").alias("b")), key).where("id <> b").select(F.col("id").alias("a"), "b")
     facts = cut_lineage(first_candidates(docs, words, similar, buckets))
-    pairs = facts.where("side < 0").select("a", "b").distinct()
-    links = cut_lineage(linked_pairs(docs, filled, pairs, words, similar).union(copies).distinct())
+    close = close_candidates(filled, lead, facts.where("side < 0").select("a", "b").distinct(), similar)
+    links = cut_lineage(linked_pairs(docs, close, words, similar).union(copies).distinct())
     found = connected_components(filled.select("id"), links)
 
-    # Sets that frequent signatures leave too few parts; equal sets share what they know.
-    spoiled = facts.where("side >= 0").select(F.col("a").alias("id"), "side", "part").join(filled.select("id", *key), "id")
-    spoiled = spoiled.select(*key, "side", "part").distinct().groupBy(*key).agg(
+    # Sets that frequent signatures leave too few parts.
+    spoiled = facts.where("side >= 0").groupBy(F.col("a").alias("name")).agg(
         *[F.sum(F.when(F.col("side") == s, 1).otherwise(0)).alias(f"hot_{s}") for s in (0, 1)])
-    short = cut_lineage(lead.join(spoiled, key, "left").where(" or ".join(f"whole_{s} - coalesce(hot_{s}, 0) < need_{s}" for s in (0, 1)))
-                        .select("id").distinct())
+    short = cut_lineage(lead.join(spoiled, "name", "left").where(" or ".join(f"whole_{s} - coalesce(hot_{s}, 0) < need_{s}" for s in (0, 1)))
+                        .select("id", "name"))
     if short.take(1):
-        chained = facts.where(F.col("side") == CHAIN).select("a", "b").union(copies)
+        chained = facts.where(F.col("side") == CHAIN).select("a", "b")
         more = second_candidates(filled, short, chained, found, similar)
-        later = cut_lineage(linked_pairs(docs, filled, more, words, similar))
+        later = cut_lineage(linked_pairs(docs, more, words, similar))
         if later.take(1):
             found = connected_components(filled.select("id"), links.union(later))
     return (sets.select("id", "n").join(found, "id", "left")
