@@ -20,7 +20,7 @@ What keeps this linear:
   by band into blocks of bounded size, and blocks meet pairwise to compare sketches. Signatures of empty unions are
   written only for sets that have too few others.
 - Pairs are thinned by a lower bound of the difference (the bits in which parity sketches of the sets differ) before the
-  sets themselves are read.
+  sets themselves are read. Of the texts only those move that a table of bits, of bounded size, holds likely to be asked for.
 
 Cases: a null or wordless text has an empty set, links with nothing and is its own component; a text of fewer than `words`
 words is one shingle; rows with one id count as one document with all their texts; rows without an id link with nothing
@@ -47,6 +47,8 @@ CROWD = 12
 RARE, CHAIN = -1, -2
 #: Sets of one block of the second pass, about.
 BLOCK = 512
+#: Bits of the table that tells which texts to move, at most, as a power of two.
+MOST_SLOTS = 25
 #: Signatures of one bucket, about, and signatures a task holds before it hands them on.
 BUCKET_SIGNATURES = 500_000
 HELD_SIGNATURES = 600_000
@@ -379,7 +381,8 @@ def linked_pairs(docs: DataFrame, close: DataFrame, words: int, similar: int) ->
     """Those of the (a, b) pairs whose sets reach the similarity, checked on the whole sets."""
     close = cut_lineage(close)
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    content = hashed_sets(docs.join(ids, "id", "left_semi"), words)
+    # An inner join, as Spark would do a semi join first, with all texts.
+    content = hashed_sets(likely_rows(docs, ids, 2 * close.count()).join(ids, "id"), words)
     both = (close.join(content.select(F.col("id").alias("b"), F.col("hashes").alias("h_b")), "b")
             .join(content.select(F.col("id").alias("a"), F.col("hashes").alias("h_a")), "a"))
     # Row by row in the JVM: batches of whole sets would be as large as the longest texts make them.
@@ -387,6 +390,17 @@ def linked_pairs(docs: DataFrame, close: DataFrame, words: int, similar: int) ->
     return both.where(100 * shared >= similar * (sizes - shared)).select("a", "b")
 
 
+def likely_rows(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows whose id is one of at most so many `ids`, and up to about one in eight of the others; beyond four million ids the
+    table of bits stays as large and lets more through."""
+    slots = 1 << min(MOST_SLOTS, max(6, (8 * most).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    bits = (ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits")))
+    held = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(bits), "word")
+    return held.where(F.expr("getbit(bits, int(slot % 64)) = 1")).select(rows.columns)
+
+
 def hashed_sets(texts: DataFrame, words: int) -> DataFrame:
     """(id, hashes): each text's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

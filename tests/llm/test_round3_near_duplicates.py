@@ -41,3 +41,30 @@ def test_sets_of_one_name(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWD", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     check(spark, rows)
+
+
+def test_texts_not_asked_for_do_not_move(spark, monkeypatch):
+    """All asked rows stay, of the others about one in eight; a table that is too small for its ids only lets more through."""
+    rows = spark.range(20_000).selectExpr("id", "repeat('x', int(id % 3)) AS text")
+    ids = spark.range(0, 20_000, 40)
+    kept = {r.id for r in ngram_join.likely_rows(rows, ids, 500).collect()}
+    assert kept >= set(range(0, 20_000, 40)) and len(kept) <= 500 + 19_500 / 5
+    monkeypatch.setattr(ngram_join, "MOST_SLOTS", 7)
+    assert {r.id for r in ngram_join.likely_rows(rows, ids, 500).collect()} >= set(range(0, 20_000, 40))
+    assert ngram_join.likely_rows(rows, ids.where("id < 0"), 0).collect() == []
+
+
+def test_linked_pairs_shuffles_no_unasked_text(spark):
+    """Without small sides to broadcast, the texts that the check of pairs shuffles are those it asks for."""
+    docs = spark.range(0, 4000).selectExpr("id", "concat('a b c d e f', id) AS text")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        close = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a long, b long")
+        linked = ngram_join.linked_pairs(docs, close, 5, 20)
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+        below = [x.split("Range (")[0] for x in plan.split("BroadcastHashJoin [word") if "getbit" in x.split("\n")[0]]
+        assert below and not any("hashpartitioning" in x for x in below)
+        assert linked.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
