@@ -160,7 +160,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
 
 def too_short(passages: DataFrame, passage_text: str = "text") -> DataFrame:
-    """The passages `containing` can't look for: those of less than three words."""
+    """The passages without an inner word, those of less than three words: `containing` looks for them in every text."""
     return passages.where(F.size(F.filter(F.split(F.coalesce(passage_text, F.lit("")), r"\s+"), lambda w: w != "")) < 3)
 
 
@@ -170,7 +170,8 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
 
     A passage's inner words stand whole in any text that holds it, so both sides meet on a run of inner words and
     only those pairs are compared in full. Shorter passages use shorter runs. A passage of less than three words has no inner
-    word and meets nothing; `too_short` lists those.
+    word (`too_short` lists those): each such wording, once however many passages share it, is looked for in every text where that is read, and only
+    pairs that hold travel. An empty passage stands in every text, a null one in none.
     """
     def pieces(c):
         return F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -178,11 +179,13 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
     def run_of(tokens, start, n):
         return F.xxhash64(F.array_join(F.slice(tokens, start, n), " "))
 
-    asked = (passages.select(F.col(passage_col), F.col(passage_text).alias("__passage"), pieces(F.col(passage_text)).alias("__w"))
-             .withColumn("__n", F.least(F.lit(width), F.size("__w") - 2))
-             .where("__n >= 1")
-             .select(passage_col, "__passage", "__n", run_of(F.col("__w"), F.lit(2), F.col("__n")).alias("__run")))
-    widths = [r[0] for r in asked.select("__n").distinct().collect()]  # at most `width` values
+    sized = (passages.select(F.col(passage_col), F.col(passage_text).alias("__passage"), pieces(F.col(passage_text)).alias("__w"))
+             .where(F.col("__passage").isNotNull())
+             .withColumn("__n", F.greatest(F.least(F.lit(width), F.size("__w") - 2), F.lit(0))))
+    widths = [r[0] for r in sized.select("__n").distinct().collect()]  # at most `width` + 1 values
+    short = sized.where("__n = 0").select(passage_col, "__passage") if 0 in widths else None
+    widths = [n for n in widths if n]
+    asked = sized.where("__n >= 1").select(passage_col, "__passage", "__n", run_of(F.col("__w"), F.lit(2), F.col("__n")).alias("__run"))
 
     def runs(tokens, n):
         starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
@@ -194,5 +197,10 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
     keyed = (docs.select(F.col(id_col), F.explode(all_runs).alias("r"))
              .select(id_col, F.col("r.n").alias("__n"), F.col("r.run").alias("__run")))
     near = keyed.join(asked, ["__n", "__run"]).select(passage_col, "__passage", id_col).distinct()
-    return (near.join(docs.select(F.col(id_col), F.col(text_col).alias("__text")), id_col)
-            .where(F.col("__text").contains(F.col("__passage"))).select(passage_col, id_col))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    found = near.join(texts, id_col).where(F.col("__text").contains(F.col("__passage"))).select(passage_col, id_col)
+    if short is None:
+        return found
+    wordings = cut_lineage(short.select("__passage").distinct())
+    held = texts.join(wordings, F.col("__text").contains(F.col("__passage"))).select(id_col, "__passage")
+    return found.unionByName(held.join(short.distinct(), "__passage").select(passage_col, id_col))
