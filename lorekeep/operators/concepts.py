@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from . import fusion, graph
 from .components import connected_components
 from .nearest import hybrid_topk, rank_inputs, vector_topk
-from .skew import top_per_group
+from .skew import shuffled, top_per_group
 
 
 def label_keys(concepts: DataFrame, key: str = "id") -> DataFrame:
@@ -46,18 +46,19 @@ def lexical_candidates(queries: DataFrame, concepts: DataFrame, limit: int) -> D
     label = F.concat_ws(" ", "label", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
     content = F.concat_ws(" ", "routing_summary", "summary", "text")
     labelled = concepts.select("id", F.explode(words(label)).alias("term"))
-    frequency = labelled.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Tables, so that their sizes are known where they are joined.
+    frequency = cut_lineage(labelled.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     forms = rare_forms(queries, frequency, concepts.agg(F.count(F.lit(1))).scalar())
     # The wanted list is searched as a query of its own, so stop words among the forms fall away again.
     wanted = forms.groupBy("query_id").agg(F.concat_ws(" ", F.collect_set("form")).alias("text")).select("query_id", terms(F.col("text")).alias("words"))
     wanted = wanted.select("query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
-    held = (labelled.withColumn("in_label", F.lit(1)).unionByName(
+    held = cut_lineage(labelled.withColumn("in_label", F.lit(1)).unionByName(
         concepts.select("id", F.explode(words(content)).alias("term")).withColumn("in_label", F.lit(0)))
         .groupBy("id", "term").agg(F.max("in_label").alias("in_label")))
     # Written once: only words that some concept holds, with the number of all the query's words.
     matched = cut_lineage(wanted.join(held.select("term").distinct(), "term", "left_semi"))
     found, sizes = _found(matched, held, limit), matched.select("query_id", "n").distinct()
-    scored = found.join(sizes, "query_id").select("query_id", "id", (0.5 * F.col("found") / F.col("n") + 0.1 * F.col("labelled") / F.col("n")).alias("score"))
+    scored = found.join(shuffled(sizes), "query_id").select("query_id", "id", (0.5 * F.col("found") / F.col("n") + 0.1 * F.col("labelled") / F.col("n")).alias("score"))
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], limit)
 
 
@@ -71,10 +72,11 @@ def _found(wanted: DataFrame, held: DataFrame, limit: int) -> DataFrame:
     most_first = Window.partitionBy("query_id").orderBy(F.col("many").desc(), "term")
     matched = wanted.join(frequency, "term").withColumn("place", F.row_number().over(most_first)).select("query_id", "term", "place")
     frequent = matched.where("place = 1").select("query_id", "term")
-    others = (matched.where("place > 1").join(held, "term").groupBy("query_id", "id")
+    # What grows with the concepts or the queries is dealt, however small its file is.
+    others = (matched.where("place > 1").join(shuffled(held), "term").groupBy("query_id", "id")
               .agg(F.count(F.lit(1)).alias("found"), F.sum("in_label").alias("labelled")))
     # Concepts found by another word may hold the most frequent one, too.
-    whole = others.join(frequent, "query_id").join(held, ["id", "term"], "left").select(
+    whole = others.join(shuffled(frequent), "query_id").join(shuffled(held), ["id", "term"], "left").select(
         "query_id", "id", (F.col("found") + F.col("in_label").isNotNull().cast("int")).alias("found"), (F.col("labelled") + F.coalesce("in_label", F.lit(0))).alias("labelled"))
     first = top_per_group(held, ["term"], [F.col("in_label").desc(), F.col("id")], limit).drop("rank")
     alone = frequent.join(first, "term").select("query_id", "id", F.lit(1).cast("long").alias("found"), F.col("in_label").cast("long").alias("labelled"))

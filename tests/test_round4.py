@@ -2,7 +2,8 @@
 
 import random
 
-from lorekeep.operators import lexical
+from lorekeep.operators import concepts, lexical
+from lorekeep.session import cut_lineage
 
 
 def test_passages_of_one_or_two_words_are_found_like_any_other(spark):
@@ -17,3 +18,16 @@ def test_passages_of_one_or_two_words_are_found_like_any_other(spark):
     assert got == expected and {1, 2, 5, 6, 9} <= {p for p, _ in got}
     only_short = passages.where("item_id in (2, 5)")
     assert sorted((r.item_id, r.doc_id) for r in lexical.containing(docs, only_short).collect()) == [x for x in expected if x[0] in (2, 5)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_concepts_and_queries_do_not_go_through_the_driver(spark):
+    # Tables as small as these Spark would broadcast every one.
+    held = cut_lineage(spark.createDataFrame([(i, t, i % 2) for i in range(9) for t in ("a", "b")], "id long, term string, in_label int"))
+    wanted = cut_lineage(spark.createDataFrame([(q, t) for q in range(4) for t in ("a", "b")], "query_id long, term string"))
+    plan = plan_of(concepts._found(wanted, held, 5))
+    assert all(f"SortMergeJoin [{key}#" in plan for key in ("id", "query_id", "term"))
+    assert "BroadcastHashJoin [id#" not in plan and "BroadcastHashJoin [query_id#" not in plan
