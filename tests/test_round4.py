@@ -2,7 +2,9 @@
 
 import random
 
-from lorekeep.operators import concepts, lexical
+from pyspark.sql import functions as F
+
+from lorekeep.operators import components, concepts, lexical, nearest, spreading
 from lorekeep.session import cut_lineage
 
 
@@ -31,3 +33,24 @@ def test_words_of_concepts_and_queries_do_not_go_through_the_driver(spark):
     plan = plan_of(concepts._found(wanted, held, 5))
     assert all(f"SortMergeJoin [{key}#" in plan for key in ("id", "query_id", "term"))
     assert "BroadcastHashJoin [id#" not in plan and "BroadcastHashJoin [query_id#" not in plan
+
+
+def test_names_nodes_inputs_and_blocks_do_not_go_through_the_driver(spark):
+    inputs = cut_lineage(spark.createDataFrame([(1, "s", "the red lamp", [1.0, 0.0])], "query_id long, scope string, text string, vec array<double>").withColumn("date", F.lit("2024-02-01").cast("date")))
+    names = cut_lineage(spark.createDataFrame([("s", "red lamp", "e1"), ("s", "lamp", "e2")], "scope string, name string, node string"))
+    nodes = cut_lineage(spark.createDataFrame([("s", "e1", "entity", "red lamp", [1.0, 0.0]), ("s", "e2", "entity", "lamp", [0.0, 1.0])], "scope string, node string, kind string, label string, vec array<double>")
+                        .select("*", F.col("label").alias("text"), F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("string").alias(c) for c in ("state", "source", "session")], F.lit(None).cast("double").alias("confidence")))
+    links = cut_lineage(spark.createDataFrame([("e1", "e2", "MENTIONS"), ("e2", "e1", "MENTIONS")], "node string, neighbour string, kind string"))
+    named = spreading.named_entities(inputs, names)
+    assert "BroadcastHashJoin" not in plan_of(named) and sorted(r.node for r in named.collect()) == ["e1", "e2"]
+    active = cut_lineage(named.select("query_id", "node", F.lit(1.0).alias("activation")))
+    scored = spreading.score_memories(active, inputs, nodes, spreading.SpreadParams())
+    assert "BroadcastHashJoin" not in plan_of(scored) and scored.count() == 2
+    frontier = active.select("query_id", "node", F.col("activation").alias("a"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path"))
+    table = cut_lineage(spreading.weighted_links(links, spreading.SpreadParams(), True))
+    hop = plan_of(spreading._hop(frontier, table, ["query_id"], spreading.SpreadParams(), (inputs.select("query_id", "vec"), nodes.select("node", "vec"))))
+    assert "SortMergeJoin [neighbour#" in hop and "SortMergeJoin [query_id#" in hop
+    near = nearest.vector_topk(nodes.select("scope", "node", "vec"), inputs.select("query_id", "scope", "vec"), 1, "node", "query_id", ["scope"])
+    assert "SortMergeJoin [scope#" in plan_of(near) and [r.node for r in near.collect()] == ["e1"]
+    sets = components.connected_components(nodes.select(F.col("node").alias("id")), links.select(F.col("node").alias("a"), F.col("neighbour").alias("b")))
+    assert "BroadcastHashJoin" not in plan_of(sets) and {r.component for r in sets.collect()} == {"e1"}
