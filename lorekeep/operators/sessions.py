@@ -59,8 +59,9 @@ def replaced_links(links: DataFrame, sessions: DataFrame) -> tuple[DataFrame, Da
     of (scope, node) changes; a pair that several sessions link counts once."""
     keys = sessions.select("scope", "session").distinct()
     fresh = cut_lineage(session_links(sessions))
-    old = cut_lineage(links.join(keys, ["scope", "session"], "left_semi"))
-    rest = links.join(keys, ["scope", "session"], "left_anti")
+    # All links move once: what goes and what stays are parts of one table.
+    marked = cut_lineage(links.join(keys.withColumn("__again", F.lit(True)), ["scope", "session"], "left"))
+    old, rest = marked.where("__again").drop("__again"), marked.where("__again is null").drop("__again")
     # Pairs that only these sessions held or now hold; what other sessions link as well stays as it is.
     pair = ["scope", "a", "b"]
     moves = (old.select(*pair).distinct().withColumn("was", F.lit(1)).join(fresh.select(*pair).distinct().withColumn("now", F.lit(1)), pair, "full_outer")
@@ -71,8 +72,11 @@ def replaced_links(links: DataFrame, sessions: DataFrame) -> tuple[DataFrame, Da
 
 
 def session_graph(links: DataFrame) -> DataFrame:
-    """(scope, a, b, kind) over all sessions, every pair once; of several kinds that of the last session holds."""
-    return links.groupBy("scope", "a", "b").agg(F.max_by("kind", F.struct("session", "kind")).alias("kind"))
+    """(scope, a, b, kind) over all sessions, every pair once; of several kinds that of the last session holds.
+
+    Dealt by `b` alone, the end with few links (entities, that many sessions share, sort before memories, rounds and sessions), so that what joins by it needs no other shuffle.
+    """
+    return links.repartition("scope", "b").groupBy("scope", "a", "b").agg(F.max_by("kind", F.struct("session", "kind")).alias("kind"))
 
 
 def node_degrees(graph: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import arms, clinical, concepts, forgetting, patients, recoding, sessions
-from ..session import cut_folder, cut_lineage
+from ..session import cut_folder, cut_lineage, drop_table
 from ..sources import imports, taxonomies, versions
 from .graphs import key
 from .recall import trade_links
@@ -85,13 +85,22 @@ def _graph(t):
     """Links of all sessions, then of a second delivery that cuts every fourth session to two lines; degrees follow by difference."""
     first = cut_lineage(order_sessions(t))
     links = cut_lineage(sessions.session_links(first))  # the stored table that the second delivery changes
-    degrees = sessions.node_degrees(sessions.session_graph(links))
+    # Every step is written and what it no longer needs dropped, so that disk holds one step's shuffles and tables.
+    pairs = cut_lineage(sessions.session_graph(links))
+    degrees = cut_lineage(sessions.node_degrees(pairs))
+    drop_table(pairs)
     again = first.where("session % 4 = 1").withColumn("memories", F.filter("memories", lambda m: m["n"] <= 2)).withColumn("entities", F.filter("entities", lambda e: e["n"] <= 2))
-    links, shift = sessions.replaced_links(links, again)
+    stored = links
+    links, shift = sessions.replaced_links(stored, again)
+    drop_table(stored)
+    drop_table(first)
     after = cut_lineage(sessions.shifted(degrees, shift).select("scope", "node", "degree"))
     graph = sessions.session_graph(links)
-    for end in ("a", "b"):
+    for end in ("b", "a"):
         graph = graph.join(after.select("scope", F.col("node").alias(end), F.col("degree").alias(f"degree_{end}")), ["scope", end], "left")
+        if end == "b":
+            graph = cut_lineage(graph)
+            drop_table(links)
     return graph.select("scope", "a", "b", "kind", "degree_a", "degree_b")
 
 

@@ -1,11 +1,19 @@
 """Whole results and bounded work of the fourth round."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import components, concepts, lexical, nearest, spreading
-from lorekeep.session import cut_lineage
+from lorekeep import session
+from lorekeep.operators import components, concepts, lexical, nearest, sessions, spreading
+from lorekeep.plans import catalog
+from lorekeep.session import cut_lineage, drop_table
+from tests.oracle import TESTDATA
+
+FOLDER = f"{TESTDATA}/sf0.001"
+shared = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared tables are not there")
 
 
 def test_passages_of_one_or_two_words_are_found_like_any_other(spark):
@@ -54,3 +62,45 @@ def test_names_nodes_inputs_and_blocks_do_not_go_through_the_driver(spark):
     assert "SortMergeJoin [scope#" in plan_of(near) and [r.node for r in near.collect()] == ["e1"]
     sets = components.connected_components(nodes.select(F.col("node").alias("id")), links.select(F.col("node").alias("a"), F.col("neighbour").alias("b")))
     assert "BroadcastHashJoin" not in plan_of(sets) and {r.component for r in sets.collect()} == {"e1"}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_what_a_table_was_shuffled_for_goes_when_it_is_written(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(session.FREE_SHUFFLES, None)
+    table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert not shuffle_files(spark) - before and table.count() == 100
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == setting
+
+
+def test_only_tables_of_the_application_are_dropped(spark, tmp_path):
+    table = cut_lineage(spark.range(5))
+    folder = table.inputFiles()[0].split(":")[-1].rsplit("/", 1)[0]
+    drop_table(table)
+    assert not os.path.exists("/" + folder.lstrip("/"))
+    spark.range(5).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        drop_table(spark.read.parquet(str(tmp_path / "other")))
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 5
+
+
+@shared
+def test_a_session_graph_keeps_no_table_it_does_not_need(spark):
+    folder = session.cut_folder(spark).split(":")[-1]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    graph = catalog.QUERIES["session_graph"](spark, FOLDER)
+    # The graph with the degree of one end, the degrees, what their shift was made of and the shift.
+    assert graph.count() > 0 and len(set(os.listdir(folder)) - before) <= 4
+
+
+def test_links_of_sessions_that_come_again_are_marked_once(spark):
+    links = cut_lineage(spark.createDataFrame([("u", s, f"m:{s}", "e:x" if s < 3 else "e:y", "entity") for s in range(5)], "scope string, session long, b string, a string, kind string").select(*sessions.LINKS[:1], "session", *sessions.LINKS[1:]))
+    again = cut_lineage(spark.createDataFrame([("u", 1, [], [], None)], "scope string, session long, memories array<struct<text:string,entities:array<string>,round:int>>, entities array<struct<name:string,is_a:array<string>>>, episode struct<title:string,text:string>"))
+    new, shift = sessions.replaced_links(links, again)
+    assert sorted(r.session for r in new.collect()) == [0, 2, 3, 4]
+    assert {(r.node, r["shift"]) for r in shift.collect()} == {("m:1", -1), ("e:x", -1)}
+    # One table holds what goes and what stays.
+    assert plan_of(new).count("Join") == 0
