@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import session
-from lorekeep.operators import components, concepts, lexical, nearest, sessions, spreading
+from lorekeep.operators import components, concepts, graph, lexical, nearest, sessions, spreading
 from lorekeep.plans import catalog
 from lorekeep.session import cut_lineage, drop_table
 from tests.oracle import TESTDATA
@@ -104,3 +104,18 @@ def test_links_of_sessions_that_come_again_are_marked_once(spark):
     assert {(r.node, r["shift"]) for r in shift.collect()} == {("m:1", -1), ("e:x", -1)}
     # One table holds what goes and what stays.
     assert plan_of(new).count("Join") == 0
+
+
+def tables(spark):
+    folder = session.cut_folder(spark).split(":")[-1]
+    return {f"{folder}/{name}" for name in (os.listdir(folder) if os.path.isdir(folder) else ())}
+
+
+def test_edges_that_were_climbed_leave_the_disk(spark):
+    edges = spark.createDataFrame([("s", "d", "PROVIDES"), ("d", "c1", "CONTAINS"), ("d", "c2", "CONTAINS"), ("r", "s", "CONTAINS")], "src string, dst string, relation string")
+    before = tables(spark)
+    reach = graph.closure(spark.createDataFrame([("r", "r")], "start string, node string"), edges)
+    above = graph.provenance(edges, spark.createDataFrame([("c1",), ("c2",)], "id string"))
+    assert not [t for t in tables(spark) - before if "src" in spark.read.parquet(t).columns]
+    assert sorted((r.node, r.depth) for r in reach.collect()) == [("c1", 3), ("c2", 3), ("d", 2), ("r", 0), ("s", 1)]
+    assert sorted((r.node, r.ancestor) for r in above.collect()) == [(c, x) for c in ("c1", "c2") for x in sorted([c, "d", "s", "r"])]
