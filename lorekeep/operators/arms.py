@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table, is_empty
 from .skew import top_per_group
 from .spreading import SEED_SCALE, SpreadParams, arm_params
 
@@ -50,24 +50,34 @@ def spread_arms(seeds: DataFrame, links: DataFrame, arms: DataFrame) -> DataFram
     act = seeds.select(F.explode(F.array(*[F.lit(n) for n in most["names"]])).alias("arm"), "query_id", "node", F.col("activation").cast("double").alias("a"),
                        F.lit(None).cast("string").alias("parent"), F.array("why").alias("path"))
     act = cut_lineage(act)
-    frontier = act
+    frontier, stored = act, act
     for hop in range(most["hops"]):
         live = frontier.where((F.lit(hop) < arm["hops"]) & (F.col("a") >= arm["threshold"]))
         rows = live.join(table, "node").where("parent is null or neighbour <> parent").withColumn("weight", arm["weight"]).where("weight > 0")
         best = top_per_group(rows, [*keys, "node"], [F.round("weight", SEED_SCALE).desc(), F.col("neighbour").desc()], most["top_k"], "place").where(F.col("place") <= arm["top_k"])
+        # Written before they are summed: what the choice of neighbours moved is gone when the gains move.
         spec = 1 / (1 + F.log(F.greatest(F.lit(1.0), F.col("degree") / arm["fan0"])))
-        gains = best.select(*keys, "node", "neighbour", "path", (F.col("a") * arm["decay"] * spec * F.col("weight")).alias("gain"))
+        gains = cut_lineage(best.select(*keys, "node", "neighbour", "path", (F.col("a") * arm["decay"] * spec * F.col("weight")).alias("gain")))
         new = gains.groupBy(*keys, "neighbour").agg(F.sum("gain").alias("g"), F.min_by(F.struct("node", "path"), F.struct(-F.col("gain"), F.col("node"))).alias("from"))
         new = new.select(*keys, F.col("neighbour").alias("node"), "g", F.col("from.node").alias("p"), F.concat("from.path", F.array("neighbour")).alias("r"))
         held = F.col("a").isNotNull()
         merged = act.join(new, [*keys, "node"], "full_outer").select(
             *keys, "node", (F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("a"), F.when(held, F.col("parent")).otherwise(F.col("p")).alias("parent"),
             F.when(held, F.col("path")).otherwise(F.col("r")).alias("path"), "g")
-        # Arms that have made their hops already keep what they have.
-        ranked = top_per_group(merged, keys, [F.round("a", SEED_SCALE).desc(), F.col("node")], most["max_nodes"], "place")
-        capped = cut_lineage(ranked.where(F.col("place") <= arm["max_nodes"]).drop("place"))
+        capped = cut_lineage(merged)
+        drop_table(gains)
+        drop_table(stored)
+        # Only queries that reached more nodes than their arm keeps are ranked, which moves and sorts all they reached. Arms that have made their hops already keep what they have.
+        over = cut_lineage(capped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > arm["max_nodes"]).select(*keys))
+        if not is_empty(over):
+            whole = capped
+            ranked = top_per_group(whole.join(over, keys, "left_semi"), keys, [F.round("a", SEED_SCALE).desc(), F.col("node")], most["max_nodes"], "place")
+            capped = cut_lineage(whole.join(over, keys, "left_anti").unionByName(ranked.where(F.col("place") <= arm["max_nodes"]).drop("place")))
+            drop_table(whole)
+        stored = capped
         act = capped.drop("g")
         frontier = capped.where("g is not null").select(*keys, "node", F.col("g").alias("a"), "parent", "path")
+    drop_table(table)
     return act.select(*keys, "node", F.col("a").alias("activation"), "path")
 
 
