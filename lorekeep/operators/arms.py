@@ -58,6 +58,8 @@ def spread_arms(seeds: DataFrame, links: DataFrame, arms: DataFrame) -> DataFram
         # Written before they are summed: what the choice of neighbours moved is gone when the gains move.
         spec = 1 / (1 + F.log(F.greatest(F.lit(1.0), F.col("degree") / arm["fan0"])))
         gains = cut_lineage(best.select(*keys, "node", "neighbour", "path", (F.col("a") * arm["decay"] * spec * F.col("weight")).alias("gain")))
+        if hop == most["hops"] - 1:
+            drop_table(table)
         new = gains.groupBy(*keys, "neighbour").agg(F.sum("gain").alias("g"), F.min_by(F.struct("node", "path"), F.struct(-F.col("gain"), F.col("node"))).alias("from"))
         new = new.select(*keys, F.col("neighbour").alias("node"), "g", F.col("from.node").alias("p"), F.concat("from.path", F.array("neighbour")).alias("r"))
         held = F.col("a").isNotNull()
@@ -77,7 +79,6 @@ def spread_arms(seeds: DataFrame, links: DataFrame, arms: DataFrame) -> DataFram
         stored = capped
         act = capped.drop("g")
         frontier = capped.where("g is not null").select(*keys, "node", F.col("g").alias("a"), "parent", "path")
-    drop_table(table)
     return act.select(*keys, "node", F.col("a").alias("activation"), "path")
 
 

@@ -257,7 +257,10 @@ def _arms(t):
     """Four arms of associative recall in one pass over the links of customers, orders and parts."""
     seeds = t.customer.select(F.col("c_nationkey").alias("query_id"), key("c", "c_custkey").alias("node"), F.lit(1.0).alias("activation"), key("c", "c_custkey").alias("why"))
     table = arms.arm_table(t.spark, ARM_SPECS).withColumn("max_nodes", F.lit(1_000_000))
-    return arms.spread_arms(seeds, trade_links(t), table).select("arm", "query_id", "node", F.round("activation", 6).alias("activation"))
+    links = trade_links(t)
+    found = arms.spread_arms(seeds, links, table).select("arm", "query_id", "node", F.round("activation", 6).alias("activation"))
+    drop_table(links)  # the operator has written what it takes of them
+    return found
 
 
 # --- Concepts that are nearly there ---

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import session
-from lorekeep.operators import components, concepts, graph, lexical, nearest, sessions, spreading
+from lorekeep.operators import arms, components, concepts, graph, lexical, nearest, sessions, spreading
 from lorekeep.plans import catalog
 from lorekeep.session import cut_lineage, drop_table
 from tests.oracle import TESTDATA
@@ -119,3 +119,27 @@ def test_edges_that_were_climbed_leave_the_disk(spark):
     assert not [t for t in tables(spark) - before if "src" in spark.read.parquet(t).columns]
     assert sorted((r.node, r.depth) for r in reach.collect()) == [("c1", 3), ("c2", 3), ("d", 2), ("r", 0), ("s", 1)]
     assert sorted((r.node, r.ancestor) for r in above.collect()) == [(c, x) for c in ("c1", "c2") for x in sorted([c, "d", "s", "r"])]
+
+
+def test_arms_over_and_under_their_limit_keep_what_single_calls_keep(spark):
+    random.seed(3)
+    pairs = {(f"n{random.randint(0, 11)}", f"n{random.randint(12, 30)}") for _ in range(60)}
+    links = spark.createDataFrame([(a, b, k) for x, y in sorted(pairs) for k in [random.choice(["MENTIONS", "IN_SESSION"])] for a, b in ((x, y), (y, x))], "node string, neighbour string, kind string")
+    seeds = spark.createDataFrame([(q, f"n{n}", 1.0, "w") for q in range(3) for n in (q, q + 4)], "query_id long, node string, activation double, why string")
+    specs = ["few[max_nodes=3]", "all[max_nodes=1000]", "one[max_nodes=5;hops=1]"]
+    found = arms.spread_arms(seeds, links, arms.arm_table(spark, specs))
+    got = sorted((r.arm, r.query_id, r.node, round(r.activation, 9)) for r in found.collect())
+    expected = []
+    for spec in specs:
+        expected += [(spec, r.query_id, r.node, round(r.activation, 9)) for r in spreading.spread_sum(seeds, links, spreading.arm_params(spec)[1]).collect()]
+    assert got == sorted(expected) and sum(x[0] == specs[0] for x in got) == 9
+
+
+def test_links_that_were_spread_over_leave_the_disk(spark):
+    links = spark.createDataFrame([("a", "b", "MENTIONS"), ("b", "a", "MENTIONS"), ("b", "c", "MENTIONS"), ("c", "b", "MENTIONS")], "node string, neighbour string, kind string")
+    seeds = spark.createDataFrame([(1, "a", 1.0, "w")], "query_id long, node string, activation double, why string")
+    for run in (lambda: arms.spread_arms(seeds, links, arms.arm_table(spark, ["x", "y[hops=1]"])), lambda: spreading.spread_distinct(seeds, links, spreading.SpreadParams())):
+        before = tables(spark)
+        found = run()
+        left = [spark.read.parquet(t).columns for t in tables(spark) - before]
+        assert not [c for c in left if "neighbour" in c] and {r.node for r in found.collect()} == {"a", "b", "c"}
